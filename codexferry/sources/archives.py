@@ -48,6 +48,7 @@ _NESTED_ROOM = 1 << 32
 _BATCH_BYTES = 32 << 20
 _BATCH_ROWS = 512
 _MAX_DEPTH = 16
+_TASK_BYTES = 64 << 20
 
 
 def repair_entry_name(name: str, flag_bits: int) -> str:
@@ -139,12 +140,18 @@ def unzip(
 
 
 def unzip_in_place(
-    archives: DataFrame, default_owner: str, repair_names: bool = True, nested: bool = True
+    archives: DataFrame,
+    default_owner: str,
+    tasks: int,
+    repair_names: bool = True,
+    nested: bool = True,
 ) -> DataFrame:
     """As :func:`unzip` for ``archive string, dest string`` without content.
 
     ``archive`` must be a path that every executor can open. The entry list is
-    shuffled before reading, so the entries of one archive go to many tasks.
+    shuffled before reading, so the entries of one archive go to ``tasks`` tasks.
+    The number is explicit: the list is tiny next to what its rows make a task
+    read, and Spark would merge its partitions by their size.
     """
 
     def local(path: str) -> str:
@@ -183,7 +190,7 @@ def unzip_in_place(
         lambda batches: _batches(listing(batches), _LISTING_ARROW), _LISTING_SCHEMA
     )
     # Spread by entry, then group by archive inside a task so that it opens each once.
-    spread = listed.repartition("archive", "member").sortWithinPartitions("archive", "member")
+    spread = listed.repartition(tasks, "archive", "member").sortWithinPartitions("archive", "member")
     return spread.mapInArrow(
         lambda batches: _batches(rows(batches), _ENTRY_ARROW), ENTRY_SCHEMA
     )
@@ -214,8 +221,12 @@ def read_archives(
     files = _archive_files(spark, uri)
     count = files.agg(F.count(F.lit(1)).alias("n")).scalar()
     placed = files.withColumn("dest", archive_dest(F.col("archive"), count, default_owner))
-    job = unzip if mode == "content" else unzip_in_place
-    return job(placed, default_owner)
+    if mode == "content":
+        return unzip(placed, default_owner)
+    # Only file lengths are read here, not the files.
+    size = files.agg(F.sum("length").alias("n")).first()["n"] or 0
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return unzip_in_place(placed, default_owner, max(shuffles, -(-size // _TASK_BYTES)))
 
 
 def relative_path(path: Column, uri: str) -> Column:
