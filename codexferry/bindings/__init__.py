@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("columns",)
+MODULES = ("columns", "extracts", "staging")
 
 
 def load():
