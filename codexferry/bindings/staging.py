@@ -239,7 +239,9 @@ def fan_out_files(spark, sf):
             "relative_sharepoint_path"
         ),
     )
-    return X.fan_out_files(files, notebooks, A.identity(spark, sf), "Sources").select(
+    identity = A.identity(spark, sf)
+    template = X.is_template(notebooks, identity)
+    return X.fan_out_files(files, identity, template, "Sources").select(
         "owner_email", "nb_key", "copied_from", "relative_sharepoint_path"
     )
 
@@ -282,7 +284,9 @@ def nest_hot_key(spark, sf):
         F.when(F.col("l_orderkey") % 3 == 0, -1).otherwise(F.col("l_suppkey")).alias("k"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
     )
-    numbered = number_rows(lines, ["k"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    # The bound is low so that the hot key is split at every scale.
+    numbered = number_rows(lines, ["k"], order, max_group=1000)
     item = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     return nest_chunks(numbered, ["k"], item, size=500).select(
         "k",

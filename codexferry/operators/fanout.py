@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexferry.functions import text as T
@@ -11,25 +11,34 @@ from codexferry.operators.notebooks import notebook_key, sharepoint_folder
 from codexferry.operators.ordering import pair_all
 
 
-def is_template(notebooks: DataFrame, identity: DataFrame) -> Column:
-    """More than one mapped user and exactly one owner, as scalar subqueries."""
-    users = identity.agg(F.count(F.lit(1)).alias("n")).scalar()
-    one_owner = notebooks.agg(
-        F.coalesce(F.min("owner_email") == F.max("owner_email"), F.lit(False)).alias("one")
-    ).scalar()
-    return (users > 1) & one_owner
+def is_template(notebooks: DataFrame, identity: DataFrame) -> bool:
+    """More than one mapped user and exactly one owner.
+
+    This is measured before the fan-out is planned: as a filter it would make Spark
+    compute the notebooks twice, once for each answer.
+    """
+    users = identity.agg(F.count(F.lit(1)).alias("n"))
+    owners = notebooks.agg((F.min("owner_email") == F.max("owner_email")).alias("one"))
+    row = owners.select("one", users.scalar().alias("users")).first()
+    return bool(row["one"]) and row["users"] > 1
 
 
 def _users(identity: DataFrame) -> DataFrame:
     return identity.select(*[F.col(c).alias(f"_u_{c}") for c in IDENTITY_COLUMNS])
 
 
-def fan_out_template(notebooks: DataFrame, identity: DataFrame) -> DataFrame:
-    """Copies per mapped user if the notebooks are a template, else no change."""
-    template = is_template(notebooks, identity)
-    paired = pair_all(
-        notebooks.where(template), _users(identity).where(template), ["nb_key"], ["_u_gws_email"]
-    )
+def fan_out_template(
+    notebooks: DataFrame, identity: DataFrame, template: bool | None = None
+) -> DataFrame:
+    """Copies per mapped user if the notebooks are a template, else no change.
+
+    ``template`` is the answer of :func:`is_template` if it is known already.
+    """
+    if template is None:
+        template = is_template(notebooks, identity)
+    if not template:
+        return notebooks
+    paired = pair_all(notebooks, _users(identity), ["nb_key"], ["_u_gws_email"])
     folder = T.sanitize_filename(F.col("title"))
     owner = F.col("_u_gws_email")
     renewed = {
@@ -40,39 +49,34 @@ def fan_out_template(notebooks: DataFrame, identity: DataFrame) -> DataFrame:
         "sharepoint_folder": sharepoint_folder(owner, folder),
         "nb_key": notebook_key(owner, folder),
     }
-    copies = paired.select(*[renewed.get(c, F.col(c)).alias(c) for c in notebooks.columns])
-    return notebooks.where(~template).unionByName(copies)
+    return paired.select(*[renewed.get(c, F.col(c)).alias(c) for c in notebooks.columns])
 
 
 def fan_out_files(
-    children: DataFrame, notebooks: DataFrame, identity: DataFrame, kind: str | None
+    children: DataFrame, identity: DataFrame, template: bool, kind: str | None
 ) -> DataFrame:
     """Children of template notebooks, one copy per mapped user.
 
-    ``notebooks`` are the notebooks before fan-out. With ``kind`` (``Sources`` or
-    ``Notes``) the staged path moves below each user's folder and ``copied_from``
-    names the template's file: this is the copy list of the staging area. With
-    ``kind=None`` a path stays the template's.
+    ``template`` is the answer of :func:`is_template` for the notebooks. With
+    ``kind`` (``Sources`` or ``Notes``) the staged path moves below each user's
+    folder and ``copied_from`` names the template's file: this is the copy list of
+    the staging area. With ``kind=None`` a path stays the template's.
     """
-    template = is_template(notebooks, identity)
-    paired = pair_all(
-        children.where(template),
-        _users(identity).where(template),
-        ["nb_key", "file"],
-        ["_u_gws_email"],
-    )
+    old = F.col("relative_sharepoint_path")
+    if not template:
+        if kind is None:
+            return children
+        return children.withColumn("copied_from", F.lit(None).cast("string"))
+    paired = pair_all(children, _users(identity), ["nb_key", "file"], ["_u_gws_email"])
     folder = T.sanitize_filename(F.col("notebook_title"))
     owner = F.col("_u_gws_email")
     renewed = {"owner_email": owner, "nb_key": notebook_key(owner, folder)}
-    same, copied_from = children.where(~template), []
+    copied_from = []
     if kind is not None:
-        old = F.col("relative_sharepoint_path")
         renewed["relative_sharepoint_path"] = T.join_path(
             owner, folder, F.lit(kind), T.file_name(old)
         )
         copied_from = [old.alias("copied_from")]
-        same = same.withColumn("copied_from", F.lit(None).cast("string"))
-    copies = paired.select(
+    return paired.select(
         *[renewed.get(c, F.col(c)).alias(c) for c in children.columns], *copied_from
     )
-    return same.unionByName(copies)

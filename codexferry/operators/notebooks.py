@@ -278,39 +278,44 @@ def in_copies(children: DataFrame, copies: DataFrame) -> DataFrame:
     )
 
 
-def merge_sources(sources: DataFrame, copies: DataFrame) -> DataFrame:
+def merge_sources(
+    sources: DataFrame, copies: DataFrame, notebooks: DataFrame | None = None
+) -> DataFrame:
     """Sources per notebook: the first copy's, then unseen titles of later copies.
 
-    A title comes from the first copy that has it. ``copy_path`` and ``file`` give
-    the order; ``from_later_copy`` marks what was appended.
+    A title comes from the first copy that has it. ``copy_path``, ``copy_file`` and
+    ``file`` give the order; ``from_later_copy`` marks what was appended.
+    ``notebooks`` are the merged notebooks if they exist already.
     """
+    if notebooks is None:
+        notebooks = merge_notebooks(copies)
     by_title = W.partitionBy("nb_key", "title").orderBy(*COPY_ORDER)
     kept = (
-        in_copies(sources, copies.select("root_path", "nb_file", "nb_key", "owner_email", "folder"))
+        sources.join(copies.select("root_path", "nb_file", "nb_key"), "root_path")
         .withColumn("_rank", F.row_number().over(by_title))
         .where("_rank = 1")
-        .drop("_rank", "owner_email", "folder")
+        .drop("_rank")
+        .withColumnsRenamed({"root_path": "copy_path", "nb_file": "copy_file"})
     )
-    first = merge_notebooks(copies).select(
+    first = notebooks.select(
         "nb_key",
         "owner_email",
         "folder",
         F.col("title").alias("notebook_title"),
-        F.col("root_path").alias("_first_root"),
-        F.col("nb_file").alias("_first_file"),
+        F.struct("root_path", "nb_file").alias("_first"),
     )
     return (
         kept.join(first, "nb_key")
         .withColumn(
             "from_later_copy",
-            (F.col("root_path") != F.col("_first_root")) | (F.col("nb_file") != F.col("_first_file")),
+            (F.col("copy_path") != F.col("_first.root_path"))
+            | (F.col("copy_file") != F.col("_first.nb_file")),
         )
         .withColumn(
             "relative_sharepoint_path",
             staged_path(F.col("owner_email"), F.col("folder"), "Sources", F.col("title")),
         )
-        .drop("_first_root", "_first_file")
-        .withColumnsRenamed({"root_path": "copy_path", "nb_file": "copy_file"})
+        .drop("_first")
     )
 
 

@@ -2,44 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK_ITEMS = 1000
-
+from codexferry.storage import materialize
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; make one only in local mode."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(named)
+CHUNK_ITEMS = 1000
+# Rows of one key that a single task may sort.
+MAX_GROUP = 1_000_000
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str = "position",
+    max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """1-based position of each row within its key, in the given (unique) order.
 
-    A window by key would sort a hot key in one task. Here the rows are range
-    partitioned by key and order, so a hot key spans many tasks; each task counts
-    on its own and starts where the tasks before it ended. The tagged rows are
-    checkpointed because counts and rows must see the same ranges.
+    Group sizes are measured first. If none is above ``max_group``, a window by key
+    does it in one shuffle. Else a hot key would be sorted in one task, so the rows
+    are ranged by key and order and counted range by range.
+    """
+    if keys and _groups_within(df, keys, max_group):
+        by_key = W.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(by_key).cast("long"))
+    return _number_by_range(df, keys, order, name)
+
+
+def _groups_within(df: DataFrame, keys: Sequence[str], bound: int) -> bool:
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.where(F.col("n") > bound).isEmpty()
+
+
+def _number_by_range(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
+) -> DataFrame:
+    """A hot key spans many ranges; each starts where the ranges before it ended.
+
+    The ranged rows are written because counts and rows must see the same ranges.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = (
-        df.repartitionByRange(*keys, *order)
-        .withColumn("_range", F.spark_partition_id())
-        .checkpoint()
+    tagged = materialize(
+        df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
     )
     ranges = tagged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -48,21 +56,21 @@ def number_rows(
     offsets = (
         ranges.withColumn("_offset", F.sum("_n").over(before))
         .where(F.col("_offset") > 0)
-        .drop("_n")
+        .select(
+            *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
+            F.col("_range").alias("_offset_range"),
+            "_offset",
+        )
     )
-    for key in keys:
-        offsets = offsets.withColumnRenamed(key, f"_key_{key}")
-    offsets = offsets.withColumnRenamed("_range", "_key__range")
     local = W.partitionBy("_range", *keys).orderBy(*order)
-    match = F.col("_range") == F.col("_key__range")
-    for key in keys:
-        match = match & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
+    match = F.col("_range") == F.col("_offset_range")
+    for i, key in enumerate(keys):
+        match = match & F.col(key).eqNullSafe(F.col(f"_key_{i}"))
+    offset = F.coalesce(F.col("_offset"), F.lit(0).cast("long"))
     return (
-        tagged.withColumn("_local", F.row_number().over(local))
+        tagged.withColumn("_local", F.row_number().over(local).cast("long"))
         .join(F.broadcast(offsets), match, "left")
-        .withColumn(
-            name, F.col("_local").cast("long") + F.coalesce(F.col("_offset"), F.lit(0).cast("long"))
-        )
+        .withColumn(name, F.col("_local") + offset)
         .select(*df.columns, name)
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,9 +14,10 @@ from codexferry.functions import text as T
 from codexferry.operators import notebooks as N
 from codexferry.operators import summary as S
 from codexferry.operators.docx import render_docx
-from codexferry.operators.fanout import fan_out_files, fan_out_template
+from codexferry.operators.fanout import fan_out_files, fan_out_template, is_template
 from codexferry.operators.identity import map_identity
 from codexferry.operators.ordering import number_rows
+from codexferry.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -53,45 +54,46 @@ class Manifest:
         return S.attach_children(self.notebooks, self.sources, self.notes, self.artifacts, size)
 
 
+EXTRACTED = ("copies", "sources", "notes", "artifacts")
+
+
 def extract(tree: DataFrame, default_owner: str, work_uri: str | None = None) -> Extracted:
-    """Find and parse everything in a tree.
+    """Find and parse everything in a tree, and write it.
 
-    With ``work_uri`` the parsed tables are written there and read back. Pages are
-    then parsed once, a lost executor costs no second parse, and steps that need no
-    text (all but the documents) do not read it. Re-mapping owners starts from
-    these tables as well.
+    Pages are parsed once, a lost executor costs no second parse, and steps that
+    need no text (all but the documents) do not read it. With ``work_uri`` the
+    tables stay there and :func:`read_extracted` finds them, so that owners can be
+    mapped anew without another extraction.
     """
-    found = Extracted(
-        N.discover_notebooks(tree, default_owner),
-        N.parse_sources(N.discover_sources(tree)),
-        N.discover_notes(tree),
-        N.discover_artifacts(tree),
+    found = {
+        "copies": N.discover_notebooks(tree, default_owner),
+        "sources": N.parse_sources(N.discover_sources(tree)),
+        "notes": N.discover_notes(tree),
+        "artifacts": N.discover_artifacts(tree),
+    }
+    base = work_uri.rstrip("/") if work_uri else None
+    return Extracted(
+        *[materialize(found[n], f"{base}/{n}" if base else None) for n in EXTRACTED]
     )
-    if work_uri is None:
-        return found
-    base, spark = work_uri.rstrip("/"), tree.sparkSession
-    for name in ("copies", "sources", "notes", "artifacts"):
-        getattr(found, name).write.mode("overwrite").parquet(f"{base}/{name}")
-    return read_extracted(spark, base)
 
 
-def read_extracted(spark, work_uri: str) -> Extracted:
+def read_extracted(spark: SparkSession, work_uri: str) -> Extracted:
     base = work_uri.rstrip("/")
-    names = ("copies", "sources", "notes", "artifacts")
-    return Extracted(*[spark.read.parquet(f"{base}/{n}") for n in names])
+    return Extracted(*[spark.read.parquet(f"{base}/{n}") for n in EXTRACTED])
 
 
 def merge(found: Extracted) -> Manifest:
     """Merge copies and number the children of each notebook."""
-    notebooks = N.merge_notebooks(found.copies)
-    sources = N.merge_sources(found.sources.drop("blocks"), found.copies)
+    notebooks = materialize(N.merge_notebooks(found.copies))
+    sources = N.merge_sources(found.sources.drop("blocks"), found.copies, notebooks)
     notes = N.first_copy_children(found.notes.drop("blocks"), notebooks, "Notes")
     artifacts = N.first_copy_children(found.artifacts, notebooks, "Artifacts")
+    by_copy = ["copy_path", "copy_file", "file"]
     return Manifest(
         notebooks,
-        number_rows(sources, ["nb_key"], ["copy_path", "copy_file", "file"]),
-        number_rows(notes, ["nb_key"], ["copy_path", "file"]),
-        number_rows(artifacts, ["nb_key"], ["copy_path", "file"]),
+        materialize(number_rows(sources, ["nb_key"], by_copy)),
+        materialize(number_rows(notes, ["nb_key"], ["copy_path", "file"])),
+        materialize(number_rows(artifacts, ["nb_key"], ["copy_path", "file"])),
     )
 
 
@@ -103,14 +105,15 @@ def map_owners(
 ) -> Manifest:
     """Map owners and fan a template out; needs no new extraction."""
     notebooks = map_identity(manifest.notebooks, identity)
-    sources = fan_out_files(manifest.sources, notebooks, identity, "Sources")
+    template = is_template(manifest.notebooks, identity)
+    sources = fan_out_files(manifest.sources, identity, template, "Sources")
     kind = "Notes" if rewrite_note_paths else None
-    notes = fan_out_files(manifest.notes, notebooks, identity, kind)
-    artifacts = fan_out_files(manifest.artifacts, notebooks, identity, None)
+    notes = fan_out_files(manifest.notes, identity, template, kind)
+    artifacts = fan_out_files(manifest.artifacts, identity, template, None)
     docx = T.join_path(F.lit(stage_root.rstrip("/")), F.col("relative_sharepoint_path"))
     return replace(
         manifest,
-        notebooks=fan_out_template(notebooks, identity),
+        notebooks=fan_out_template(notebooks, identity, template),
         sources=sources.withColumn("docx_path", docx),
         notes=notes.withColumn("docx_path", docx),
         artifacts=artifacts,
