@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("columns", "extracts", "staging", "provisioning")
+MODULES = ("columns", "extracts", "staging", "provisioning", "stored")
 
 
 def load():

@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 from codexferry.operators.identity import identity_map
 from codexferry.operators.notebooks import merge_notebooks, notebook_rows
 from codexferry.plans.manifest import Extracted, Manifest, extract, merge
+from codexferry.storage import spread
 
 DEFAULT_OWNER = "default@old.example"
 STAGE_ROOT = "/stage"
 
 
+# Tables of long texts: work on them is worth all cores.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows
 
 
 def user(number: Column) -> Column:

@@ -88,16 +88,21 @@ def _events(spark, sf):
 
 
 @query(
-    "status_tests",
-    f"""SELECT event_id, s IS NULL OR s IN (429, 500, 502, 503, 504) AS retryable, coalesce(s IN (200, 201), false) AS http_ok
+    "retryable",
+    f"""SELECT event_id, s IS NULL OR s IN (429, 500, 502, 503, 504) AS retryable
     FROM (SELECT event_id, {STATUS} AS s FROM events)""",
 )
-def status_tests(spark, sf):
-    return _events(spark, sf).select(
-        "event_id",
-        R.retryable(F.col("status")).alias("retryable"),
-        R.http_ok(F.col("status")).alias("http_ok"),
-    )
+def retryable(spark, sf):
+    return _events(spark, sf).select("event_id", R.retryable(F.col("status")).alias("retryable"))
+
+
+@query(
+    "http_ok",
+    f"""SELECT event_id, coalesce(s IN (200, 201), false) AS http_ok
+    FROM (SELECT event_id, {STATUS} AS s FROM events)""",
+)
+def http_ok(spark, sf):
+    return _events(spark, sf).select("event_id", R.http_ok(F.col("status")).alias("http_ok"))
 
 
 @query(

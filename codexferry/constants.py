@@ -18,7 +18,7 @@ VIDEO_URL_PREFIX = "https://www.youtube.com/watch?v="
 SITE_URL_PREFIX = "https://contoso.sharepoint.com/sites/GeminiNotebooks/Shared Documents/"
 
 # File names.
-FORBIDDEN_FILE_CHARS = '<>:"/\\|?*'
+FORBIDDEN_FILE_CHARS = r'[<>:"/\\|?*\x00-\x1f]'
 MAX_FILE_NAME = 180
 EMAIL_PATTERN = r"([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)"
 

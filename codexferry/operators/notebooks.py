@@ -133,6 +133,25 @@ def split_tree(tree: DataFrame) -> DataFrame:
     )
 
 
+KINDS = {"source": "Sources", "note": "Notes", "artifact": "Artifacts"}
+
+
+def classify_tree(tree: DataFrame) -> DataFrame:
+    """The files that matter with their ``kind``: notebook, source, note, artifact."""
+    dir_name, file = F.col("dir_name"), F.col("file")
+    kind = F.when(
+        skip_child_dirs(dir_name) & suffix_filter(file, C.METADATA_SUFFIX), "notebook"
+    )
+    for name, folder in KINDS.items():
+        kind = kind.when(dir_name == folder, name)
+    return (
+        split_tree(tree)
+        .withColumn("kind", kind)
+        .where(F.col("kind").isNotNull())
+        .select("archive", "entry_path", "entry_no", "content", "kind")
+    )
+
+
 def _last_content(files: DataFrame, keys: list[str]) -> DataFrame:
     """Content of each path from its last archive.
 

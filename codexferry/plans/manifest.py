@@ -60,18 +60,24 @@ EXTRACTED = ("copies", "sources", "notes", "artifacts")
 def extract(tree: DataFrame, default_owner: str, work_uri: str | None = None) -> Extracted:
     """Find and parse everything in a tree, and write it.
 
-    Pages are parsed once, a lost executor costs no second parse, and steps that
-    need no text (all but the documents) do not read it. With ``work_uri`` the
-    tables stay there and :func:`read_extracted` finds them, so that owners can be
-    mapped anew without another extraction.
+    The files are written first, by kind, so that archives are unpacked once and
+    each step reads its own kind. Pages are parsed once, a lost executor costs no
+    second parse, and steps that need no text (all but the documents) do not read
+    it. With ``work_uri`` the tables stay there and :func:`read_extracted` finds
+    them, so that owners can be mapped anew without another extraction.
     """
+    base = work_uri.rstrip("/") if work_uri else None
+    files = materialize(N.classify_tree(tree), f"{base}/files" if base else None, by="kind")
+
+    def kind(name: str) -> DataFrame:
+        return files.where(F.col("kind") == name).drop("kind")
+
     found = {
-        "copies": N.discover_notebooks(tree, default_owner),
-        "sources": N.parse_sources(N.discover_sources(tree)),
-        "notes": N.discover_notes(tree),
-        "artifacts": N.discover_artifacts(tree),
+        "copies": N.discover_notebooks(kind("notebook"), default_owner),
+        "sources": N.parse_sources(N.discover_sources(kind("source"))),
+        "notes": N.discover_notes(kind("note")),
+        "artifacts": N.discover_artifacts(kind("artifact")),
     }
-    base = work_uri.rstrip("/") if work_uri else None
     return Extracted(
         *[materialize(found[n], f"{base}/{n}" if base else None) for n in EXTRACTED]
     )

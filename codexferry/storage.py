@@ -25,9 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame, uri: str | None = None) -> DataFrame:
-    """Write a table and read it back; to ``uri`` or to a new shared folder."""
+def materialize(df: DataFrame, uri: str | None = None, by: str | None = None) -> DataFrame:
+    """Write a table and read it back; to ``uri`` or to a new shared folder.
+
+    ``by`` is a column of few values that becomes a directory level.
+    """
     spark = df.sparkSession
     uri = uri or f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(uri)
-    return spark.read.parquet(uri)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(uri)
+    return spark.read.schema(df.schema).parquet(uri)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for an input of few partitions; a large input stays as it is."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, key) if df.rdd.getNumPartitions() < tasks else df
