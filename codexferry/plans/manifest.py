@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codexferry import constants as C
@@ -126,13 +125,33 @@ def map_owners(
     )
 
 
-def _paragraphs(df: DataFrame, source_type, added, url, channel) -> DataFrame:
-    return df.withColumn(
-        "paragraphs",
-        D.paragraph_styles(
-            F.col("title"), source_type, F.col("owner_email"), added, url, channel, F.col("blocks")
-        ),
+def _staged(children: DataFrame, copies: DataFrame, kind: str) -> DataFrame:
+    """Children of every copy with the path that their document takes."""
+    path = N.staged_path(F.col("owner_email"), F.col("folder"), kind, F.col("title"))
+    return (
+        N.in_copies(children, copies).withColumn("kind", F.lit(kind)).withColumn("path", path)
+    )
+
+
+def _replaced(found: Extracted) -> DataFrame:
+    """Documents that a later copy replaces, by name.
+
+    Found on the names alone and written, so that Spark knows its size: the texts
+    are not shuffled for it as long as the list can be broadcast.
+    """
+    names = ["root_path", "file", "title"]
+    order = F.struct("root_path", "nb_file", "file")
+    staged = (
+        _staged(found.sources.select(*names), found.copies, "Sources")
+        .unionByName(_staged(found.notes.select(*names), found.copies, "Notes"))
+        .select("path", *DOCUMENT_KEY)
     )
+    last = staged.groupBy("path").agg(F.max(order).alias("last"))
+    lost = staged.join(last, "path").where(order != F.col("last"))
+    return materialize(lost.select(*DOCUMENT_KEY))
+
+
+DOCUMENT_KEY = ["kind", "root_path", "nb_file", "file"]
 
 
 def document_rows(found: Extracted) -> DataFrame:
@@ -140,30 +159,25 @@ def document_rows(found: Extracted) -> DataFrame:
 
     Several copies may stage one path; the last copy wins.
     """
+
+    def styled(rows, source_type, added, url, channel) -> DataFrame:
+        paragraphs = D.paragraph_styles(
+            F.col("title"), source_type, F.col("owner_email"), added, url, channel, F.col("blocks")
+        )
+        return rows.select("path", *DOCUMENT_KEY, paragraphs.alias("paragraphs"))
+
     empty = F.lit("")
-    sources = _paragraphs(
-        N.in_copies(found.sources, found.copies),
+    sources = styled(
+        _staged(found.sources, found.copies, "Sources"),
         F.col("source_type"), F.col("added_timestamp"), F.col("source_url"),
         F.col("youtube_channel"),
-    ).withColumn("kind", F.lit("Sources"))
-    notes = _paragraphs(
-        N.in_copies(found.notes, found.copies), F.lit(C.TYPE_NOTE), F.lit(None), empty, empty
-    ).withColumn("kind", F.lit("Notes"))
-    columns = ["owner_email", "folder", "kind", "title", "root_path", "nb_file", "file", "paragraphs"]
-    rows = sources.select(*columns).unionByName(notes.select(*columns))
-    rows = rows.withColumn(
-        "path",
-        T.join_path(
-            F.col("owner_email"), F.col("folder"), F.col("kind"),
-            F.concat(T.sanitize_filename(F.col("title")), F.lit(".docx")),
-        ),
     )
-    last = W.partitionBy("path").orderBy(
-        F.desc("root_path"), F.desc("nb_file"), F.desc("file")
+    notes = styled(
+        _staged(found.notes, found.copies, "Notes"), F.lit(C.TYPE_NOTE), F.lit(None), empty, empty
     )
     return (
-        rows.withColumn("_rank", F.row_number().over(last))
-        .where("_rank = 1")
+        sources.unionByName(notes)
+        .join(_replaced(found), DOCUMENT_KEY, "left_anti")
         .select("path", "paragraphs")
     )
 

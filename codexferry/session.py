@@ -9,8 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Pages and archives are large values: keep Arrow batches short.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # Pages and archives are large values: Arrow batches are bounded by bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 

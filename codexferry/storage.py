@@ -6,6 +6,8 @@ executors without a second parse, and reads only the columns that it needs.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         if named is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="checkpoint-")
+            named = tempfile.mkdtemp(prefix="codexferry-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
