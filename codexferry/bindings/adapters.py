@@ -64,7 +64,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn(
             "root_path",
             F.concat(
-                F.lit("export"), text_of(copy), F.lit("/"), "owner", F.lit("/Takeout/"), "book_dir"
+                F.lit("export"), text_of(copy), F.lit("/"), "owner", F.lit("/Export/"), "book_dir"
             ),
         )
     )

@@ -63,7 +63,7 @@ DOCS = rf"""docs AS (
          doc_id % 23 = 5 AS pageless
   FROM documents),
 rooted AS (
-  SELECT *, 'export' || copy::VARCHAR || '/' || owner || '/Takeout/' || book_dir AS root_path
+  SELECT *, 'export' || copy::VARCHAR || '/' || owner || '/Export/' || book_dir AS root_path
   FROM docs)"""
 
 # Notebook copies and merged notebooks.

@@ -64,6 +64,14 @@ BLOCK_TAGS = HEADING_TAGS + ["p", "li", "pre", "blockquote"]
 TRANSFER_LIBRARY = "Documents"
 TRANSFER_ROOT = "NotebookLM_Migrated"
 INDEX_FILE = "Notebook_Sources_Index.md"
+INDEX_OWNER = "- **GWS Owner**: `"
+INDEX_LIBRARY_OWNER = "- **Target M365 / SharePoint Owner**: `"
+INDEX_TARGET_USER = "- **Target Gemini Enterprise User**: `"
+INDEX_TOTAL = "- **Total Sources**: "
+INDEX_SECTION = "## Sources Inventory & Original URLs"
+INDEX_HEADER = "| # | Source Title | Original Type | Original URL / Origin | SharePoint File |"
+INDEX_RULE = "|---|---|---|---|---|"
+INDEX_NO_URL = "_Uploaded File_"
 TRANSFER_FILE = "sharepoint_spmt_manifest.csv"
 SCRIPT_FILE = "upload_to_sharepoint_pnp.ps1"
 TRANSFER_COLUMNS = [
@@ -91,9 +99,27 @@ SOURCE_TYPE_LABELS = {
     "SOURCE_CONTENT_TYPE_PDF": "📕 PDF Document",
     "SOURCE_CONTENT_TYPE_POWERPOINT": "📊 PowerPoint",
 }
+LABEL_OTHER = "📄 "
+LABEL_URL = "🔗 "
+LABEL_CHANNEL = " 📺 "
+LABEL_NO_URL = "📁 Uploaded File Snapshot (Converted to .docx)"
 PREVIEW_LIMIT = 60
 
-# Word document parts.
+# Word document header lines, styles (size in half points, colour) and parts.
+DOCX_TYPE = "Original Source Type: "
+DOCX_OWNER = " | Owner: "
+DOCX_ADDED = " | Added: "
+DOCX_UNKNOWN = "N/A"
+DOCX_URL = "Original Source URL: "
+DOCX_CHANNEL = "YouTube Channel: "
+DOCX_BULLET = "• "
+STYLE_TITLE = (36, "1A73E8", True)
+STYLE_ABOUT = (18, "5F6368", False)
+STYLE_URL = (20, "1A73E8", True)
+STYLE_TEXT = (22, "202124", False)
+HEADING_SIZES = {1: 32, 2: 28}
+HEADING_SIZE_OTHER = 24
+HEADING_COLOR = "174EA6"
 DOCX_CONTENT_TYPES = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
 <Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">
   <Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>

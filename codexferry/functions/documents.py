@@ -38,25 +38,28 @@ def note_text(blocks: Column) -> Column:
     return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
 
 
-def _style(text: Column, size: Column | int, color: str, bold: bool | Column) -> Column:
+def _paragraph(text: Column, size: Column, color: str, bold: bool) -> Column:
     return F.struct(
-        text.alias("text"),
-        (F.lit(size) if isinstance(size, int) else size).alias("size"),
-        F.lit(color).alias("color"),
-        (F.lit(bold) if isinstance(bold, bool) else bold).alias("bold"),
+        text.alias("text"), size.alias("size"), F.lit(color).alias("color"), F.lit(bold).alias("bold")
     )
 
 
+def _styled(text: Column, style: tuple[int, str, bool]) -> Column:
+    size, color, bold = style
+    return _paragraph(text, F.lit(size), color, bold)
+
+
 def block_style(block: Column) -> Column:
     """Run size, colour and weight of one block."""
-    size = F.when(block["level"] == 1, 32).when(block["level"] == 2, 28).otherwise(24)
+    text, level = block["text"], block["level"]
+    sizes = [F.when(level == n, size) for n, size in C.HEADING_SIZES.items()]
+    size = F.coalesce(*sizes, F.lit(C.HEADING_SIZE_OTHER))
     return (
-        F.when(block["type"] == "heading", _style(block["text"], size, "174EA6", True))
+        F.when(block["type"] == "heading", _paragraph(text, size, C.HEADING_COLOR, True))
         .when(
-            block["type"] == "bullet",
-            _style(F.concat(F.lit("• "), block["text"]), 22, "202124", False),
+            block["type"] == "bullet", _styled(F.concat(F.lit(C.DOCX_BULLET), text), C.STYLE_TEXT)
         )
-        .otherwise(_style(block["text"], 22, "202124", False))
+        .otherwise(_styled(text, C.STYLE_TEXT))
     )
 
 
@@ -74,21 +77,17 @@ def paragraph_styles(
     NULL for ``added`` means "not known"; an empty URL or channel has no line.
     """
     about = F.concat(
-        F.lit("Original Source Type: "), source_type,
-        F.lit(" | Owner: "), owner,
-        F.lit(" | Added: "), F.coalesce(added, F.lit("N/A")),
+        F.lit(C.DOCX_TYPE), source_type,
+        F.lit(C.DOCX_OWNER), owner,
+        F.lit(C.DOCX_ADDED), F.coalesce(added, F.lit(C.DOCX_UNKNOWN)),
     )
+    url = F.concat(F.lit(C.DOCX_URL), source_url)
+    about_channel = F.concat(F.lit(C.DOCX_CHANNEL), channel)
     header = F.array(
-        _style(title, 36, "1A73E8", True),
-        _style(about, 18, "5F6368", False),
-        F.when(
-            source_url != "",
-            _style(F.concat(F.lit("Original Source URL: "), source_url), 20, "1A73E8", True),
-        ),
-        F.when(
-            channel != "",
-            _style(F.concat(F.lit("YouTube Channel: "), channel), 18, "5F6368", False),
-        ),
+        _styled(title, C.STYLE_TITLE),
+        _styled(about, C.STYLE_ABOUT),
+        F.when(source_url != "", _styled(url, C.STYLE_URL)),
+        F.when(channel != "", _styled(about_channel, C.STYLE_ABOUT)),
     )
     return F.concat(
         F.filter(header, lambda p: p.isNotNull()), F.transform(blocks, block_style)

@@ -32,20 +32,20 @@ def index_lines(notebooks: DataFrame, sources: DataFrame) -> DataFrame:
             F.array(
                 F.concat(F.lit("# "), F.coalesce("emoji", F.lit("None")), F.lit(" "), "title"),
                 F.lit(""),
-                F.concat(F.lit("- **GWS Owner**: `"), "owner_email", F.lit("`")),
-                F.concat(F.lit("- **Target M365 / SharePoint Owner**: `"), "m365_upn", F.lit("`")),
+                F.concat(F.lit(C.INDEX_OWNER), "owner_email", F.lit("`")),
+                F.concat(F.lit(C.INDEX_LIBRARY_OWNER), "m365_upn", F.lit("`")),
                 F.concat(
-                    F.lit("- **Target Gemini Enterprise User**: `"), "ge_target_email", F.lit("`")
+                    F.lit(C.INDEX_TARGET_USER), "ge_target_email", F.lit("`")
                 ),
                 F.concat(
-                    F.lit("- **Total Sources**: "),
+                    F.lit(C.INDEX_TOTAL),
                     F.coalesce("n_sources", F.lit(0)).cast("string"),
                 ),
                 F.lit(""),
-                F.lit("## Sources Inventory & Original URLs"),
+                F.lit(C.INDEX_SECTION),
                 F.lit(""),
-                F.lit("| # | Source Title | Original Type | Original URL / Origin | SharePoint File |"),
-                F.lit("|---|---|---|---|---|"),
+                F.lit(C.INDEX_HEADER),
+                F.lit(C.INDEX_RULE),
             )
         ).alias("line_no", "line"),
     )

@@ -31,7 +31,7 @@ def zip_bytes(entries, utf8_flag=True):
 
 def notebook(owner, name, sources, title=None, notes=None, artifacts=None, extra=None):
     """Entries of one notebook folder; sources is {base: (metadata, html or None)}."""
-    root = f"{owner}/Takeout/NotebookLM/{name}"
+    root = f"{owner}/Export/Books/{name}"
     meta = {"title": title if title is not None else name}
     meta.update(extra or {})
     entries = {f"{root}/{name} metadata.json": meta}
