@@ -12,6 +12,7 @@ from codexferry.bindings.staging import MAPPED, mapped_manifest
 from codexferry.functions import requests as R
 from codexferry.operators import provision as P
 from codexferry.operators import upload as U
+from codexferry.storage import materialize
 
 PROJECT, LOCATION = "123", "eu"
 BASE = f"https://{LOCATION}-{C.SERVICE_HOST}"
@@ -319,7 +320,7 @@ RESULTS = f"""results AS (
 
 def _results(spark, sf):
     plan = _plan(spark, sf)
-    outcomes = P.retry_outcome(_attempts(plan), P.PLAN_KEYS, ["attempt"])
+    outcomes = materialize(P.retry_outcome(_attempts(plan), P.PLAN_KEYS, ["attempt"]))
     return P.apply_outcomes(plan, outcomes)
 
 

@@ -15,7 +15,7 @@ from codexferry.operators import summary as S
 from codexferry.operators.docx import render_docx
 from codexferry.operators.fanout import fan_out_files, fan_out_template, is_template
 from codexferry.operators.identity import map_identity
-from codexferry.operators.ordering import number_rows
+from codexferry.operators.ordering import MAX_GROUP, number_rows
 from codexferry.storage import materialize
 
 
@@ -87,18 +87,24 @@ def read_extracted(spark: SparkSession, work_uri: str) -> Extracted:
     return Extracted(*[spark.read.parquet(f"{base}/{n}") for n in EXTRACTED])
 
 
-def merge(found: Extracted) -> Manifest:
-    """Merge copies and number the children of each notebook."""
+def merge(found: Extracted, max_group: int = MAX_GROUP) -> Manifest:
+    """Merge copies and number the children of each notebook.
+
+    A notebook with more than ``max_group`` children is numbered range by range.
+    """
+
+    def numbered(children: DataFrame, order: list[str]) -> DataFrame:
+        return materialize(number_rows(children, ["nb_key"], order, max_group=max_group))
+
     notebooks = materialize(N.merge_notebooks(found.copies))
     sources = N.merge_sources(found.sources.drop("blocks"), found.copies, notebooks)
     notes = N.first_copy_children(found.notes.drop("blocks"), notebooks, "Notes")
     artifacts = N.first_copy_children(found.artifacts, notebooks, "Artifacts")
-    by_copy = ["copy_path", "copy_file", "file"]
     return Manifest(
         notebooks,
-        materialize(number_rows(sources, ["nb_key"], by_copy)),
-        materialize(number_rows(notes, ["nb_key"], ["copy_path", "file"])),
-        materialize(number_rows(artifacts, ["nb_key"], ["copy_path", "file"])),
+        numbered(sources, ["copy_path", "copy_file", "file"]),
+        numbered(notes, ["copy_path", "file"]),
+        numbered(artifacts, ["copy_path", "file"]),
     )
 
 

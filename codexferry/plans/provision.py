@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from codexferry.operators import provision as P
 from codexferry.plans.manifest import Manifest
+from codexferry.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -54,8 +55,9 @@ def close_run(
 
     ``attempts`` has ``checkpoint_key, step, seq, attempt, status``.
     """
-    outcomes = P.retry_outcome(attempts, P.PLAN_KEYS, ["attempt"])
-    log = P.provision_log(P.apply_outcomes(plan, outcomes))
+    # Answers are read three times (request, link, create), the log as often.
+    outcomes = materialize(P.retry_outcome(attempts, P.PLAN_KEYS, ["attempt"]))
+    log = materialize(P.provision_log(P.apply_outcomes(plan, outcomes)))
     books = P.with_checkpoint_key(manifest.notebooks, "title")
     resumed = P.resumed_results(books, ledger)
     if not resume:
