@@ -442,16 +442,25 @@ def recover_source_url(spark, sf):
 
 
 # h1 and li are well-formed in every page, so a pattern finds their text.
+# The last character reference of a piece may lack its semicolon.
+UNESCAPED = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&lt(;|$)', '<', 'g'), "
+    "'&gt(;|$)', '>', 'g'), '&quot(;|$)', chr(34), 'g'), '&amp(;|$)', '&', 'g')"
+)
+
+
 @query(
     "html_blocks",
     r"""WITH found AS (
       SELECT page_id, unnest(regexp_extract_all(html, '<(?:h1|li)>.*?</(?:h1|li)>')) AS element FROM pages),
     texts AS (
       SELECT page_id, CASE WHEN element LIKE '<h1>%' THEN 'heading' ELSE 'bullet' END AS type,
-             trim(replace(replace(replace(regexp_replace(element, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS text
+             trim({text}) AS text
       FROM found)
     SELECT page_id, type, count(*) AS n_blocks, string_agg(text, '|' ORDER BY text) AS texts
-    FROM texts WHERE text <> '' GROUP BY page_id, type""",
+    FROM texts WHERE text <> '' GROUP BY page_id, type""".format(
+        text=UNESCAPED.format("regexp_replace(element, '<[^>]*>', '', 'g')")
+    ),
 )
 def html_blocks(spark, sf):
     """Headings and bullets of whole pages, texts in order of text."""
@@ -481,7 +490,7 @@ def html_blocks(spark, sf):
 # In the pages a paragraph that opens with <b> is never closed and holds the rest of
 # the article; every other paragraph ends at its own end tag.
 PIECES = f"""list_filter(list_transform(string_split(regexp_replace(x, '<[^>]*>', chr(1), 'g'), chr(1)),
-  lambda y: {Q.strip("replace(replace(replace(replace(y, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')")}),
+  lambda y: {Q.strip(UNESCAPED.format("y"))}),
   lambda y: y <> '')"""
 
 

@@ -73,3 +73,8 @@ def test_fallback_in_columns_matches_the_parser(column):
     text = "one\r\n two \x85\n\x1cthree "
     lines = column(D.text_line_blocks, [text])[0]
     assert [b.text for b in lines] == [x.strip() for x in text.splitlines() if x.strip()]
+
+
+def test_character_reference_without_semicolon():
+    assert texts("<p>a&amp</p>") == [("paragraph", None, "a&")]
+    assert texts("<p>a &lt<b>x</b> &am</p>") == [("paragraph", None, "a < x &am")]
