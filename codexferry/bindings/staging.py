@@ -69,24 +69,25 @@ def attach_children(spark, sf):
     )
 
 
+INDEX = """numbers AS (SELECT nb_key, count(*) AS n FROM sources GROUP BY 1),
+lines AS (
+  SELECT m.nb_key, m.sharepoint_folder, unnest(range(11)) AS line_no, unnest([
+    '# 📓 ' || m.title, '', '- **GWS Owner**: `' || m.owner_email || '`',
+    '- **Target M365 / SharePoint Owner**: `' || m.m365_upn || '`',
+    '- **Target Gemini Enterprise User**: `' || m.ge_target_email || '`',
+    '- **Total Sources**: ' || coalesce(n, 0)::VARCHAR, '', '## Sources Inventory & Original URLs', '',
+    '| # | Source Title | Original Type | Original URL / Origin | SharePoint File |', '|---|---|---|---|---|']) AS line
+  FROM mapped m LEFT JOIN numbers USING (nb_key)
+  UNION ALL
+  SELECT nb_key, owner_email || '/' || folder, position + 10,
+    '| ' || position::VARCHAR || ' | ' || title || ' | `' || source_type || '` | '
+    || CASE WHEN source_url <> '' THEN '[' || source_url || '](' || source_url || ')' ELSE '_Uploaded File_' END
+    || ' | `Sources/' || regexp_extract(relative_sharepoint_path, '[^/]*$') || '` |' FROM sources)"""
+
+
 @query(
     "index_lines",
-    f"""WITH {MAPPED},
-    numbers AS (SELECT nb_key, count(*) AS n FROM sources GROUP BY 1),
-    lines AS (
-      SELECT m.nb_key, m.sharepoint_folder, unnest(range(11)) AS line_no, unnest([
-        '# 📓 ' || m.title, '', '- **GWS Owner**: `' || m.owner_email || '`',
-        '- **Target M365 / SharePoint Owner**: `' || m.m365_upn || '`',
-        '- **Target Gemini Enterprise User**: `' || m.ge_target_email || '`',
-        '- **Total Sources**: ' || coalesce(n, 0)::VARCHAR, '', '## Sources Inventory & Original URLs', '',
-        '| # | Source Title | Original Type | Original URL / Origin | SharePoint File |', '|---|---|---|---|---|']) AS line
-      FROM mapped m LEFT JOIN numbers USING (nb_key)
-      UNION ALL
-      SELECT nb_key, owner_email || '/' || folder, position + 10,
-        '| ' || position::VARCHAR || ' | ' || title || ' | `' || source_type || '` | '
-        || CASE WHEN source_url <> '' THEN '[' || source_url || '](' || source_url || ')' ELSE '_Uploaded File_' END
-        || ' | `Sources/' || regexp_extract(relative_sharepoint_path, '[^/]*$') || '` |' FROM sources)
-    SELECT nb_key, sharepoint_folder, line_no, line FROM lines""",
+    f"WITH {MAPPED}, {INDEX} SELECT nb_key, sharepoint_folder, line_no, line FROM lines",
 )
 def index_lines(spark, sf):
     m = mapped_manifest(spark, sf)

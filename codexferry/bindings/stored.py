@@ -12,7 +12,7 @@ from codexferry.bindings import sqltext as Q
 from codexferry.bindings.columns import _styled, _xml_sql
 from codexferry.bindings.provisioning import LEDGER, _ledger
 from codexferry.bindings.registry import query
-from codexferry.bindings.staging import MAPPED, TRANSFER, mapped_manifest
+from codexferry.bindings.staging import INDEX, MAPPED, TRANSFER, mapped_manifest
 from codexferry.functions import documents as D
 from codexferry.operators import identity as I
 from codexferry.operators import provision as P
@@ -89,16 +89,16 @@ def read_manifest_json(spark, sf):
 
 @query(
     "write_index",
-    f"""WITH {MAPPED} SELECT m.sharepoint_folder, 11 + count(s.nb_key) AS n_lines
-    FROM mapped m LEFT JOIN sources s USING (nb_key) GROUP BY 1""",
+    f"""WITH {MAPPED}, {INDEX}
+    SELECT sharepoint_folder || '/{C.INDEX_FILE}' AS path, 0 AS part,
+      string_agg(line, chr(10) ORDER BY line_no) || chr(10) AS content FROM lines GROUP BY sharepoint_folder""",
 )
 def write_index(spark, sf):
-    """Indexes as text, one directory per notebook, and back."""
+    """Indexes as a table and back."""
     uri = _new_uri(spark)
     m = mapped_manifest(spark, sf)
-    K.write_index(S.index_lines(m.notebooks, m.sources), uri)
-    lines = spark.read.text(uri).groupBy("sharepoint_folder")
-    return lines.agg(F.count(F.lit(1)).alias("n_lines"))
+    K.write_index(S.index_files(S.index_lines(m.notebooks, m.sources)), uri)
+    return spark.read.parquet(uri)
 
 
 @query(

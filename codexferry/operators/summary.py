@@ -64,6 +64,27 @@ def index_lines(notebooks: DataFrame, sources: DataFrame) -> DataFrame:
     return head.withColumn("line_no", F.col("line_no").cast("long")).unionByName(rows)
 
 
+def index_files(lines: DataFrame, size: int = 10_000) -> DataFrame:
+    """Index lines as ``path, part, content``.
+
+    An ordinary index is one part; a very long one has several, and its parts in
+    order make the file.
+    """
+    part = F.floor(F.col("line_no") / size).cast("int")
+    text = F.transform(
+        F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]
+    )
+    return (
+        lines.groupBy("sharepoint_folder", part.alias("part"))
+        .agg(F.concat(F.array_join(text, "\n"), F.lit("\n")).alias("content"))
+        .select(
+            T.join_path(F.col("sharepoint_folder"), F.lit(C.INDEX_FILE)).alias("path"),
+            "part",
+            "content",
+        )
+    )
+
+
 def nest_children(
     children: DataFrame, fields: list[str], name: str, size: int = CHUNK_ITEMS
 ) -> DataFrame:

@@ -22,9 +22,13 @@ def export_files(files: DataFrame, root: str) -> None:
     """Each row of ``path, content`` as a file below ``root``.
 
     ``root`` must be a folder that all executors share. A task that runs again
-    replaces its files.
+    replaces its files. A row with a ``part`` above 0 gets it as a suffix.
     """
     home = os.path.abspath(root)
+    part = F.col("part") if "part" in files.columns else F.lit(0)
+    path = F.when(part > 0, F.concat("path", F.lit("."), part.cast("string"))).otherwise(
+        F.col("path")
+    )
 
     def write(rows: Iterable) -> None:
         for row in rows:
@@ -38,23 +42,16 @@ def export_files(files: DataFrame, root: str) -> None:
                 out.write(data.encode("utf-8") if isinstance(data, str) else data)
             os.replace(partial, target)
 
-    files.select("path", "content").foreachPartition(write)
+    files.select(path.alias("path"), "content").foreachPartition(write)
 
 
-def write_index(lines: DataFrame, uri: str) -> None:
-    """Index lines as text, one directory per notebook.
+def write_index(files: DataFrame, uri: str) -> None:
+    """Indexes (``path``, ``part``, ``content``) as a table.
 
-    Lines are ranged by notebook and number: parts of a directory in name order
-    hold the lines in order, however long the index is.
+    A directory or file per notebook would make the commit as slow as there are
+    notebooks; :func:`export_files` makes real files where they are needed.
     """
-    (
-        lines.repartitionByRange("sharepoint_folder", "line_no")
-        .sortWithinPartitions("sharepoint_folder", "line_no")
-        .select("sharepoint_folder", F.col("line").alias("value"))
-        .write.mode("overwrite")
-        .partitionBy("sharepoint_folder")
-        .text(uri)
-    )
+    files.select("path", "part", "content").write.mode("overwrite").parquet(uri)
 
 
 def write_transfer_manifest(transfer: DataFrame, uri: str) -> None:

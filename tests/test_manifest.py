@@ -269,9 +269,16 @@ def test_sinks_round_trip(spark, manifest, found, tmp_path):
     K.write_nested_manifest(manifest.nested(), f"{uri}/nested")
     nested = R.read_manifest_json(spark, f"{uri}/nested")
     assert nested.where("title = 'Solar'").first().emoji is None
-    K.write_index(S.index_lines(manifest.notebooks, manifest.sources), f"{uri}/index")
-    index = spark.read.text(f"{uri}/index").where("sharepoint_folder = 'ann@old.x/Solar'")
-    assert [r.value for r in index.collect()][0] == "# None Solar" and index.count() == 16
+    lines = S.index_lines(manifest.notebooks, manifest.sources)
+    K.write_index(S.index_files(lines), f"{uri}/index")
+    index = spark.read.parquet(f"{uri}/index").where("path like 'ann@old.x/Solar/%'").collect()
+    assert [r.path for r in index] == ["ann@old.x/Solar/Notebook_Sources_Index.md"]
+    parts = S.index_files(lines, size=5).where("path like 'ann@old.x/Solar/%'").orderBy("part").collect()
+    assert len(parts) == 4 and "".join(p.content for p in parts) == index[0].content
+    K.export_files(S.index_files(lines, size=5), f"{uri}/indexes")
+    folder = tmp_path / "indexes" / "ann@old.x" / "Solar"
+    assert (folder / "Notebook_Sources_Index.md.3").read_text() == parts[3].content
+    assert index[0].content.startswith("# None Solar\n\n") and index[0].content.count("\n") == 16
     K.write_documents(M.documents(found), f"{uri}/documents")
     documents = spark.read.parquet(f"{uri}/documents")
     K.export_files(documents, f"{uri}/staged")
