@@ -6,6 +6,7 @@ an exploded link table and the in-row choice of the best link.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +16,14 @@ from codexferry import constants as C
 from codexferry.functions.text import SPACE_CLASS, let, strip_space
 
 
+# Characters that turn into a delimiter of addresses when they are normalized.
+_DELIMITERS_IN_DISGUISE = "".join(
+    chr(c)
+    for c in (*range(0x80, 0xD800), *range(0xE000, 0x10000))
+    if set(unicodedata.normalize("NFKC", chr(c))) & set("/?#@:")
+)
+
+
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -47,11 +56,12 @@ def url_parts(url: Column) -> Column:
 
 
 def url_is_valid(parts: Column) -> Column:
-    """False for hosts with unbalanced or empty brackets."""
+    """False for hosts with unbalanced brackets or delimiters in disguise."""
     host = parts["netloc"]
+    honest = ~host.rlike(f"[{_DELIMITERS_IN_DISGUISE}]")
     plain = ~F.contains(host, F.lit("[")) & ~F.contains(host, F.lit("]"))
     bracketed = host.rlike(r"^([^\[\]]*@)?\[([0-9a-fA-F:.%]+|v[0-9a-fA-F]+\..+)\](:[^\[\]]*)?$")
-    return plain | bracketed
+    return honest & (plain | bracketed)
 
 
 def canonical_from_parts(parts: Column) -> Column:

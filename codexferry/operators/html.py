@@ -159,20 +159,30 @@ def _block_structs(flat: list[tuple]) -> pa.StructArray:
     )
 
 
-def parse_html(df: DataFrame, html: str = "html") -> DataFrame:
+def parse_html(df: DataFrame, html: str = "html", batch_chars: int = 64 << 20) -> DataFrame:
     """Replace column ``html`` by ``blocks`` and ``hrefs``; other columns pass through."""
     kept = [f for f in df.schema.fields if f.name != html]
     schema = T.StructType(kept + [BLOCKS_FIELD, HREFS_FIELD])
     names = [f.name for f in kept]
 
+    def with_parsed(batch: pa.RecordBatch, parsed: list) -> pa.RecordBatch:
+        blocks = _list_array([b for b, _ in parsed], _block_structs)
+        hrefs = _list_array([h for _, h in parsed], lambda x: pa.array(x, pa.string()))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(n) for n in names] + [blocks, hrefs], names=names + ["blocks", "hrefs"]
+        )
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parse_page(text.as_py()) for text in batch.column(html)]
-            blocks = _list_array([b for b, _ in parsed], _block_structs)
-            hrefs = _list_array([h for _, h in parsed], lambda x: pa.array(x, pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names] + [blocks, hrefs],
-                names=names + ["blocks", "hrefs"],
-            )
+            # Nested blocks repeat text: a batch may grow, so it goes out in pieces.
+            start, size, parsed = 0, 0, []
+            for i, text in enumerate(batch.column(html)):
+                parsed.append(parse_page(text.as_py()))
+                size += sum(len(b[2]) for b in parsed[-1][0])
+                if size >= batch_chars:
+                    yield with_parsed(batch.slice(start, len(parsed)), parsed)
+                    start, size, parsed = i + 1, 0, []
+            if parsed:
+                yield with_parsed(batch.slice(start), parsed)
 
     return df.mapInArrow(parse, schema)

@@ -69,6 +69,12 @@ def test_parse_html_passes_columns_through(spark):
     assert got[1].blocks == [] and got[1].hrefs == [] and got[1].n == 0
 
 
+def test_large_batches_go_out_in_pieces(spark):
+    df = spark.range(50).selectExpr("id", "concat('<p>page ', id, '</p>') as html").coalesce(1)
+    rows = parse_html(df, batch_chars=20).collect()
+    assert {r.id: r.blocks[0].text for r in rows} == {i: f"page {i}" for i in range(50)}
+
+
 def test_fallback_in_columns_matches_the_parser(column):
     text = "one\r\n two \x85\n\x1cthree "
     lines = column(D.text_line_blocks, [text])[0]

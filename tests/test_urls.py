@@ -42,6 +42,19 @@ def test_invalid_hosts(column):
     assert got == [False, False, False, True, True]
 
 
+def test_host_validity_matches_urlparse(column):
+    hosts = ["a.x", "a\u2100b.x", "a\uff0fb", "a\uff1ab", "b\u00fccher.x", "\u2488x", "a\uff20b", "u@h:1"]
+    urls = [f"http://{h}/p" for h in hosts]
+
+    def parses(url):
+        try:
+            return bool(urlparse(url))
+        except ValueError:
+            return False
+
+    assert column(lambda c: U.url_is_valid(U.url_parts(c)), urls) == [parses(u) for u in urls]
+
+
 def test_blocked_links(column):
     values = {
         "https://twitter.com/a": (False, False),
