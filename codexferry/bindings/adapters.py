@@ -291,7 +291,7 @@ def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("in/"), number, F.lit("-"), "owner", F.lit("/t.zip")).alias("archive"),
             F.array(
                 F.concat(F.lit("Página/é"), number, F.lit(".txt")),
-                F.concat(F.lit("more/takeout-"), "lang", F.lit("@nested.example.zip")),
+                F.concat(F.lit("more/part-"), "lang", F.lit("@nested.example.zip")),
                 F.concat(F.lit("broken"), number, F.lit(".zip")),
             ).alias("names"),
             F.array(body, F.col("inner"), F.encode(F.lit("no archive"), "UTF-8")).alias("contents"),

@@ -26,7 +26,7 @@ packed AS (SELECT *, 'in/' || doc_id::VARCHAR || '-' || owner || '/t.zip' AS arc
 REPAIRED = f"""{PACKED},
 entries AS (
   SELECT archive, {OWNER} || '/Página/é' || doc_id::VARCHAR || '.txt' AS entry_path, md5(text) AS content_md5, false AS failed FROM packed
-  UNION ALL SELECT archive, {OWNER} || '/takeout-' || lang || '@nested.example/Notes/n' || doc_id::VARCHAR || '.txt', md5(text), false FROM packed
+  UNION ALL SELECT archive, {OWNER} || '/part-' || lang || '@nested.example/Notes/n' || doc_id::VARCHAR || '.txt', md5(text), false FROM packed
   UNION ALL SELECT archive, {OWNER} || '/broken' || doc_id::VARCHAR || '.zip', md5('no archive'), true FROM packed)"""
 
 
@@ -80,7 +80,7 @@ def unnest_archives(spark, sf):
     "read_export_bucket",
     f"""WITH {PACKED},
     named AS (SELECT *, {Q.owner_in('archive', OWNER)} AS dest FROM packed)
-    SELECT archive, dest || '/more/takeout-' || lang || '@nested.example.zip' AS entry_path, false AS failed FROM named
+    SELECT archive, dest || '/more/part-' || lang || '@nested.example.zip' AS entry_path, false AS failed FROM named
     UNION ALL SELECT archive, dest || '/broken' || doc_id::VARCHAR || '.zip', false FROM named
     UNION ALL SELECT archive, dest || '/P├ígina/├⌐' || doc_id::VARCHAR || '.txt', false FROM named""",
 )

@@ -69,14 +69,14 @@ def attach_children(spark, sf):
     )
 
 
-INDEX = """numbers AS (SELECT nb_key, count(*) AS n FROM sources GROUP BY 1),
+INDEX = f"""numbers AS (SELECT nb_key, count(*) AS n FROM sources GROUP BY 1),
 lines AS (
   SELECT m.nb_key, m.sharepoint_folder, unnest(range(11)) AS line_no, unnest([
-    '# 📓 ' || m.title, '', '- **GWS Owner**: `' || m.owner_email || '`',
-    '- **Target M365 / SharePoint Owner**: `' || m.m365_upn || '`',
-    '- **Target Gemini Enterprise User**: `' || m.ge_target_email || '`',
-    '- **Total Sources**: ' || coalesce(n, 0)::VARCHAR, '', '## Sources Inventory & Original URLs', '',
-    '| # | Source Title | Original Type | Original URL / Origin | SharePoint File |', '|---|---|---|---|---|']) AS line
+    '# 📓 ' || m.title, '', '{C.INDEX_OWNER}' || m.owner_email || '`',
+    '{C.INDEX_LIBRARY_OWNER}' || m.m365_upn || '`',
+    '{C.INDEX_TARGET_USER}' || m.ge_target_email || '`',
+    '{C.INDEX_TOTAL}' || coalesce(n, 0)::VARCHAR, '', '{C.INDEX_SECTION}', '',
+    '{C.INDEX_HEADER}', '{C.INDEX_RULE}']) AS line
   FROM mapped m LEFT JOIN numbers USING (nb_key)
   UNION ALL
   SELECT nb_key, owner_email || '/' || folder, position + 10,

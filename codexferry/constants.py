@@ -20,6 +20,7 @@ SITE_URL_PREFIX = "https://contoso.sharepoint.com/sites/GeminiNotebooks/Shared D
 # File names.
 FORBIDDEN_FILE_CHARS = r'[<>:"/\\|?*\x00-\x1f]'
 MAX_FILE_NAME = 180
+ARCHIVE_AFFIXES = r"^takeout-|\.zip$"
 EMAIL_PATTERN = r"([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)"
 
 # Identity map: accepted headers, in order of preference.

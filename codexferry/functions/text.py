@@ -60,8 +60,8 @@ def infer_owner_email(path: Column, default: Column | str) -> Column:
 
 
 def strip_archive_affixes(owner: Column) -> Column:
-    """Drop the ``takeout-`` prefix and ``.zip`` suffix that a greedy match keeps."""
-    return F.regexp_replace(owner, r"^takeout-|\.zip$", "")
+    """Drop the prefix and suffix of an archive's name that a greedy match keeps."""
+    return F.regexp_replace(owner, C.ARCHIVE_AFFIXES, "")
 
 
 def base_name(file: Column) -> Column:

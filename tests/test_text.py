@@ -43,7 +43,7 @@ def test_sanitize_is_idempotent_below_the_limit(spark):
 
 def test_infer_owner_email(column):
     values = {
-        "x/User.One+a@Old.Example/Takeout": "user.one+a@old.example",
+        "x/User.One+a@Old.Example/Export": "user.one+a@old.example",
         "takeout-user1@dom.com.zip": "takeout-user1@dom.com.zip",
         "first@a.com/second@b.com": "first@a.com",
         "no address": "Default@X",
