@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -103,14 +104,17 @@ def nest_chunks(
 
 
 def pair_all(
-    left: DataFrame, right: DataFrame, left_id: Sequence[str], right_id: Sequence[str],
-    side: int = 8,
+    left: DataFrame, right: DataFrame, left_id: Sequence[str], right_id: Sequence[str]
 ) -> DataFrame:
     """Every left row with every right row, for an operator whose result is just that.
 
-    Rows are placed on a ``side`` x ``side`` grid of equal cells and joined by cell,
-    so no side has to fit into a task and the result is spread evenly.
+    Rows are placed on a square grid of equal cells and joined by cell, so no side
+    has to fit into a task and the result is spread evenly. There are at least as
+    many cells as shuffle partitions, so all of them get work.
     """
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = max(8, math.isqrt(partitions - 1) + 1)
+
     def cell(ids):
         return F.pmod(F.xxhash64(*ids), F.lit(side)).cast("int")
 
