@@ -70,6 +70,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Keys up to which the key side of a semi-join is sent to all tasks (16 MB); more are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose key is (or, ``left_anti``, isn't) among ``keys``; wide rows stay where they are if the keys are few."""
+    keys = materialize(keys.select(key))
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, how)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links, as (node, component).
 

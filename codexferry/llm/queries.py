@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codexferry.llm import bpe
+from codexferry.llm import bpe, neardup
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -17,6 +17,36 @@ def load():
     return dict(QUERIES), dict(SQL)
 
 
+NEAR_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as t
+  from documents
+), s as (
+  select doc_id, unnest(list_distinct(case when len(t) = 0 then [] when len(t) < 4 then [list_aggregate(t, 'string_agg', ' ')]
+    else list_transform(range(1, len(t) - 2), i -> list_aggregate(t[i:i + 3], 'string_agg', ' ')) end)) as g
+  from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select g from s group by g having count(*) > 1),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from (select * from s where g in (from shared)) a join (select * from s where g in (from shared)) b
+    on a.g = b.g and a.doc_id < b.doc_id group by all
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), e as (select a, b from l union select b, a from l),
+r as (select doc_id as d, doc_id as m from documents union select e.b, r.m from r join e on e.a = r.d where r.m < e.b)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.m as component_id, w.doc_id = m.m as kept
+from w left join n using (doc_id) join (select d, min(m) as m from r group by d) m on m.d = w.doc_id
+"""
+
+
+@query("op2_minhash_near_dedup", NEAR_SQL)
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -25,4 +55,4 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def byte_bpe(docs: DataFrame) -> DataFrame:
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    return bpe.digest(bpe.decode(ids, RANKS, public_tokenizers.PATTERN))
+    return bpe.digest(ids, RANKS, public_tokenizers.PATTERN)
