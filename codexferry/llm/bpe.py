@@ -17,22 +17,25 @@ are read and returned, so other columns, whatever their names, do no harm.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
+import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from codexferry.llm.common import slices
 
-#: Pieces of one text that are handled at a time, and different pieces that a task remembers.
-RUN, REMEMBERED = 500_000, 200_000
+#: Pieces of one text that are handled at a time, those that a task remembers, and those encoded at once.
+RUN, REMEMBERED, AT_ONCE = 500_000, 100_000, 5_000
 SLICE = 4 << 20
 
 
@@ -52,6 +55,8 @@ class Codec:
     """Vocabulary, pattern and the pieces seen so far; one per worker process."""
 
     def __init__(self, path: str, pattern: str):
+        # One task is one thread: Spark runs the tasks side by side.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ranks = read_ranks(path)
         shown = byte_characters()
         name = {token: "".join(map(shown.__getitem__, token)) for token in ranks}
@@ -66,42 +71,54 @@ class Codec:
         self._tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._pattern = regex.compile(pattern)
         self._seen: dict[str, tuple] = {}
-        # Back from characters to bytes, for each token of the vocabulary.
+        # Back from characters to bytes: all tokens' bytes in one array, and where each begins.
         back = {c: b for b, c in enumerate(shown)}
         self._bytes = {rank: bytes(map(back.__getitem__, text)) for text, rank in vocabulary.items()}
+        self._flat = np.frombuffer(b"".join(self._bytes[r] for r in sorted(self._bytes)), np.uint8)
+        self._length = np.zeros(max(self._bytes, default=-1) + 1, np.int64)
+        self._length[list(self._bytes)] = [len(b) for b in self._bytes.values()]
+        self._start = np.cumsum(self._length) - self._length
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], offsets: bool) -> None:
         if len(self._seen) > REMEMBERED:
             self._seen.clear()
-        new = list({p for p in pieces if p not in self._seen})
-        for piece, code in zip(new, self._tokenizer.encode_batch(new), strict=True):
-            self._seen[piece] = (code.ids, code.offsets)
+        new = list({p for p in pieces if p not in self._seen or offsets and self._seen[p][1] is None})
+        for start in range(0, len(new), AT_ONCE):
+            part = new[start : start + AT_ONCE]
+            codes = (self._tokenizer.encode_batch if offsets else self._tokenizer.encode_batch_fast)(part)
+            for piece, code in zip(part, codes, strict=True):
+                own = np.array(code.offsets, np.int64).reshape(-1, 2) if offsets else None
+                self._seen[piece] = (array("I", code.ids).tobytes(), own)
 
     def encode(self, text: str, offsets: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Ids, and the first and last-but-one character of each token if asked for."""
-        ids, places, at = [np.empty(0, np.uint32)], [np.empty((0, 2), np.int64)], 0
+        ids, places, at = [], [np.empty((0, 2), np.int64)], 0
         found = (m.group() for m in self._pattern.finditer(text)) if len(text) > RUN else iter(self._pattern.findall(text))
         while pieces := list(islice(found, RUN)):
-            self._learn(pieces)
+            self._learn(pieces, offsets)
             codes = [self._seen[p] for p in pieces]
-            ids.append(np.fromiter(chain.from_iterable(c[0] for c in codes), np.uint32))
+            ids += [c[0] for c in codes]
             if offsets:
                 ends = np.cumsum([0, *map(len, pieces)]) + at
                 at = int(ends[-1])
-                own = np.array([o for c in codes for o in c[1]], np.int64).reshape(-1, 2)
-                places.append(own + np.repeat(ends[:-1], [len(c[0]) for c in codes])[:, None])
-        return np.concatenate(ids), np.concatenate(places) if offsets else None
-
-    def decode_bytes(self, ids) -> bytes:
-        return b"".join(map(self._bytes.__getitem__, ids))
+                own = np.concatenate([c[1] for c in codes])
+                places.append(own + np.repeat(ends[:-1], [len(c[1]) for c in codes])[:, None])
+        return np.frombuffer(b"".join(ids), np.uint32), np.concatenate(places) if offsets else None
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        if int(ids.max()) >= len(self._length) or not self._length[ids].all():
+            raise ValueError("an id is not in the vocabulary")
+        lengths = self._length[ids]
+        ends = np.cumsum(lengths)
+        return self._flat[np.arange(ends[-1]) + np.repeat(self._start[ids] - (ends - lengths), lengths)].tobytes()
 
     def decode_pieces(self, ids) -> list[str]:
         """The text that each id completes: a character split over ids comes with its last one.
 
         Bytes that are no UTF-8, also an unfinished character at the end, give U+FFFD.
         """
-        import codecs
-
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
         out = [decoder.decode(self._bytes[i]) for i in ids]
         if out:
@@ -136,42 +153,45 @@ def encode(
     return df.select(key, text).mapInArrow(run, ", ".join(fields))
 
 
+def _id_rows(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    for start, length in zip(cuts.tolist(), lengths.tolist(), strict=False):
+        yield values[start : start + length]
+
+
 def decode(
     df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids", pieces: bool = False
 ) -> DataFrame:
-    """(key, ids, decoded bytes); with ``pieces`` also the text that each id completes."""
-    fields = [f"`{key}` {df.schema[key].dataType.simpleString()}", "ids array<int>", "decoded binary"]
-    fields += ["pieces array<string>"] * pieces
+    """(key, decoded bytes); with ``pieces`` also the text that each id completes."""
+    names = [key, "decoded", "pieces"][: 2 + pieces]
+    fields = [f"`{key}` {df.schema[key].dataType.simpleString()}", "decoded binary", "pieces array<string>"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            rows = [[] if x is None else x for x in (batch[ids][i].as_py() for i in range(batch.num_rows))]
-            columns = [batch[key], batch[ids], pa.array([own.decode_bytes(x) for x in rows], pa.binary())]
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            columns = [batch[key], pa.array([own.decode_bytes(x) for x in _id_rows(batch[ids])], pa.binary())]
             if pieces:
-                columns.append(pa.array([own.decode_pieces(x) for x in rows], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, [key, "ids", "decoded", "pieces"][: len(columns)])
+                columns.append(pa.array([own.decode_pieces(x.tolist()) for x in _id_rows(batch[ids])], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.select(key, F.col(ids)).mapInArrow(run, ", ".join(fields))
+    return df.select(key, ids).mapInArrow(run, ", ".join(fields[: 2 + pieces]))
 
 
-def digest(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of ids and decoded bytes."""
+def digest(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): the ids, and the bytes that they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
         for batch in batches:
-            lists = batch["ids"]
-            values = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            cuts = lists.offsets.to_numpy()
-            sums = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]
-            texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch["decoded"]]
-            lengths = pa.array(np.diff(cuts).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch[key], lengths, pa.array(sums, pa.string()), pa.array(texts, pa.string())],
-                [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = decoded.schema[key].dataType.simpleString()
-    return decoded.select(key, "ids", "decoded").mapInArrow(
-        run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+            found = [
+                (len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(own.decode_bytes(x)).hexdigest())
+                for x in _id_rows(batch["ids"])
+            ]
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            kinds = (pa.int64(), pa.string(), pa.string())
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch[key], *arrays], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = encoded.schema[key].dataType.simpleString()
+    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
