@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codexferry.llm import bpe, neardup
+from codexferry.llm import bpe, neardup, ngram
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -17,6 +18,19 @@ def load():
     return dict(QUERIES), dict(SQL)
 
 
+def key_hash(key: str = "doc_id") -> Column:
+    """crc32 of the key as text; of the empty text for a null key."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+
+
+@query("op1_deleted_interpolation")
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = key_hash() % 7 == 2
+    found = ngram.scores(docs, ~held_out, F.floor(key_hash() / 7) % 10 == 0)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 NEAR_SQL = r"""
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
