@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexferry.llm import bpe, neardup, ngram
+from codexferry.llm import bpe, decontam, neardup, ngram
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -70,3 +70,36 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe(docs: DataFrame) -> DataFrame:
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
     return bpe.digest(ids, RANKS, public_tokenizers.PATTERN)
+
+
+LEAK_SQL = r"""
+with dw as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as t from documents
+), iw as (
+  select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as t from benchmark
+), masks as (
+  select unnest([[0, 2, 5, 6, 7], [0, 3, 4, 5, 7]]) as m, 8 as span
+  union all select range(n), n from (select distinct len(t) as n from iw where len(t) between 1 and 7)
+), ip as (select item_id, t, m, span, unnest(range(len(t) - span + 1)) as p from iw, masks
+    where len(t) = span or (span = 8 and len(t) > 8)),
+dp as (select doc_id, t, m, span, unnest(range(len(t) - span + 1)) as p from dw, masks where len(t) >= span),
+ik as (select item_id, span, p, m, list_transform(m, o -> t[p + o + 1]) as k from ip),
+dk as (select doc_id, span, p, m, list_transform(m, o -> t[p + o + 1]) as k from dp),
+hit as (select distinct doc_id, item_id, dk.p - ik.p as d from dk join ik using (span, m, k)),
+cmp as (
+  select doc_id, item_id, least(len(iw.t), 13) as w, list_transform(range(len(iw.t)),
+    i -> case when i + d >= 0 and i + d < len(dw.t) and dw.t[i + d + 1] = iw.t[i + 1] then 1 else 0 end) as e
+  from hit join dw using (doc_id) join iw using (item_id)
+), best as (
+  select doc_id, item_id, w, list_max(list_transform(range(len(e) - w + 1), j -> list_sum(e[j + 1:j + w]))) as n from cmp
+)
+select doc_id, item_id, max(n)::int as "equal", w::int as "window" from best
+where n >= w - [%s][w] group by doc_id, item_id, w
+""" % ", ".join(str(decontam.tolerance(i)) for i in range(1, decontam.WINDOW + 1))
+
+
+@query("op10_spaced_seed_decontamination", LEAK_SQL)
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
