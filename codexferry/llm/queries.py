@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexferry.llm import bpe, decontam, neardup, ngram
+from codexferry.llm import bpe, decontam, neardup, ngram, pii
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -103,3 +103,14 @@ where n >= w - [%s][w] group by doc_id, item_id, w
 @query("op10_spaced_seed_decontamination", LEAK_SQL)
 def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The key of the surrogates in the registered queries; a real run brings its own.
+PII_KEY = "registered-query"
+
+
+@query("op9_surrogate_pii")
+def op9_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymized(docs, PII_KEY, spans=True)
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), F.col("pii.kind").alias("kinds"))
