@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexferry.llm import bpe, decontam, neardup, ngram, pii
+from codexferry.llm import bpe, decontam, neardup, ngram, pii, toxicity
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -114,3 +114,15 @@ def op9_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.pseudonymized(docs, PII_KEY, spans=True)
     return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), F.col("pii.kind").alias("kinds"))
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from the labels whose key's hash is not divisible by 5."""
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), key_hash() % 5 != 0)
+
+
+@query("op5_nearest_toxicity")
+def op5_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity_model(docs, spark, sf_dir))
+    return found.select("doc_id", (key_hash() % 5 == 0).alias("held_out"), "score", "predicted", "evidence")
