@@ -6,10 +6,15 @@ on. Each class has ``BANDS * ROWS`` SetSketch registers: register i is
 ``floor(1 - log_b(min over the set of x_i))``, cut to 0..q+1, for x_i exponentially distributed;
 registers of a union are the greater ones, so sketches merge. Bands of registers propose pairs:
 
-1. In each bucket every class is compared with one pivot; what links forms components. Buckets
-   that still hold several components get another pivot (``STARS`` times in all).
-2. Buckets that hold several components even now pair the classes of different components. After
-   that every pair of a bucket is either in one component or has been compared.
+1. In each bucket every class is compared with one pivot; what links forms components. Only
+   buckets that still hold several components go on.
+2. Of each class left, the shingles that some other class left has too are counted. A link needs
+   ``percent / (100 + percent)`` of both sizes in common, so a class without so many, whatever
+   partner its buckets hold, is out: a bound, not a guess. In a large group of variants of one text
+   this drops the variants that changed too much to link with any other, without pairing them.
+3. The class that shares most is the next pivot. Then buckets that hold several components even
+   now pair the classes of different components. After that every pair of a bucket is in one
+   component, has been compared, or is ruled out by its sizes or by step 2.
 
 A proposed pair first passes sizes (their ratio bounds the similarity) and the likelihood of its
 register comparison: similarity is estimated from the number of registers that are greater,
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexferry.llm.common import components, hash_strings, mixed, semi_join, slices, split_words
@@ -40,7 +45,6 @@ from codexferry.storage import materialize
 BANDS, ROWS = 32, 5
 BASE, TOP = 1.02, 2**16 - 2  # b and q + 1 of the sketch
 SLACK = 0.15
-STARS = 2
 
 _DRAW = np.random.default_rng(20_011)
 _ODD = _DRAW.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,6 +195,30 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _star(left: DataFrame, order: Column) -> DataFrame:
+    """Each bucket's classes paired with its first one in the given order."""
+    pivot = F.min_by(F.struct("class", "part"), F.struct(order, "class"))
+    star = left.groupBy("bucket").agg(pivot.alias("pivot"))
+    pairs = left.join(star, "bucket").where("part != pivot.part and class != pivot.class")
+    return pairs.select(*_ordered("class", "pivot.class")).distinct()
+
+
+def _unsettled(left: DataFrame, parts: DataFrame) -> DataFrame:
+    """The buckets in which several components are left, with each class's component as ``part``."""
+    named = left.drop("part").join(parts.withColumnRenamed("node", "class"), "class", "left")
+    named = named.withColumn("part", F.coalesce("component", "class")).drop("component")
+    several = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
+    return named.join(several.select("bucket"), "bucket")
+
+
+def _shared_shingles(sets: DataFrame, left: DataFrame) -> DataFrame:
+    """(class, shared): how many of a class's shingles another class left has as well."""
+    own = sets.join(left.select("class").distinct(), "class", "left_semi")
+    alone = own.select("class", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("class").alias("class"))
+    alone = alone.where("c = 1").groupBy("class").agg(F.count("*").alias("alone"))
+    return own.select("class", F.size("hashes").alias("all")).join(alone, "class", "left").select("class", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -205,30 +233,32 @@ def near_duplicates(
     left = materialize(left.join(classes.select("class", "n"), "class"))
     sets = materialize(_sets(docs, classes.join(left.select("class").distinct(), "class", "left_semi"), key, text, width))
 
-    tried, links = None, None
-    for step in range(STARS + 1):
-        if step < STARS:
-            pivot = F.expr(f"min_by(struct(class, part), xxhash64(class, {step}))")
-            star = left.groupBy("bucket").agg(pivot.alias("pivot"))
-            pairs = left.join(star, "bucket").where("part != pivot.part and class != pivot.class")
-            pairs = pairs.select(*_ordered("class", "pivot.class")).distinct()
-        else:
-            other = left.select("bucket", F.col("class").alias("other"), F.col("part").alias("part_b"), F.col("n").alias("n_b"))
-            pairs = left.join(other, "bucket").where("class < other and part != part_b")
-            pairs = pairs.where(F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)
-            pairs = pairs.select(*_ordered("class", "other")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    def compared(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(pairs tried so far, those of these pairs that link)."""
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         likely = materialize(_likely(pairs, classes, percent))
-        tried = likely if tried is None else tried.unionByName(likely)
-        found = materialize(_verified(likely, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        parts = components(links)
-        # Go on with the buckets in which several components are left.
-        left = left.drop("part").join(parts.withColumnRenamed("node", "class"), "class", "left")
-        left = left.select("bucket", "class", "n", F.coalesce("component", "class").alias("part"))
-        several = left.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
-        left = materialize(left.join(several.select("bucket"), "bucket")) if step < STARS else left
+        return likely if tried is None else tried.unionByName(likely), materialize(_verified(likely, sets, percent))
+
+    tried, links = compared(_star(left, F.xxhash64("class")), None)
+    parts = components(links)
+    left = materialize(_unsettled(left, parts))
+    left = left.join(_shared_shingles(sets, left), "class")
+    smallest = left.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    needed = (F.col("n") + F.greatest(F.col("n") * percent / 100, F.col("least_n"))) * percent
+    left = left.join(smallest, "bucket").where(F.col("shared") * (100 + percent) >= needed).drop("least_n")
+    left = materialize(_unsettled(left, parts))
+
+    tried, found = compared(_star(left, -F.col("shared") / F.col("n")), tried)
+    links = links.unionByName(found)
+    parts = components(links)
+    left = materialize(_unsettled(left, parts))
+
+    other = left.select("bucket", F.col("class").alias("other"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
+    pairs = left.join(other, "bucket").where("class < other and part != part_b")
+    pairs = pairs.where(F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)
+    pairs = pairs.where(F.least("shared", "shared_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent)
+    _, found = compared(pairs.select(*_ordered("class", "other")).distinct(), tried)
+    parts = components(links.unionByName(found))
 
     parts = classes.select("class", "head").join(parts.withColumnRenamed("node", "class"), "class", "left")
     parts = parts.select("class", "head", F.coalesce("component", "class").alias("part"))
