@@ -36,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codexferry.llm.common import components, hash_strings, mixed, semi_join, slices, split_words
+from codexferry.llm.common import BROADCAST_KEYS, components, hash_strings, mixed, semi_join, slices, split_words
 from codexferry.storage import materialize
 
 BANDS, ROWS = 32, 5
@@ -222,7 +223,10 @@ def _shared_shingles(sets: DataFrame, left: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, class) per row of ``docs``."""
+    """(doc_id, n_shingles, component_id, kept, class, part) per row of ``docs``.
+
+    ``class`` is the digest of the text's set and ``part`` that of its component, null without words.
+    """
     rows = materialize(sketch(docs, key, text, width))
     full = rows.where("class is not null")
     heads = full.groupBy("class").agg(F.min("doc_id").alias("head"), F.min("n_shingles").alias("n"))
@@ -263,8 +267,47 @@ def near_duplicates(
     parts = classes.select("class", "head").join(parts.withColumnRenamed("node", "class"), "class", "left")
     parts = parts.select("class", "head", F.coalesce("component", "class").alias("part"))
     least = parts.groupBy("part").agg(F.min("head").alias("component_id"))
-    parts = parts.join(least, "part").select("class", "component_id")
+    parts = parts.join(least, "part").select("class", "component_id", "part")
     out = rows.select("doc_id", "n_shingles", "class").join(parts, "class", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "class")
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "class", "part")
+
+
+def _classed(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """The rows with their class digest as ``_class``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            sets = shingle_sets(batch[text], width)
+            names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, "_class"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_class", T.BinaryType())])
+    return docs.mapInArrow(run, schema)
+
+
+def deduplicated(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
+) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of near-duplicates.
+
+    The row with the smallest key of a group stays; of several with that key, or if the group has
+    no key, one of the smallest class. Rows whose text has no words stay.
+    """
+    found = materialize(near_duplicates(docs, key, text, width, percent))
+    # Rows are told apart by key. Null and repeated keys can't be: they are few, and are grouped by text.
+    odd = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("odd"))
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("odd")).unionByName(odd).distinct()
+    odd, gone = materialize(odd), materialize(gone)
+    match = F.col(key).eqNullSafe(F.col("odd"))
+    small = lambda x: F.broadcast(x) if x.count() <= BROADCAST_KEYS else x
+    plain = docs.join(small(gone), match, "left_anti")
+    rest = _classed(docs.join(small(odd), match, "left_semi"), text, width)
+    groups = found.where("class is not null").select("class", "part", "component_id").distinct()
+    rest = rest.join(groups.withColumnsRenamed({"class": "_c", "part": "_part", "component_id": "_component"}), F.col("_class") == F.col("_c"), "left")
+    rest = rest.where(F.col("_class").isNull() | F.col(key).eqNullSafe(F.col("_component")))
+    first = F.row_number().over(Window.partitionBy("_part").orderBy("_class"))
+    once = rest.where("_class is not null").withColumn("_first", first).where("_first = 1")
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    return plain.unionByName(once.select(*keep)).unionByName(rest.where("_class is null").select(*keep))

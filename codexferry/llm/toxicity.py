@@ -224,6 +224,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
     return model
 
 
+def _votes(texts: pa.Array, m: Model) -> tuple[np.ndarray, list]:
+    """Each text's score, and its neighbours with their cosines."""
+    row, term, tf = occurrences(texts, pa.array(m.terms, pa.string()))
+    cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+    weights = unit(row, (1 + np.log(tf)) * m.idf[term], len(texts))
+    found = [m.nearest(term[a:b], weights[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return np.array([m.vote(*f) for f in found]), found
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, predicted, evidence) per row; evidence: nearest examples, cosines, labels."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -232,17 +241,22 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        chosen = pa.array(m.terms, pa.string())
         for batch in slices(batches, text):
-            row, term, tf = occurrences(batch[text], chosen)
-            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            weights = (1 + np.log(tf)) * m.idf[term]
-            weights = unit(row, weights, batch.num_rows)
-            found = [m.nearest(term[a:b], weights[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            votes = np.array([m.vote(*f) for f in found])
+            votes, found = _votes(batch[text], m)
             shown = [[{"example": str(m.refs[i]), "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(*f, strict=True)] for f in found]
             arrays = [batch[key], pa.array(votes), pa.array((votes >= 0.5).astype(np.int32)), pa.array(shown, evidence)]
             yield pa.RecordBatch.from_arrays(arrays, [key, "score", "predicted", "evidence"])
 
     schema = f"`{key}` {kind}, score double, predicted int, evidence array<struct<example:string,cosine:double,label:int>>"
     return docs.select(key, text).mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(_votes(batch[text], shared.value)[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
