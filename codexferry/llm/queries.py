@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexferry.llm import bpe, decontam, neardup, ngram, pii, toxicity
+from codexferry.llm import bpe, caps, decontam, neardup, ngram, pii, toxicity
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -126,3 +126,22 @@ def op5_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity_model(docs, spark, sf_dir))
     return found.select("doc_id", (key_hash() % 5 == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
+CAPS_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, x -> x <> 0)) > 0),
+u as (select vec_id, list_transform(e, x -> x / sqrt(list_sum(list_transform(e, y -> y * y)))) as e from v),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  and list_inner_product(a.e, b.e) >= 0.95),
+r as (select vec_id as d, vec_id as m from embeddings union select l.b, r.m from r join l on l.a = r.d where r.m < l.b),
+m as (select d, min(m) as m from r group by d), n as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, m.m as component_id, vec_id = m.m as kept
+from embeddings left join n on n.a = vec_id join m on m.d = vec_id
+"""
+
+
+@query("op7_cap_vector_dedup", CAPS_SQL)
+def op7_cap_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
