@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexferry.llm import bpe, caps, decontam, neardup, ngram, pii, toxicity
+from codexferry.llm import bpe, caps, chat, decontam, neardup, ngram, pii, toxicity
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -34,11 +34,11 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEAR_SQL = r"""
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as t
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as t
   from documents
 ), s as (
   select doc_id, unnest(list_distinct(case when len(t) = 0 then [] when len(t) < 4 then [list_aggregate(t, 'string_agg', ' ')]
-    else list_transform(range(1, len(t) - 2), i -> list_aggregate(t[i:i + 3], 'string_agg', ' ')) end)) as g
+    else list_transform(range(1, len(t) - 2), lambda i: list_aggregate(t[i:i + 3], 'string_agg', ' ')) end)) as g
   from w
 ), n as (select doc_id, count(*) as n from s group by doc_id),
 shared as (select g from s group by g having count(*) > 1),
@@ -75,25 +75,25 @@ def byte_bpe(docs: DataFrame) -> DataFrame:
 LEAK_SQL = r"""
 with dw as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as t from documents
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as t from documents
 ), iw as (
   select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as t from benchmark
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as t from benchmark
 ), masks as (
   select unnest([[0, 2, 5, 6, 7], [0, 3, 4, 5, 7]]) as m, 8 as span
   union all select range(n), n from (select distinct len(t) as n from iw where len(t) between 1 and 7)
 ), ip as (select item_id, t, m, span, unnest(range(len(t) - span + 1)) as p from iw, masks
     where len(t) = span or (span = 8 and len(t) > 8)),
 dp as (select doc_id, t, m, span, unnest(range(len(t) - span + 1)) as p from dw, masks where len(t) >= span),
-ik as (select item_id, span, p, m, list_transform(m, o -> t[p + o + 1]) as k from ip),
-dk as (select doc_id, span, p, m, list_transform(m, o -> t[p + o + 1]) as k from dp),
+ik as (select item_id, span, p, m, list_transform(m, lambda o: t[p + o + 1]) as k from ip),
+dk as (select doc_id, span, p, m, list_transform(m, lambda o: t[p + o + 1]) as k from dp),
 hit as (select distinct doc_id, item_id, dk.p - ik.p as d from dk join ik using (span, m, k)),
 cmp as (
   select doc_id, item_id, least(len(iw.t), 13) as w, list_transform(range(len(iw.t)),
-    i -> case when i + d >= 0 and i + d < len(dw.t) and dw.t[i + d + 1] = iw.t[i + 1] then 1 else 0 end) as e
+    lambda i: case when i + d >= 0 and i + d < len(dw.t) and dw.t[i + d + 1] = iw.t[i + 1] then 1 else 0 end) as e
   from hit join dw using (doc_id) join iw using (item_id)
 ), best as (
-  select doc_id, item_id, w, list_max(list_transform(range(len(e) - w + 1), j -> list_sum(e[j + 1:j + w]))) as n from cmp
+  select doc_id, item_id, w, list_max(list_transform(range(len(e) - w + 1), lambda j: list_sum(e[j + 1:j + w]))) as n from cmp
 )
 select doc_id, item_id, max(n)::int as "equal", w::int as "window" from best
 where n >= w - [%s][w] group by doc_id, item_id, w
@@ -130,9 +130,9 @@ def op5_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CAPS_SQL = """
 with recursive v as (select vec_id, embedding::double[] as e from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0),
-u as (select vec_id, list_transform(e, x -> x / sqrt(list_sum(list_transform(e, y -> y * y)))) as e from v),
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as e from v),
 l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   and list_inner_product(a.e, b.e) >= 0.95),
 r as (select vec_id as d, vec_id as m from embeddings union select l.b, r.m from r join l on l.a = r.d where r.m < l.b),
@@ -145,3 +145,52 @@ from embeddings left join n on n.a = vec_id join m on m.d = vec_id
 @query("op7_cap_vector_dedup", CAPS_SQL)
 def op7_cap_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+CHAT_SQL = """
+with last as (select conv_id, max(turn) as t from conversations group by conv_id),
+b as (
+  select distinct conv_id, turn, 'c' as side, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select distinct conv_id, turn, 'r', coalesce(role, ''), case when role = 'assistant' and turn * 2 >= last.t
+    then left(coalesce(text, ''), length(coalesce(text, '')) // 2) else coalesce(text, '') end
+  from conversations join last using (conv_id)
+), t as (
+  select conv_id, turn, list((role, text) order by role, text) filter (side = 'c') as c,
+    list((role, text) order by role, text) filter (side = 'r') as r from b group by all
+), e as (select conv_id, min(turn) as fin from t where c is distinct from r group by conv_id),
+m as (
+  select conv_id, b.turn, b.turn // 256 as chunk, role, text,
+    case when fin is null or b.turn < fin then 'p' else side end as part
+  from b left join e using (conv_id) where side = 'c' or b.turn >= fin
+), o as (
+  select *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as s,
+    row_number() over (partition by conv_id, chunk, part order by turn, role, text) as k,
+    coalesce(sum(length(role) + length(text) + 13) over (partition by conv_id, chunk, part
+      order by turn, role, text rows between unbounded preceding and 1 preceding), 0)::int as pos
+  from m
+), l as (select *, pos + length(role) + 5 as f, pos + length(role) + length(text) + 12 as g from o)
+select conv_id, chunk::bigint as chunk,
+  coalesce(string_agg(s, '' order by k) filter (part = 'p'), '') as prompt,
+  coalesce(string_agg(s, '' order by k) filter (part = 'c'), '') as chosen,
+  coalesce(string_agg(s, '' order by k) filter (part = 'r'), '') as rejected,
+  coalesce(string_agg(f || '-' || g, ',' order by k) filter (part = 'c' and role = 'assistant'), '') as chosen_spans,
+  coalesce(string_agg(f || '-' || g, ',' order by k) filter (part = 'r' and role = 'assistant'), '') as rejected_spans,
+  count(*) filter (part = 'p')::int as prompt_turns, count(*) filter (part = 'c')::int as chosen_turns,
+  count(*) filter (part = 'r')::int as rejected_turns
+from l group by conv_id, chunk
+"""
+
+
+@query("op4_preference_chat", CHAT_SQL)
+def op4_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rejected side is derived: assistants break off half-way in the second half of the turns."""
+    talks = table(spark, sf_dir, "conversations")
+    last = talks.groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("last"))
+    text = F.coalesce("text", F.lit(""))
+    broken = (F.col("role") == "assistant") & (F.col("turn") * 2 >= F.col("last"))
+    worse = F.when(broken, F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))).otherwise(text)
+    rejected = talks.join(last, F.col("conv_id") == F.col("c")).select("conv_id", "turn", "role", worse.alias("text"))
+    found = chat.preferences(talks, rejected)
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
+    return found.withColumns({c: shown(c) for c in ("chosen_spans", "rejected_spans")})
