@@ -13,7 +13,7 @@ registers of a union are the greater ones, so sketches merge. Bands of registers
    partner its buckets hold, is out: a bound, not a guess. In a large group of variants of one text
    this drops the variants that changed too much to link with any other, without pairing them.
 3. The class that shares most is the next pivot. Then buckets that hold several components even
-   now pair the classes of different components. After that every pair of a bucket is in one
+   now compare the classes of different components, block by block; only likely pairs come out. After that every pair of a bucket is in one
    component, has been compared, or is ruled out by its sizes or by step 2.
 
 A proposed pair first passes sizes (their ratio bounds the similarity) and the likelihood of its
@@ -46,6 +46,7 @@ from codexferry.storage import materialize
 BANDS, ROWS = 32, 5
 BASE, TOP = 1.02, 2**16 - 2  # b and q + 1 of the sketch
 SLACK = 0.15
+BLOCK = 2000
 
 _DRAW = np.random.default_rng(20_011)
 _ODD = _DRAW.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,8 +66,8 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         if count >= width:
             yield np.unique(rolled[end - count : end - width + 1])
         elif count:
-            whole = sum(h * f for h, f in zip(hashes[end - count : end], factors, strict=False))
-            yield mixed(np.array([whole + np.uint64(count)]))
+            whole = (hashes[end - count : end] * np.array(factors[:count])).sum(keepdims=True)
+            yield mixed(whole + np.uint64(count))
         else:
             yield np.empty(0, np.uint64)
 
@@ -204,6 +205,45 @@ def _star(left: DataFrame, order: Column) -> DataFrame:
     return pairs.select(*_ordered("class", "pivot.class")).distinct()
 
 
+def _across(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in one bucket but not in one component that sizes, shared shingles and registers allow.
+
+    A bucket of more than ``BLOCK`` classes has a task for each pair of its blocks; only the pairs
+    that pass leave a task.
+    """
+    counts = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int").alias("side")
+    rows = left.join(counts, "bucket").select("bucket", "class", "part", "n", "shared", "blocks", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("bucket", "class", "part", "n", "shared", "side", other)
+    rows = rows.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
+    rows = rows.join(classes.select("class", "regs"), "class")
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        left, right = key[1].as_py(), key[2].as_py()
+        names, side = rows["class"].to_pylist(), rows["side"].to_numpy()
+        parts = np.unique(np.array(rows["part"].to_pylist(), object), return_inverse=True)[1]
+        n, shared = rows["n"].to_numpy().astype(float), rows["shared"].to_numpy().astype(float)
+        regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(len(names), -1)
+        # Members of the largest component meet the others only.
+        largest = np.bincount(parts).argmax()
+        found = set()
+        for x in np.flatnonzero(parts != largest):
+            y = np.flatnonzero((parts != parts[x]) & ((side != side[x]) | (left == right)))
+            y = y[np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent]
+            y = y[np.minimum(shared[x], shared[y]) * (100 + percent) >= (n[x] + n[y]) * percent]
+            # Half of the registers alike is far less than the likelihood below asks for.
+            y = y[(regs[y] == regs[x]).mean(axis=1) >= 0.5]
+            if len(y):
+                own = np.broadcast_to(regs[x], (len(y), regs.shape[1]))
+                y = y[estimate(own, regs[y], np.full(len(y), n[x]), n[y]) >= percent / 100 - SLACK]
+                found.update((min(names[x], names[i]), max(names[x], names[i])) for i in y)
+        columns = zip(*sorted(found), strict=True) if found else ([], [])
+        return pa.table([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+
+
 def _unsettled(left: DataFrame, parts: DataFrame) -> DataFrame:
     """The buckets in which several components are left, with each class's component as ``part``."""
     named = left.drop("part").join(parts.withColumnRenamed("node", "class"), "class", "left")
@@ -257,11 +297,7 @@ def near_duplicates(
     parts = components(links)
     left = materialize(_unsettled(left, parts))
 
-    other = left.select("bucket", F.col("class").alias("other"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
-    pairs = left.join(other, "bucket").where("class < other and part != part_b")
-    pairs = pairs.where(F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)
-    pairs = pairs.where(F.least("shared", "shared_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent)
-    _, found = compared(pairs.select(*_ordered("class", "other")).distinct(), tried)
+    _, found = compared(_across(left, classes, percent), tried)
     parts = components(links.unionByName(found))
 
     parts = classes.select("class", "head").join(parts.withColumnRenamed("node", "class"), "class", "left")

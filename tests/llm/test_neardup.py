@@ -57,7 +57,8 @@ def texts(seed):
 
 
 @pytest.mark.parametrize("seed,width", [(1, 4), (2, 5)])
-def test_matches_brute_force(spark, seed, width):
+def test_matches_brute_force(spark, monkeypatch, seed, width):
+    monkeypatch.setattr(neardup, "BLOCK", 4 * seed)
     rows = [(i + 1, t) for i, t in enumerate(texts(seed))]
     rows += [(None, rows[3][1]), (None, "seen once only here and now"), (5, "another text of one key in two rows"), rows[7]]
     random.Random(3).shuffle(rows)
