@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from codexferry.llm.common import ODD, hash_strings, mixed, slices, split_words
 from codexferry.storage import materialize
 
-PACK = 8 << 20
+PACK = 4 << 20
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: EM: rounds, cells per octave, tokens that the weights over all contexts count for in a context.
 ROUNDS, CELLS, PRIOR = 40, 4, 10.0
