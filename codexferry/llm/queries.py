@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexferry.llm import bpe, caps, chat, decontam, neardup, ngram, pii, toxicity
+from codexferry.llm import bpe, caps, chat, decontam, langid, neardup, ngram, pii, toxicity
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -194,3 +194,9 @@ def op4_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.preferences(talks, rejected)
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
     return found.withColumns({c: shown(c) for c in ("chosen_spans", "rejected_spans")})
+
+
+@query("op3_fused_language")
+def op3_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), model)
