@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexferry.llm import bpe, caps, chat, decontam, langid, neardup, ngram, pii, toxicity
+from codexferry.llm import bpe, caps, chat, decontam, langid, neardup, ngram, passages, pii, toxicity
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -200,3 +200,8 @@ def op4_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(table(spark, sf_dir, "documents"))
     return langid.identify(table(spark, sf_dir, "pages"), model)
+
+
+@query("op8_chained_passages")
+def op8_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
