@@ -96,8 +96,11 @@ def source_json() -> Column:
         F.when(F.col("lang") == "fr", video).alias("youtubeMetadata"),
     )
     whole = F.to_json(F.struct(inner.alias("metadata")))
-    # A broken file ends early.
-    return F.when(F.col("broken"), F.substring(whole, 1, 30)).otherwise(whole)
+    # A broken file ends early or goes on after its end.
+    broken = F.when(F.col("doc_id") % 2 == 0, F.substring(whole, 1, 30)).otherwise(
+        F.concat(whole, F.lit(" {}"))
+    )
+    return F.when(F.col("broken"), broken).otherwise(whole)
 
 
 def source_html() -> Column:
@@ -123,7 +126,8 @@ def artifact_json() -> Column:
     spanish = F.to_json(F.struct(F.lit("ARTIFACT_TYPE_ES").alias("artifactType")))
     return (
         F.when(F.col("lang") == "fr", french)
-        .when(F.col("broken"), F.lit("[1"))
+        .when(F.col("broken") & (F.col("doc_id") % 2 == 0), F.lit("[1"))
+        .when(F.col("broken"), F.concat(spanish, F.lit("]")))
         .otherwise(spanish)
     )
 
@@ -141,11 +145,17 @@ def export_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     note, art = F.concat(F.lit("Note "), number), F.concat(F.lit("Art "), number)
     pages = d.where(~F.col("pageless"))
     books = notebook_json(d)
+    # No notebook: text follows the object.
+    tailed = books.select(
+        F.concat("root_path", F.lit("/Tail metadata.json")).alias("entry_path"),
+        F.concat("metadata", F.lit(" x")).alias("content"),
+    )
     tree = (
         books.select(
             F.concat("root_path", F.lit("/"), "nb_file").alias("entry_path"),
             F.col("metadata").alias("content"),
         )
+        .unionByName(tailed)
         .unionByName(files(d, "/Sources/", F.concat("base", meta), source_json()))
         .unionByName(files(pages, "/Sources/", F.concat("base", F.lit(".html")), source_html()))
         .unionByName(

@@ -96,6 +96,7 @@ def read_export_bucket(spark, sf):
 TREE = f"""{Q.DOCS.replace('WITH', '')},
 tree AS (
   SELECT DISTINCT root_path || '/' || book_dir || ' metadata.json' AS entry_path FROM rooted
+  UNION ALL SELECT DISTINCT root_path || '/Tail metadata.json' FROM rooted
   UNION ALL SELECT root_path || '/Sources/' || base || ' metadata.json' FROM rooted
   UNION ALL SELECT root_path || '/Sources/' || base || '.html' FROM rooted WHERE NOT pageless
   UNION ALL SELECT root_path || '/Notes/Note ' || doc_id::VARCHAR || '.html' FROM rooted WHERE lang = 'de'

@@ -109,7 +109,7 @@ sources AS (
          s.youtube_channel, s.word_count, s.root_path AS copy_path, s.file,
          b.owner_email, b.folder, b.title AS notebook_title,
          s.root_path <> b.root_path AS from_later_copy,
-         b.owner_email || '/' || b.folder || '/Sources/' || {sanitize('s.title')} || '.docx'
+         s.owner_email || '/' || s.folder || '/Sources/' || {sanitize('s.title')} || '.docx'
            AS relative_sharepoint_path,
          row_number() OVER (PARTITION BY s.nb_key ORDER BY s.root_path, s.nb_file, s.file) AS position
   FROM by_title s JOIN books b USING (nb_key) WHERE s.rk = 1)"""

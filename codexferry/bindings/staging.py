@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codexferry import constants as C
@@ -15,6 +17,9 @@ from codexferry.operators import notebooks as N
 from codexferry.operators import summary as S
 from codexferry.operators.ordering import nest_chunks, number_rows
 from codexferry.plans import manifest as M
+from codexferry.sinks import writers as K
+from codexferry.sources.archives import unzip
+from codexferry.storage import shared_dir
 
 STAGE = A.STAGE_ROOT
 BOOK_ORDER = ["root_path", "nb_file"]
@@ -247,10 +252,7 @@ def fan_out_files(spark, sf):
     )
 
 
-@query(
-    "write_documents",
-    f"""WITH {Q.SOURCES},
-    staged AS (
+STAGED = f"""staged AS (
       SELECT owner_email || '/' || folder || '/Sources/' || {Q.sanitize('title')} || '.docx' AS path,
         2 + (source_url <> '')::INTEGER + (youtube_channel <> '')::INTEGER
           + CASE WHEN pageless THEN 0 WHEN {Q.strip('text')} = '' THEN 1 ELSE 2 END AS n, root_path, nb_file
@@ -258,15 +260,43 @@ def fan_out_files(spark, sf):
       UNION ALL
       SELECT c.owner_email || '/' || c.folder || '/Notes/Note ' || r.doc_id::VARCHAR || '.docx',
         2 + CASE WHEN {Q.strip('r.text')} = '' THEN 1 ELSE 2 END, r.root_path, c.nb_file
-      FROM rooted r JOIN copies c USING (root_path) WHERE r.lang = 'de')
+      FROM rooted r JOIN copies c USING (root_path) WHERE r.lang = 'de')"""
+
+
+@query(
+    "write_documents",
+    f"""WITH {Q.SOURCES}, {STAGED}
     SELECT path, n::INTEGER AS n_paragraphs FROM (
       SELECT *, row_number() OVER (PARTITION BY path ORDER BY root_path DESC, nb_file DESC) AS rk FROM staged)
     WHERE rk = 1""",
 )
 def write_documents(spark, sf):
-    """Documents of sources and notes, the last copy of each path."""
-    return M.document_rows(A.extracted(spark, sf)).select(
-        "path", F.size("paragraphs").alias("n_paragraphs")
+    """Word documents of sources and notes, the last copy of each path, written and read back."""
+    uri = f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
+    K.write_documents(M.documents(A.extracted(spark, sf)), uri)
+    packed = spark.read.parquet(uri).withColumnRenamed("path", "archive")
+    parts = unzip(packed.withColumn("dest", F.lit("")), A.DEFAULT_OWNER)
+    return parts.where("entry_path = 'word/document.xml'").select(
+        F.col("archive").alias("path"),
+        F.regexp_count(F.col("content").cast("string"), F.lit("<w:p[ >]")).alias("n_paragraphs"),
+    )
+
+
+@query(
+    "staged_paths_complete",
+    f"""WITH {MAPPED}, {STAGED}
+    SELECT path, path IN (SELECT path FROM staged) AS has_document FROM (
+      SELECT relative_sharepoint_path AS path FROM sources UNION SELECT relative_sharepoint_path FROM notes)""",
+)
+def staged_paths_complete(spark, sf):
+    """Every path that the manifest names is the path of a document."""
+    found = A.extracted(spark, sf)
+    manifest = M.merge(found)
+    path = F.col("relative_sharepoint_path").alias("path")
+    named = manifest.sources.select(path).unionByName(manifest.notes.select(path)).distinct()
+    made = M.document_rows(found).select("path", F.lit(True).alias("made"))
+    return named.join(made, "path", "left").select(
+        "path", F.coalesce("made", F.lit(False)).alias("has_document")
     )
 
 

@@ -34,9 +34,21 @@ def html_text(content: Column) -> Column:
 
 
 def json_text(content: Column) -> Column:
-    """Bytes as text, NULL unless they are valid UTF-8."""
+    """Bytes as text, NULL unless they are valid UTF-8 and one JSON value."""
     text = content.cast("string")
-    return F.when(F.is_valid_utf8(text), text)
+    return F.when(F.is_valid_utf8(text) & one_json_value(text), text)
+
+
+def one_json_value(text: Column) -> Column:
+    """The whole text is one JSON value: nothing follows it.
+
+    Spark's JSON functions stop after the first value. Within brackets a value must be followed by
+    a comma or ``]``, within braces by a comma or ``}``; only the end of the text satisfies both
+    and leaves one element.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    keys = F.json_object_keys(F.concat(F.lit('{"a":'), text, F.lit(',"b":0}')))
+    return F.coalesce(alone & (keys == F.array(F.lit("a"), F.lit("b"))), F.lit(False))
 
 
 def skip_child_dirs(dir_name: Column) -> Column:
@@ -310,7 +322,10 @@ def merge_sources(
         notebooks = merge_notebooks(copies)
     by_title = W.partitionBy("nb_key", "title").orderBy(*COPY_ORDER)
     kept = (
-        sources.join(copies.select("root_path", "nb_file", "nb_key"), "root_path")
+        sources.join(
+            copies.select("root_path", "nb_file", "nb_key", F.col("folder").alias("_copy_folder")),
+            "root_path",
+        )
         .withColumn("_rank", F.row_number().over(by_title))
         .where("_rank = 1")
         .drop("_rank")
@@ -332,9 +347,10 @@ def merge_sources(
         )
         .withColumn(
             "relative_sharepoint_path",
-            staged_path(F.col("owner_email"), F.col("folder"), "Sources", F.col("title")),
+            # A document is staged below the folder of its own copy.
+            staged_path(F.col("owner_email"), F.col("_copy_folder"), "Sources", F.col("title")),
         )
-        .drop("_first")
+        .drop("_first", "_copy_folder")
     )
 
 
