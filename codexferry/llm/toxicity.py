@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from codexferry.llm.common import slices, split_words
 from codexferry.storage import materialize
 
-EXAMPLES, TERMS, LEAST_Z, LEAST_DF = 20_000, 4096, 3.5, 3
+EXAMPLES, TERMS, LEAST_Z, LEAST_DF = 20_000, 1024, 6.0, 3
 BLOCK, NEAREST = 64, 15
 DENSE = (4, 8, 16)
 #: Examples that are left out in turn to choose the prior's weight.
