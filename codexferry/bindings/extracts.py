@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codexferry import constants as C
@@ -12,9 +14,11 @@ from codexferry.functions import text as T
 from codexferry.operators import identity as I
 from codexferry.operators import notebooks as N
 from codexferry.operators.ordering import number_rows
-from codexferry.plans.manifest import merge
+from codexferry.plans.manifest import extract, merge
+from codexferry.sinks.writers import export_files
 from codexferry.sources import archives as R
 from codexferry.sources import tables as S
+from codexferry.storage import shared_dir
 
 OWNER = f"'{A.DEFAULT_OWNER}'"
 
@@ -30,9 +34,10 @@ entries AS (
   UNION ALL SELECT archive, {OWNER} || '/broken' || doc_id::VARCHAR || '.zip', md5('no archive'), true FROM packed)"""
 
 
-def _entries(df):
+def _entries(df, uri=None):
+    archive = F.col("archive") if uri is None else R.relative_path(F.col("archive"), uri)
     return df.select(
-        "archive",
+        archive.alias("archive"),
         "entry_path",
         F.md5("content").alias("content_md5"),
         F.col("entry_error").isNotNull().alias("failed"),
@@ -46,12 +51,40 @@ def _archives(spark, sf):
     return rows.withColumn("dest", R.archive_dest(F.col("archive"), count, A.DEFAULT_OWNER))
 
 
+def _files(spark, rows, name):
+    """The contents of rows as files of a new shared folder."""
+    uri = f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
+    export_files(rows.select(F.col(name).alias("path"), "content"), uri)
+    return uri
+
+
 @query(
     "read_archives",
     f"WITH {REPAIRED} SELECT archive, entry_path, content_md5, failed FROM entries",
 )
 def read_archives(spark, sf):
-    return _entries(R.unzip(_archives(spark, sf), A.DEFAULT_OWNER))
+    """Archives as files, read where they lie."""
+    uri = _files(spark, A.archive_rows(spark, sf), "archive")
+    return _entries(R.read_archives(spark, uri, A.DEFAULT_OWNER), uri)
+
+
+@query(
+    "archive_errors",
+    f"""WITH {REPAIRED} SELECT archive, entry_path FROM entries WHERE failed
+    UNION ALL SELECT archive || '.cut.zip', NULL FROM packed WHERE doc_id % 10 = 0""",
+)
+def archive_errors(spark, sf):
+    """What an extraction could not read: damaged entries, and archives that end early."""
+    rows = A.archive_rows(spark, sf)
+    number = F.regexp_extract("archive", "^in/([0-9]+)-", 1).cast("long")
+    cut = rows.where(number % 10 == 0).select(
+        F.concat("archive", F.lit(".cut.zip")).alias("archive"),
+        F.substring("content", 1, 20).alias("content"),
+    )
+    uri = _files(spark, rows.unionByName(cut), "archive")
+    tree = R.read_archives(spark, uri, A.DEFAULT_OWNER)
+    errors = extract(tree, A.DEFAULT_OWNER, allow_unreadable=True).errors
+    return errors.select(R.relative_path(F.col("archive"), uri).alias("archive"), "entry_path")
 
 
 @query(
@@ -80,17 +113,19 @@ def unnest_archives(spark, sf):
     "read_export_bucket",
     f"""WITH {PACKED},
     named AS (SELECT *, {Q.owner_in('archive', OWNER)} AS dest FROM packed)
-    SELECT archive, dest || '/more/part-' || lang || '@nested.example.zip' AS entry_path, false AS failed FROM named
+    SELECT 'loose/' || doc_id::VARCHAR || '.txt' AS archive, 'loose/' || doc_id::VARCHAR || '.txt' AS entry_path, false AS failed FROM packed
+    UNION ALL SELECT archive, dest || '/more/part-' || lang || '@nested.example.zip' AS entry_path, false AS failed FROM named
     UNION ALL SELECT archive, dest || '/broken' || doc_id::VARCHAR || '.zip', false FROM named
     UNION ALL SELECT archive, dest || '/P├ígina/├⌐' || doc_id::VARCHAR || '.txt', false FROM named""",
 )
 def read_export_bucket(spark, sf):
     """Names stay as the archive gives them and inner archives stay files."""
-    rows = A.archive_rows(spark, sf).withColumn(
-        "dest", T.infer_owner_email(F.col("archive"), A.DEFAULT_OWNER)
+    loose = A.docs(spark, sf).select(
+        F.concat(F.lit("loose/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("archive"),
+        F.encode("text", "UTF-8").alias("content"),
     )
-    entries = R.unzip(rows, A.DEFAULT_OWNER, repair_names=False, nested=False)
-    return _entries(entries).drop("content_md5")
+    uri = _files(spark, A.archive_rows(spark, sf).unionByName(loose), "archive")
+    return _entries(R.read_export_bucket(spark, uri, A.DEFAULT_OWNER), uri).drop("content_md5")
 
 
 TREE = f"""{Q.DOCS.replace('WITH', '')},
@@ -113,7 +148,10 @@ split_tree AS (
     f"WITH {TREE} SELECT entry_path, dir, dir_name, file FROM split_tree",
 )
 def list_export_tree(spark, sf):
-    return N.split_tree(A.export_tree(spark, sf)).select("entry_path", "dir", "dir_name", "file")
+    """The files of an export on storage."""
+    uri = _files(spark, A.export_tree(spark, sf), "entry_path")
+    tree = R.list_export_tree(spark, uri)
+    return N.split_tree(tree).select("entry_path", "dir", "dir_name", "file")
 
 
 @query(

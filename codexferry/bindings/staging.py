@@ -161,7 +161,7 @@ def user_summary(spark, sf):
     SELECT greatest((SELECT count(DISTINCT owner_email) FROM books), 1) AS user_count,
       (SELECT count(*) FROM books) AS notebook_count, (SELECT count(*) FROM sources) AS total_sources,
       (SELECT count(*) FROM sources WHERE source_url <> '') AS total_urls_recovered,
-      (SELECT count(*) FROM notes) AS total_notes, (SELECT count(*) FROM artifacts) AS total_artifacts""",
+      (SELECT count(*) FROM notes) AS total_notes, (SELECT count(*) FROM artifacts) AS total_artifacts, 0::BIGINT AS total_errors""",
 )
 def manifest_totals(spark, sf):
     return A.manifest(spark, sf).totals()

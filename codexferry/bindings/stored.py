@@ -28,15 +28,13 @@ def _new_uri(spark) -> str:
     return f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
 
 
-@query(
-    "read_identity_map",
-    f"""WITH {Q.IDENTITY} SELECT gws_email, m365_upn, ge_target_email, sharepoint_site_url FROM normalized""",
-)
+@query("read_identity_map", f"WITH {Q.IDENTITY} SELECT * FROM identity")
 def read_identity_map(spark, sf):
+    """Identity rows as several CSV files and back: the last row of an address wins."""
     uri = _new_uri(spark)
-    raw = A.raw_identity(spark, sf).drop("line_no")
-    raw.write.option("header", True).option("emptyValue", "").csv(uri)
-    return I.normalize_identity(R.read_identity_map(spark, uri)).drop("line_no")
+    raw = A.raw_identity(spark, sf).repartitionByRange(4, "line_no").sortWithinPartitions("line_no")
+    raw.drop("line_no").write.option("header", True).option("emptyValue", "").csv(uri)
+    return I.identity_map(R.read_identity_map(spark, uri))
 
 
 @query(
@@ -77,7 +75,7 @@ def read_manifest_json(spark, sf):
     """Nested notebooks as JSON lines and back."""
     uri = _new_uri(spark)
     K.write_nested_manifest(mapped_manifest(spark, sf).nested(), uri)
-    return spark.read.json(uri).select(
+    return R.read_manifest_json(spark, uri).select(
         "nb_key",
         "owner_email",
         "sharepoint_site_url",

@@ -149,18 +149,24 @@ KINDS = {"source": "Sources", "note": "Notes", "artifact": "Artifacts"}
 
 
 def classify_tree(tree: DataFrame) -> DataFrame:
-    """The files that matter with their ``kind``: notebook, source, note, artifact."""
-    dir_name, file = F.col("dir_name"), F.col("file")
-    kind = F.when(
+    """The files that matter with their ``kind``: notebook, source, note, artifact, error."""
+    if "entry_error" not in tree.columns:
+        tree = tree.withColumn("entry_error", F.lit(None).cast("string"))
+    path = F.col("entry_path")
+    dir_name, file = T.file_name(T.parent_dir(path)), T.file_name(path)
+    kind = F.when(F.col("entry_error").isNotNull(), "error").when(
         skip_child_dirs(dir_name) & suffix_filter(file, C.METADATA_SUFFIX), "notebook"
     )
     for name, folder in KINDS.items():
         kind = kind.when(dir_name == folder, name)
+    # What could not be read is listed, not kept.
+    content = F.when(F.col("entry_error").isNull(), F.col("content")).alias("content")
+    whole = F.col("content").isNotNull() | F.col("entry_error").isNotNull()
     return (
-        split_tree(tree)
+        tree.where(whole)
         .withColumn("kind", kind)
         .where(F.col("kind").isNotNull())
-        .select("archive", "entry_path", "entry_no", "content", "kind")
+        .select("archive", "entry_path", "entry_no", content, "entry_error", "kind")
     )
 
 

@@ -230,10 +230,15 @@ def distinct_users(notebooks: DataFrame) -> DataFrame:
 
 
 def manifest_totals(
-    notebooks: DataFrame, sources: DataFrame, notes: DataFrame, artifacts: DataFrame
+    notebooks: DataFrame,
+    sources: DataFrame,
+    notes: DataFrame,
+    artifacts: DataFrame,
+    errors: DataFrame | None = None,
 ) -> DataFrame:
-    """One row of counts over the whole manifest."""
+    """One row of counts over the whole manifest, and of what could not be read."""
     one = F.count(F.lit(1))
+    unread = F.lit(0).cast("long") if errors is None else errors.agg(one.alias("n")).scalar()
     with_url = F.count_if(F.col("source_url") != "")
     return notebooks.agg(
         F.greatest(F.count_distinct("owner_email"), F.lit(1)).alias("user_count"),
@@ -245,6 +250,7 @@ def manifest_totals(
         sources.agg(with_url.alias("n")).scalar().alias("total_urls_recovered"),
         notes.agg(one.alias("n")).scalar().alias("total_notes"),
         artifacts.agg(one.alias("n")).scalar().alias("total_artifacts"),
+        unread.alias("total_errors"),
     )
 
 

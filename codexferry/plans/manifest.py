@@ -21,12 +21,17 @@ from codexferry.storage import materialize
 
 @dataclass(frozen=True)
 class Extracted:
-    """What a tree holds, copy by copy; pages are parsed."""
+    """What a tree holds, copy by copy; pages are parsed.
+
+    ``errors`` are the archives and entries that could not be read: ``archive``,
+    ``entry_path`` (NULL for a whole archive), ``entry_no``, ``entry_error``.
+    """
 
     copies: DataFrame
     sources: DataFrame
     notes: DataFrame
     artifacts: DataFrame
+    errors: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -37,6 +42,7 @@ class Manifest:
     sources: DataFrame
     notes: DataFrame
     artifacts: DataFrame
+    errors: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -47,18 +53,34 @@ class Manifest:
         }
 
     def totals(self) -> DataFrame:
-        return S.manifest_totals(self.notebooks, self.sources, self.notes, self.artifacts)
+        return S.manifest_totals(
+            self.notebooks, self.sources, self.notes, self.artifacts, self.errors
+        )
 
     def nested(self, size: int = S.CHUNK_ITEMS) -> DataFrame:
         return S.attach_children(self.notebooks, self.sources, self.notes, self.artifacts, size)
 
 
-EXTRACTED = ("copies", "sources", "notes", "artifacts")
+ERROR = ["archive", "entry_path", "entry_no", "entry_error"]
+EXTRACTED = ("copies", "sources", "notes", "artifacts", "errors")
 
 
-def extract(tree: DataFrame, default_owner: str, work_uri: str | None = None) -> Extracted:
+class UnreadableArchive(ValueError):
+    """A whole archive could not be read."""
+
+
+def extract(
+    tree: DataFrame,
+    default_owner: str,
+    work_uri: str | None = None,
+    allow_unreadable: bool = False,
+) -> Extracted:
     """Find and parse everything in a tree, and write it.
 
+    An archive that cannot be read at all raises :class:`UnreadableArchive` before
+    anything is parsed, unless ``allow_unreadable``; it and every unreadable entry
+    are rows of ``errors``.
+
     The files are written first, by kind, so that archives are unpacked once and
     each step reads its own kind. Pages are parsed once, a lost executor costs no
     second parse, and steps that need no text (all but the documents) do not read
@@ -69,13 +91,19 @@ def extract(tree: DataFrame, default_owner: str, work_uri: str | None = None) ->
     files = materialize(N.classify_tree(tree), f"{base}/files" if base else None, by="kind")
 
     def kind(name: str) -> DataFrame:
-        return files.where(F.col("kind") == name).drop("kind")
+        return files.where(F.col("kind") == name).drop("kind", "entry_error")
 
+    errors = files.where("kind = 'error'").select(*ERROR)
+    if not allow_unreadable:
+        lost = errors.where("entry_path is null").select("archive", "entry_error").head(5)
+        if lost:
+            raise UnreadableArchive("; ".join(f"{r.archive}: {r.entry_error}" for r in lost))
     found = {
         "copies": N.discover_notebooks(kind("notebook"), default_owner),
         "sources": N.parse_sources(N.discover_sources(kind("source"))),
         "notes": N.discover_notes(kind("note")),
         "artifacts": N.discover_artifacts(kind("artifact")),
+        "errors": errors,
     }
     return Extracted(
         *[materialize(found[n], f"{base}/{n}" if base else None) for n in EXTRACTED]
@@ -105,6 +133,7 @@ def merge(found: Extracted, max_group: int = MAX_GROUP) -> Manifest:
         numbered(sources, ["copy_path", "copy_file", "file"]),
         numbered(notes, ["copy_path", "file"]),
         numbered(artifacts, ["copy_path", "file"]),
+        found.errors,
     )
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
+from itertools import groupby
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,30 +22,34 @@ def write_documents(documents: DataFrame, uri: str) -> None:
 
 
 def export_files(files: DataFrame, root: str) -> None:
-    """Each row of ``path, content`` as a file below ``root``.
+    """Each ``path`` of ``path, content`` as a file below ``root``.
 
-    ``root`` must be a folder that all executors share. A task that runs again
-    replaces its files. A row with a ``part`` above 0 gets it as a suffix.
+    ``root`` is a folder that all executors share, as a path or ``file:`` address; other
+    addresses are refused. With a ``part`` column the parts of a path make one file, in
+    order: they are sorted by path and appended as they stream by, so that no file has to
+    fit into memory. A task that runs again replaces its files.
     """
-    home = os.path.abspath(root)
-    part = F.col("part") if "part" in files.columns else F.lit(0)
-    path = F.when(part > 0, F.concat("path", F.lit("."), part.cast("string"))).otherwise(
-        F.col("path")
-    )
+    scheme = urlsplit(root).scheme
+    if scheme not in ("", "file"):
+        raise ValueError(f"{root}: files are written to shared folders only, not to {scheme}:")
+    home = os.path.abspath(re.sub(r"^file:/*(?=/)", "", root))
 
     def write(rows: Iterable) -> None:
-        for row in rows:
-            target = os.path.abspath(os.path.join(home, row["path"]))
+        for path, parts in groupby(rows, key=lambda row: row["path"]):
+            target = os.path.abspath(os.path.join(home, path))
             if not target.startswith(home + os.sep):
-                raise ValueError(f"path leaves the folder: {row['path']}")
+                raise ValueError(f"path leaves the folder: {path}")
             os.makedirs(os.path.dirname(target), exist_ok=True)
-            data = row["content"]
             partial = f"{target}.{os.getpid()}.part"
             with open(partial, "wb") as out:
-                out.write(data.encode("utf-8") if isinstance(data, str) else data)
+                for row in parts:
+                    data = row["content"]
+                    out.write(data.encode("utf-8") if isinstance(data, str) else data)
             os.replace(partial, target)
 
-    files.select(path.alias("path"), "content").foreachPartition(write)
+    if "part" in files.columns:
+        files = files.repartition("path").sortWithinPartitions("path", "part")
+    files.select("path", "content").foreachPartition(write)
 
 
 def write_index(files: DataFrame, uri: str) -> None:

@@ -1,9 +1,9 @@
 """Archives as rows: one row per entry, nested archives unpacked.
 
-Two ways to read. ``content`` takes the archive as a binary column, which Spark
-limits to 2 GB per file. ``path`` lists the entries first, spreads them over the
-cluster and lets each task open the archive where it lies, so one huge archive
-is read by many tasks.
+Readers take archives of any size from any address: files are listed without their
+content, the entries of each are listed and spread over the cluster, and each task
+opens the archive where it lies through a seekable stream, so that one huge archive
+is read by many tasks. :func:`unzip` is for archives that are values of a column.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import urllib.parse
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +49,11 @@ _LISTING_ARROW = pa.schema(
 _NESTED_ROOM = 1 << 32
 _BATCH_BYTES = 32 << 20
 _BATCH_ROWS = 512
-_MAX_DEPTH = 16
 _TASK_BYTES = 64 << 20
+# An inner archive up to this size is read into memory; a larger one is read as a stream.
+_IN_MEMORY = 64 << 20
+# The largest value that a row can hold.
+_LARGEST = (1 << 31) - (1 << 20)
 
 
 def repair_entry_name(name: str, flag_bits: int) -> str:
@@ -66,32 +71,55 @@ def _owner_in(text: str, default: str) -> str:
     return found.group(1).lower() if found else default
 
 
-def _member_rows(zf, members, dest, default, repair, nested, depth=0) -> Iterator[tuple]:
-    """(path, content, error) of the given members, inner archives unpacked after."""
-    for info in members:
+def _member_rows(zf, members, dest, default, repair, nested) -> Iterator[tuple]:
+    """(path, content, error) of the given members, inner archives unpacked at any depth.
+
+    The archives that are open wait on a list, not on the call stack.
+    """
+    waiting = [(zf, iter(members), dest)]
+    while waiting:
+        outer, rest, place = waiting[-1]
+        info = next(rest, None)
+        if info is None:
+            if len(waiting) > 1:
+                outer.close()
+            waiting.pop()
+            continue
         name = repair_entry_name(info.filename, info.flag_bits) if repair else info.filename
         if info.is_dir() or name.endswith("/"):
             continue
-        path = posixpath.join(dest, name.lstrip("/"))
+        path = posixpath.join(place, name.lstrip("/"))
         stem, suffix = posixpath.splitext(posixpath.basename(name))
+        is_archive = nested and suffix.lower() == ".zip"
+        data = None
         try:
-            data = zf.read(info)
+            if info.file_size <= (_IN_MEMORY if is_archive else _LARGEST):
+                data = outer.read(info)
+            elif not is_archive:
+                raise ValueError(f"an entry of {info.file_size} bytes does not fit into a row")
         except Exception as problem:  # a damaged entry is reported, not hidden
             yield path, None, f"{type(problem).__name__}: {problem}"
             continue
-        if not (nested and suffix.lower() == ".zip"):
+        if not is_archive:
             yield path, data, None
             continue
         try:
-            if depth >= _MAX_DEPTH:
-                raise ValueError(f"archives nested deeper than {_MAX_DEPTH}")
-            with zipfile.ZipFile(io.BytesIO(data)) as inner:
-                inner_dest = posixpath.join(dest, _owner_in(stem, default))
-                yield from _member_rows(
-                    inner, inner.infolist(), inner_dest, default, repair, nested, depth + 1
-                )
+            inner = zipfile.ZipFile(outer.open(info) if data is None else io.BytesIO(data))
+            inner_members = inner.infolist()
         except Exception as problem:  # it stays a file, as an archive that cannot be read
             yield path, data, f"{type(problem).__name__}: {problem}"
+            continue
+        waiting.append((inner, iter(inner_members), posixpath.join(place, _owner_in(stem, default))))
+
+
+def open_stream(uri: str):
+    """A seekable stream on a file at any address that the executors' file systems serve."""
+    scheme = urllib.parse.urlsplit(uri).scheme
+    if scheme in ("", "file"):
+        return open(re.sub(r"^file:/*(?=/)", "", uri), "rb")
+    plain = re.sub(r"^s3[an]://", "s3://", uri)
+    files, path = pyarrow.fs.FileSystem.from_uri(plain)
+    return files.open_input_file(path)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -148,27 +176,24 @@ def unzip_in_place(
 ) -> DataFrame:
     """As :func:`unzip` for ``archive string, dest string`` without content.
 
-    ``archive`` must be a path that every executor can open. The entry list is
+    ``archive`` is an address that every executor can open. The entry list is
     shuffled before reading, so the entries of one archive go to ``tasks`` tasks.
     The number is explicit: the list is tiny next to what its rows make a task
     read, and Spark would merge its partitions by their size.
     """
 
-    def local(path: str) -> str:
-        return re.sub(r"^file:/*(?=/)", "", path)
-
     def listing(batches) -> Iterator[tuple]:
         for batch in batches:
             for name, dest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    with zipfile.ZipFile(local(name)) as zf:
+                    with open_stream(name) as stream, zipfile.ZipFile(stream) as zf:
                         for n in range(len(zf.infolist())):
                             yield name, dest, n, n * _NESTED_ROOM, None
                 except Exception as problem:
                     yield name, dest, None, None, f"{type(problem).__name__}: {problem}"
 
     def rows(batches) -> Iterator[tuple]:
-        opened, zf = None, None
+        opened, stream, zf = None, None, None
         for batch in batches:
             for name, dest, member, number, error in zip(*[c.to_pylist() for c in batch.columns]):
                 if error is not None:
@@ -177,7 +202,9 @@ def unzip_in_place(
                 if opened != name:
                     if zf is not None:
                         zf.close()
-                    opened, zf = name, zipfile.ZipFile(local(name))
+                        stream.close()
+                    stream = open_stream(name)
+                    opened, zf = name, zipfile.ZipFile(stream)
                 found = _member_rows(
                     zf, [zf.infolist()[member]], dest, default_owner, repair_names, nested
                 )
@@ -185,6 +212,7 @@ def unzip_in_place(
                     yield name, path, number + k, data, problem
         if zf is not None:
             zf.close()
+            stream.close()
 
     listed = archives.select("archive", "dest").mapInArrow(
         lambda batches: _batches(listing(batches), _LISTING_ARROW), _LISTING_SCHEMA
@@ -196,9 +224,13 @@ def unzip_in_place(
     )
 
 
-def archive_dest(archive: Column, n_archives: Column, default_owner: str) -> Column:
+def archive_dest(
+    archive: Column, n_archives: Column, default_owner: str, strip_affixes: bool = False
+) -> Column:
     """Folder of an archive: its owner if there are several archives, else the root."""
     owner = T.infer_owner_email(T.file_name(archive), default_owner)
+    if strip_affixes:
+        owner = T.strip_archive_affixes(owner)
     return F.when(n_archives > 1, owner).otherwise("")
 
 
@@ -212,21 +244,26 @@ def _archive_files(spark: SparkSession, uri: str) -> DataFrame:
     )
 
 
+def _read_in_place(spark: SparkSession, placed: DataFrame, owner: str, **options) -> DataFrame:
+    # Only file lengths are read here, not the files.
+    size = placed.agg(F.sum("length").alias("n")).first()["n"] or 0
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return unzip_in_place(placed, owner, max(shuffles, -(-size // _TASK_BYTES)), **options)
+
+
 def read_archives(
-    spark: SparkSession, uri: str, default_owner: str, mode: str = "content"
+    spark: SparkSession, uri: str, default_owner: str, strip_affixes: bool = False
 ) -> DataFrame:
-    """Entries of all archives below ``uri``."""
-    if mode not in ("content", "path"):
-        raise ValueError(f"mode must be 'content' or 'path', not {mode!r}")
+    """Entries of all archives below ``uri``.
+
+    With ``strip_affixes`` owners are freed of the parts of an archive's name that the
+    greedy match keeps.
+    """
     files = _archive_files(spark, uri)
     count = files.agg(F.count(F.lit(1)).alias("n")).scalar()
-    placed = files.withColumn("dest", archive_dest(F.col("archive"), count, default_owner))
-    if mode == "content":
-        return unzip(placed, default_owner)
-    # Only file lengths are read here, not the files.
-    size = files.agg(F.sum("length").alias("n")).first()["n"] or 0
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return unzip_in_place(placed, default_owner, max(shuffles, -(-size // _TASK_BYTES)))
+    dest = archive_dest(F.col("archive"), count, default_owner, strip_affixes)
+    placed = files.withColumn("dest", dest)
+    return _read_in_place(spark, placed, default_owner)
 
 
 def relative_path(path: Column, uri: str) -> Column:
@@ -237,19 +274,21 @@ def relative_path(path: Column, uri: str) -> Column:
     )
 
 
-def list_export_tree(spark: SparkSession, uri: str) -> DataFrame:
-    """Files below an extracted tree in the form of archive entries."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(uri)
-        .select(
-            F.col("path").alias("archive"),
-            relative_path(F.col("path"), uri).alias("entry_path"),
-            F.lit(0).cast("long").alias("entry_no"),
-            "content",
-            F.lit(None).cast("string").alias("entry_error"),
-        )
+def list_export_tree(spark: SparkSession, uri: str, archives: bool = True) -> DataFrame:
+    """Files below an extracted tree in the form of archive entries.
+
+    Without ``archives`` ZIP files are left out when files are listed, before their
+    content is read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(uri)
+    if not archives:
+        files = files.where(~F.lower("_metadata.file_name").endswith(".zip"))
+    return files.select(
+        F.col("path").alias("archive"),
+        relative_path(F.col("path"), uri).alias("entry_path"),
+        F.lit(0).cast("long").alias("entry_no"),
+        "content",
+        F.lit(None).cast("string").alias("entry_error"),
     )
 
 
@@ -259,9 +298,8 @@ def read_export_bucket(spark: SparkSession, uri: str, fallback_owner: str) -> Da
     Archives go below the owner found in their whole path. Entry names are taken
     as they are and inner archives stay files.
     """
-    archives = _archive_files(spark, uri).withColumn(
+    placed = _archive_files(spark, uri).withColumn(
         "dest", T.infer_owner_email(F.col("archive"), fallback_owner)
     )
-    entries = unzip(archives, fallback_owner, repair_names=False, nested=False)
-    loose = list_export_tree(spark, uri).where(~F.lower("entry_path").endswith(".zip"))
-    return entries.unionByName(loose)
+    entries = _read_in_place(spark, placed, fallback_owner, repair_names=False, nested=False)
+    return entries.unionByName(list_export_tree(spark, uri, archives=False))

@@ -12,18 +12,24 @@ from codexferry.sources.archives import relative_path
 LEDGER_SCHEMA = (
     "checkpoint_key string, chunk int, status string, entry string, version long, seq long"
 )
-TRANSFER_SCHEMA = ", ".join(f"{c} string" for c in C.TRANSFER_COLUMNS)
 
 
 def read_identity_map(spark: SparkSession, uri: str) -> DataFrame:
-    """Identity CSV as it is, with ``line_no`` in file order."""
+    """Identity CSV as it is; ``line_no`` orders rows by file name, then by line."""
     return (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
         .csv(uri)
-        # A multi-line file is one split, so the number follows its lines.
-        .withColumn("line_no", F.monotonically_increasing_id())
+        # A multi-line file is one split, so the number follows its lines; Spark packs files into
+        # tasks by size, so the file's path goes first.
+        .select(
+            "*",
+            F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.monotonically_increasing_id().alias("line"),
+            ).alias("line_no"),
+        )
     )
 
 
@@ -36,9 +42,9 @@ def read_manifest(spark: SparkSession, uri: str) -> dict[str, DataFrame]:
     }
 
 
-def read_manifest_json(spark: SparkSession, uri: str) -> DataFrame:
-    """The JSON form of a manifest: one row per line, or one document per file."""
-    return spark.read.option("multiLine", True).json(uri)
+def read_manifest_json(spark: SparkSession, uri: str, multi_line: bool = False) -> DataFrame:
+    """The JSON form of a manifest: one row per line; with ``multi_line`` a document per file."""
+    return spark.read.option("multiLine", multi_line).json(uri)
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
@@ -61,13 +67,17 @@ def read_ledger(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def read_transfer_manifest(spark: SparkSession, uri: str) -> DataFrame:
-    return (
+    """The columns of a transfer list by the names in its header, in any order."""
+    rows = (
         spark.read.option("header", True)
         .option("escape", '"')
         .option("multiLine", True)
-        .schema(TRANSFER_SCHEMA)
         .csv(uri)
     )
+    missing = [c for c in C.TRANSFER_COLUMNS if c not in rows.columns]
+    if missing:
+        raise ValueError(f"columns missing in {uri}: {', '.join(missing)}")
+    return rows.select(*C.TRANSFER_COLUMNS)
 
 
 def list_staged_files(spark: SparkSession, uri: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from codexferry import constants as C
 from codexferry.operators import summary as S
 from codexferry.operators.identity import identity_map
 from codexferry.operators.notebooks import merge_new_titles, path_collisions
@@ -106,7 +107,7 @@ def test_sources(manifest):
     assert (rows["Deck"].word_count, rows["Deck"].source_url) == (0, "")
     assert (rows["Broken"].source_type, rows["Broken"].word_count) == ("SOURCE_CONTENT_TYPE_UNKNOWN", 1)
     assert rows["Extra"].from_later_copy and not rows["Panels"].from_later_copy
-    assert rows["Extra"].docx_path == "/stage/ann@old.x/Solar/Sources/Extra.docx"
+    assert rows["Extra"].docx_path == "/stage/ann@old.x/SOLAR/Sources/Extra.docx"
 
 
 def test_only_new_titles_come_from_later_copies(found):
@@ -140,7 +141,7 @@ def test_totals_equal_the_sums(manifest):
     row = manifest.totals().first()
     assert row.asDict() == {
         "user_count": 3, "notebook_count": 3, "total_sources": 5, "total_urls_recovered": 2,
-        "total_notes": 1, "total_artifacts": 3,
+        "total_notes": 1, "total_artifacts": 3, "total_errors": 0,
     }
 
 
@@ -277,7 +278,10 @@ def test_sinks_round_trip(spark, manifest, found, tmp_path):
     assert len(parts) == 4 and "".join(p.content for p in parts) == index[0].content
     K.export_files(S.index_files(lines, size=5), f"{uri}/indexes")
     folder = tmp_path / "indexes" / "ann@old.x" / "Solar"
-    assert (folder / "Notebook_Sources_Index.md.3").read_text() == parts[3].content
+    assert [p.name for p in folder.iterdir()] == ["Notebook_Sources_Index.md"]
+    assert (folder / "Notebook_Sources_Index.md").read_text() == index[0].content
+    with pytest.raises(ValueError, match="s3a"):
+        K.export_files(S.index_files(lines), "s3a://bucket/out")
     assert index[0].content.startswith("# None Solar\n\n") and index[0].content.count("\n") == 16
     K.write_documents(M.documents(found), f"{uri}/documents")
     documents = spark.read.parquet(f"{uri}/documents")
@@ -308,3 +312,43 @@ def test_identity_csv(spark, tmp_path):
     emails = [r.gws_email for r in wave.collect()]
     assert len(set(emails)) == 1200 and {"user001@old.x", "user1200@old.x"} <= set(emails)
     assert wave.count() == identity_map(wave.withColumn("line_no", F.lit(1))).count()
+
+
+def test_identity_rows_follow_file_names(spark, tmp_path):
+    from codexferry.operators.identity import identity_map
+
+    head = "gws_email,m365_upn\n"
+    folder = tmp_path / "people"
+    folder.mkdir()
+    (folder / "a.csv").write_text(head + "u@x.y,first@n\n" + "".join(f"p{i}@x.y,p@n\n" for i in range(300)))
+    (folder / "b.csv").write_text(head + "u@x.y,second@n\n")
+    (folder / "c.csv").write_text(head + "u@x.y,third@n\n" + "".join(f"q{i}@x.y,q@n\n" for i in range(50)) + "u@x.y,last@n\n")
+    rows = identity_map(R.read_identity_map(spark, str(folder)))
+    assert rows.where("gws_email = 'u@x.y'").first().m365_upn == "last@n"
+    assert rows.count() == 351
+
+
+def test_transfer_lists_are_read_by_name(spark, tmp_path):
+    columns = list(reversed(C.TRANSFER_COLUMNS))
+    (tmp_path / "t.csv").write_text("Extra," + ",".join(columns) + "\n-," + ",".join(f"v:{c}" for c in columns) + "\n")
+    row = R.read_transfer_manifest(spark, str(tmp_path / "t.csv")).first()
+    assert row.asDict() == {c: f"v:{c}" for c in C.TRANSFER_COLUMNS}
+    (tmp_path / "bad.csv").write_text("SourcePath\nx\n")
+    with pytest.raises(ValueError, match="TargetWebUrl"):
+        R.read_transfer_manifest(spark, str(tmp_path / "bad.csv"))
+
+
+def test_manifest_json_has_a_row_per_line_or_file(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"title": "a"}\n{"title": "b"}\n')
+    (tmp_path / "one.json").write_text('{\n "title": "c"\n}\n')
+    assert [r.title for r in R.read_manifest_json(spark, str(tmp_path / "lines.json")).collect()] == ["a", "b"]
+    assert [r.title for r in R.read_manifest_json(spark, str(tmp_path / "one.json"), multi_line=True).collect()] == ["c"]
+
+
+def test_nothing_may_follow_a_json_value(column):
+    from codexferry.operators.notebooks import one_json_value
+
+    good = ['{"title":"x"}', ' {"a":[1,{}]}\n', "[1]", "3", "null", '"s"']
+    bad = ['{"title":"x"} garbage', '{"t":1}{}', '{"t":1},{"u":2}', '{"t":1}] [{}', '{"t":1},"b":0} {"a":{}', "{", "", " ", '{"t":1}]', '{"t":1}}', "1,2", '{"t":1}],[2']
+    assert column(one_json_value, good) == [True] * len(good)
+    assert column(one_json_value, bad + [None]) == [False] * (len(bad) + 1)
