@@ -127,18 +127,22 @@ def sketch(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, regs binary")
 
 
+def _buckets(regs: list[bytes]) -> np.ndarray:
+    """The bucket of each band of each sketch."""
+    bands = np.frombuffer(b"".join(regs), np.uint16).reshape(len(regs), BANDS, ROWS)
+    return mixed((bands.astype(np.uint64) * _ODD[:ROWS]).sum(axis=2) + _ADD[:BANDS]).view(np.int64)
+
+
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, bucket, class) for each band of each class."""
+    """(bucket, class) for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = _ODD[:ROWS]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = np.frombuffer(b"".join(batch["regs"].to_pylist()), np.uint16).reshape(batch.num_rows, BANDS, ROWS)
-            sums = mixed((regs.astype(np.uint64) * weights).sum(axis=2) + _ADD[:BANDS])
+            sums = _buckets(batch["regs"].to_pylist())
             own = batch["class"].take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
-            bucket = pa.array(sums.reshape(-1).view(np.int64))
+            bucket = pa.array(sums.reshape(-1))
             yield pa.RecordBatch.from_arrays([bucket, own], ["bucket", "class"])
 
     return classes.select("class", "regs").mapInArrow(run, "bucket long, class binary")
@@ -220,11 +224,12 @@ def _across(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(classes.select("class", "regs"), "class")
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        left, right = key[1].as_py(), key[2].as_py()
+        here, left, right = (k.as_py() for k in key)
         names, side = rows["class"].to_pylist(), rows["side"].to_numpy()
         parts = np.unique(np.array(rows["part"].to_pylist(), object), return_inverse=True)[1]
         n, shared = rows["n"].to_numpy().astype(float), rows["shared"].to_numpy().astype(float)
         regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(len(names), -1)
+        buckets = _buckets(rows["regs"].to_pylist())
         # Members of the largest component meet the others only.
         largest = np.bincount(parts).argmax()
         found = set()
@@ -232,6 +237,9 @@ def _across(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             y = np.flatnonzero((parts != parts[x]) & ((side != side[x]) | (left == right)))
             y = y[np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent]
             y = y[np.minimum(shared[x], shared[y]) * (100 + percent) >= (n[x] + n[y]) * percent]
+            # A pair counts in the first bucket that it shares.
+            common = buckets[y] == buckets[x]
+            y = y[buckets[x][common.argmax(axis=1)] == here]
             # Half of the registers alike is far less than the likelihood below asks for.
             y = y[(regs[y] == regs[x]).mean(axis=1) >= 0.5]
             if len(y):
