@@ -275,7 +275,9 @@ def request_plan(spark, sf):
     # The text of a note is compared by its digest.
     content = F.get_json_object("body", "$.content")
     body = F.when(F.col("step") == "note", F.md5(content)).otherwise(F.col("body"))
-    return _plan(spark, sf).withColumn("body", body).drop("method", "file_exists")
+    return _plan(spark, sf).withColumn("body", body).drop(
+        "method", "file_exists", "owner_email", "target_email"
+    )
 
 
 # Logged attempts: five per request, their answers from a digest of the request.
@@ -343,13 +345,15 @@ LOG = """log AS (
     coalesce(string_agg(title, '|' ORDER BY seq) FILTER (WHERE step = 'note' AND result = 'ok'), '') AS notes_created,
     max(CASE WHEN step = 'share' AND result = 'ok' THEN title END) AS shared_with,
     CASE WHEN max(CASE WHEN step = 'create' THEN result END) = 'failed' THEN 'failed' ELSE 'completed' END AS status
-  FROM results GROUP BY 1)"""
+  FROM results GROUP BY 1),
+who AS (SELECT owner_email || '::' || title AS checkpoint_key, owner_email, ge_target_email, title FROM mapped)"""
 
 
 @query(
     "provision_log",
     f"""WITH {MAPPED}, {PLAN}, {OUTCOMES}, {RESULTS}, {LOG}
-    SELECT *, 0 AS chunk, status = 'failed' OR sources_failed <> '' AS has_failures FROM log""",
+    SELECT log.*, owner_email, ge_target_email, title, 0 AS chunk,
+      status = 'failed' OR sources_failed <> '' AS has_failures FROM log JOIN who USING (checkpoint_key)""",
 )
 def provision_log(spark, sf):
     log = P.provision_log(_results(spark, sf))
@@ -359,7 +363,8 @@ def provision_log(spark, sf):
         return F.array_join(F.transform(name, item), "|").alias(name)
 
     return log.select(
-        "checkpoint_key", "chunk", "error", "status", "shared_with", "has_failures",
+        "checkpoint_key", "chunk", "owner_email", "ge_target_email", "title", "error", "status",
+        "shared_with", "has_failures",
         lines("sources_uploaded", "title", "method", "url"),
         lines("sources_failed", "title", "error"),
         F.array_join("notes_created", "|").alias("notes_created"),

@@ -86,6 +86,9 @@ def _plan_rows(
         extra.get("file_name", none).alias("file_name"),
         extra.get("depends_on", none).alias("depends_on"),
         extra.get("file_exists", F.lit(None).cast("boolean")).alias("file_exists"),
+        # Only the create row has them: whose notebook it is, and whom it is for.
+        extra.get("owner_email", none).alias("owner_email"),
+        extra.get("target_email", none).alias("target_email"),
     )
 
 
@@ -111,7 +114,15 @@ def request_plan(
         R.target_email(override_target, F.col("ge_target_email"), F.col("owner_email")),
     )
     create = _plan_rows(
-        books, "create", 0, F.lit(0), at["create_url"], F.to_json(F.struct("title")), title=title
+        books,
+        "create",
+        0,
+        F.lit(0),
+        at["create_url"],
+        F.to_json(F.struct("title")),
+        title=title,
+        owner_email=F.col("owner_email"),
+        target_email=F.col("_target"),
     )
     items = with_checkpoint_key(sources, "notebook_title").withColumn(
         "_native",
@@ -284,23 +295,27 @@ def provision_log(results: DataFrame, size: int = CHUNK_ITEMS) -> DataFrame:
     notes = F.array_sort(
         F.collect_list(F.when(step("note") & ok, F.struct("seq", "title")))
     )
-    # Only the create row knows whether the notebook failed; chunk 0 holds it.
-    log = results.groupBy("checkpoint_key", chunk.alias("chunk")).agg(
-        F.max(F.when(step("create"), F.col("result"))).alias("_create"),
-        F.max(F.when(step("create") & failed, create_error)).alias("error"),
-        *[F.max(F.when(step("create"), F.col(c))).alias(c)
-          for c in ("notebook_id", "notebook_name") if c in results.columns],
+    lists = results.groupBy("checkpoint_key", chunk.alias("chunk")).agg(
         listed(is_source & ok, uploaded, ["title", "method", "url"]).alias("sources_uploaded"),
         listed(step("uploadFile") & failed, failure, ["title", "error"]).alias("sources_failed"),
         F.transform(notes, lambda x: x["title"]).alias("notes_created"),
+    )
+    # What holds for a notebook as a whole is the same in all its chunks.
+    of_create = {"owner_email": "owner_email", "target_email": "ge_target_email", "title": "title"}
+    of_create |= {c: c for c in ("notebook_id", "notebook_name") if c in results.columns}
+    whole = results.groupBy("checkpoint_key").agg(
+        F.max(F.when(step("create"), F.col("result"))).alias("_create"),
+        F.max(F.when(step("create") & failed, create_error)).alias("error"),
+        *[F.max(F.when(step("create"), F.col(c))).alias(n) for c, n in of_create.items()],
         F.max(F.when(step("share") & ok, F.col("title"))).alias("shared_with"),
+        F.coalesce(F.bool_or(step("uploadFile") & failed), F.lit(False)).alias("_failures"),
     )
     status = F.when(F.col("_create") == "failed", "failed").otherwise("completed")
-    has_failures = (status == "failed") | (F.size("sources_failed") > 0)
     return (
-        log.withColumn("status", status)
-        .withColumn("has_failures", has_failures)
-        .drop("_create")
+        lists.join(whole, "checkpoint_key")
+        .withColumn("status", status)
+        .withColumn("has_failures", (F.col("status") == "failed") | F.col("_failures"))
+        .drop("_create", "_failures")
     )
 
 

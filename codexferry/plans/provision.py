@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codexferry.operators import provision as P
 from codexferry.plans.manifest import Manifest
@@ -36,10 +37,26 @@ def _open_work(manifest: Manifest, ledger: DataFrame | None) -> Manifest:
 
 
 def plan_requests(
-    manifest: Manifest, ledger: DataFrame | None, project: str, location: str = "global", **options
+    manifest: Manifest,
+    ledger: DataFrame | None,
+    project: str,
+    location: str = "global",
+    staged: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
-    """Requests of all notebooks that the ledger does not hold as completed."""
+    """Requests of all notebooks that the ledger does not hold as completed.
+
+    ``staged`` is a listing of the staging area (``rel_path``): the upload of a source
+    whose document it lacks is planned as missing, and becomes ``skipped``.
+    """
     work = _open_work(manifest, ledger)
+    if staged is not None:
+        there = staged.select(
+            F.col("rel_path").alias("relative_sharepoint_path"), F.lit(True).alias("_there")
+        ).distinct()
+        sources = work.sources.join(there, "relative_sharepoint_path", "left")
+        exists = F.coalesce("_there", F.lit(False))
+        work = replace(work, sources=sources.withColumn("file_exists", exists).drop("_there"))
     return P.request_plan(work.notebooks, work.sources, work.notes, project, location, **options)
 
 

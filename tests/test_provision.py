@@ -132,6 +132,8 @@ def test_run_log_and_resume(spark, manifest, tmp_path):
     assert [(s.title, s.error) for s in n0.sources_failed] == [("File?", "HTTP 500: ")]
     assert (n0.notes_created, n0.shared_with, n0.status, n0.has_failures) == ([], None, "completed", True)
     assert (log["N1"].status, log["N1"].error) == ("failed", "CreateNotebook HTTP ERR: No response")
+    assert (n0.owner_email, n0.title) == (OWNER, "N0") and n0.ge_target_email
+    assert (log["N1"].owner_email, log["N1"].title) == (OWNER, "N1")
     assert log["N1"].sources_uploaded == [] and log["N1"].notes_created == []
     assert (log["N2"].notes_created, log["N2"].status, log["N2"].error) == (["Note"], "completed", None)
     results = P.apply_outcomes(plan, P.retry_outcome(attempts(spark, answers, plan), P.PLAN_KEYS, ["attempt"]))
@@ -152,6 +154,7 @@ def test_run_log_and_resume(spark, manifest, tmp_path):
     assert all(r.resumed_from_checkpoint for r in second.resumed.collect())
     stored = json.loads(second.resumed.where(f"checkpoint_key = '{OWNER}::N0'").first().entry)
     assert [s["title"] for s in stored["sources_uploaded"]] == ["Web", "Video", "No link"]
+    assert (stored["owner_email"], stored["title"]) == (OWNER, "N0") and stored["ge_target_email"]
     assert second.summary.first().status == "success" and second.summary.first().total_processed == 3
     save_entries(P.ledger_entries(second.log, 2), uri, 2)
     assert read_ledger(spark, uri).count() == 3
@@ -161,6 +164,11 @@ def test_run_log_and_resume(spark, manifest, tmp_path):
 
 def test_log_chunks_are_whole(spark, manifest):
     plan = plan_requests(manifest, None, "42")
+    failed = {("N0", "uploadFile", 4): 500}
+    outcomes = P.retry_outcome(attempts(spark, failed, plan), P.PLAN_KEYS, ["attempt"])
+    broken = P.provision_log(P.apply_outcomes(plan, outcomes), size=2)
+    rows = broken.where(f"checkpoint_key = '{OWNER}::N0'").collect()
+    assert len({(r.has_failures, r.shared_with, r.title, r.owner_email) for r in rows}) == 1
     outcomes = P.retry_outcome(attempts(spark, {}, plan), P.PLAN_KEYS, ["attempt"])
     log = P.provision_log(P.apply_outcomes(plan, outcomes), size=2)
     rows = log.where(f"checkpoint_key = '{OWNER}::N0'").orderBy("chunk").collect()
@@ -240,3 +248,12 @@ def test_hot_folder_is_split_by_the_skew_join(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_missing_documents_are_skipped(spark, manifest):
+    path = manifest.sources.where("title = 'Web'").first().relative_sharepoint_path
+    staged = spark.createDataFrame([(path,)], "rel_path string")
+    plan = plan_requests(manifest, None, "42", staged=staged)
+    uploads = plan.where("step = 'uploadFile'").collect()
+    assert len(uploads) > 1
+    assert {r.file_path for r in uploads if r.file_exists} == {path}
