@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexferry.functions import text as T
 from codexferry.operators.identity import identity_map
 from codexferry.operators.notebooks import merge_notebooks, notebook_rows
 from codexferry.plans.manifest import Extracted, Manifest, extract, merge
@@ -70,6 +71,32 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_line_blocks(text: Column) -> Column:
+    """Paragraph blocks from plain text: one per line that is not blank."""
+    lines = F.transform(F.split(text, T.LINE_END, -1), T.strip_space)
+    return F.transform(
+        F.filter(lines, lambda x: x != ""),
+        lambda x: F.struct(
+            F.lit("paragraph").alias("type"),
+            F.lit(None).cast("int").alias("level"),
+            x.alias("text"),
+        ),
+    )
+
+
+def blockless_html(text: Column) -> Column:
+    """A page that has the text but no block around it."""
+    return F.concat(F.lit("<div>"), _escaped(text), F.lit("</div>"))
+
+
+def paragraph_html(text: Column) -> Column:
+    """A page with a paragraph for each line, empty ones too."""
+    lines = F.transform(
+        F.split(text, "\n", -1), lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>"))
+    )
+    return F.array_join(lines, "")
+
+
 def _escaped(text: Column) -> Column:
     for char, entity in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")]:
         text = F.replace(text, F.lit(char), F.lit(entity))

@@ -13,6 +13,7 @@ from codexferry.functions import labels as L
 from codexferry.functions import text as T
 from codexferry.functions import urls as U
 from codexferry.operators import notebooks as N
+from codexferry.operators.html import parse_html
 
 DOC_TITLE = "source || '/' || lang || ': ' || left(text, 240)"
 
@@ -92,11 +93,14 @@ LINES = (
     f"""SELECT doc_id, len({LINES})::BIGINT AS n_blocks, array_to_string({LINES}, '|') AS lines FROM documents""",
 )
 def page_text_fallback(spark, sf):
-    lines = D.text_line_blocks(F.col("text"))
-    return A.table(spark, sf, "documents").select(
+    """Pages without a block: each line of their text is a paragraph."""
+    pages = A.table(spark, sf, "documents").select(
+        "doc_id", A.blockless_html(F.col("text")).alias("html")
+    )
+    return parse_html(pages).select(
         "doc_id",
-        F.size(lines).cast("long").alias("n_blocks"),
-        F.array_join(F.transform(lines, lambda b: b["text"]), "|").alias("lines"),
+        F.size("blocks").cast("long").alias("n_blocks"),
+        F.array_join(F.transform("blocks", lambda b: b["text"]), "|").alias("lines"),
     )
 
 
@@ -106,20 +110,21 @@ def page_text_fallback(spark, sf):
 )
 def note_text(spark, sf):
     return A.table(spark, sf, "documents").select(
-        "doc_id", D.note_text(D.text_line_blocks(F.col("text"))).alias("content_text")
+        "doc_id", D.note_text(A.text_line_blocks(F.col("text"))).alias("content_text")
     )
 
 
 @query(
     "nonempty_blocks",
-    f"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\n'), lambda x: x <> ''))::BIGINT AS n_blocks
+    f"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\n'), lambda x: {Q.strip('x')} <> ''))::BIGINT AS n_blocks
     FROM documents""",
 )
 def nonempty_blocks(spark, sf):
-    blocks = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("text")))
-    return A.table(spark, sf, "documents").select(
-        "doc_id", F.size(D.nonempty_blocks(blocks)).cast("long").alias("n_blocks")
+    """Paragraphs without text are no blocks."""
+    pages = A.table(spark, sf, "documents").select(
+        "doc_id", A.paragraph_html(F.col("text")).alias("html")
     )
+    return parse_html(pages).select("doc_id", F.size("blocks").cast("long").alias("n_blocks"))
 
 
 # A document as header lines, a heading of each level, bullets and paragraphs.
@@ -141,7 +146,7 @@ paragraphs AS (
 
 
 def _styled(spark, sf):
-    lines = F.transform(D.text_line_blocks(F.col("text")), lambda b: b["text"])
+    lines = F.transform(A.text_line_blocks(F.col("text")), lambda b: b["text"])
 
     def block(line, no):
         kind = no % 3
@@ -277,7 +282,6 @@ def origin_cell(spark, sf):
 
 def _links(spark, sf):
     """Absolute links of the pages with parts, hints, score and test, one per row."""
-    from codexferry.operators.html import parse_html
 
     pages = parse_html(A.linked_pages(spark, sf))
     links = pages.select(
@@ -292,7 +296,6 @@ def _links(spark, sf):
     f"""WITH {Q.PAGES} SELECT page_id, idx::INTEGER AS idx, href FROM hrefs""",
 )
 def html_links(spark, sf):
-    from codexferry.operators.html import parse_html
 
     return parse_html(A.linked_pages(spark, sf)).select(
         "page_id", F.posexplode("hrefs").alias("idx", "href")
@@ -309,7 +312,6 @@ def html_links(spark, sf):
     FROM raw GROUP BY page_id""",
 )
 def link_is_absolute(spark, sf):
-    from codexferry.operators.html import parse_html
 
     both = A.table(spark, sf, "pages").select("page_id", "html").unionByName(
         A.linked_pages(spark, sf).select("page_id", "html")
@@ -412,7 +414,6 @@ TITLED = Q.LINKS.replace(
     FROM linked_pages p LEFT JOIN best b USING (page_id)""",
 )
 def best_link(spark, sf):
-    from codexferry.operators.html import parse_html
 
     words = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[^a-zA-Z0-9]+", " ")
     site = F.regexp_extract("url", "^[a-z]+://[a-z]+[.]([a-z-]+)", 1)
@@ -434,7 +435,6 @@ def best_link(spark, sf):
     FROM linked_pages p LEFT JOIN best b USING (page_id)""",
 )
 def recover_source_url(spark, sf):
-    from codexferry.operators.html import parse_html
 
     pages = parse_html(A.linked_pages(spark, sf))
     best = U.best_link(F.col("title"), F.col("hrefs"))["url"]
@@ -464,7 +464,6 @@ UNESCAPED = (
 )
 def html_blocks(spark, sf):
     """Headings and bullets of whole pages, texts in order of text."""
-    from codexferry.operators.html import parse_html
 
     pages = parse_html(A.table(spark, sf, "pages").select("page_id", "html"))
     blocks = F.filter("blocks", lambda b: b["type"].isin("heading", "bullet"))
@@ -512,7 +511,6 @@ PIECES = f"""list_filter(list_transform(string_split(regexp_replace(x, '<[^>]*>'
 )
 def html_paragraphs(spark, sf):
     """All blocks of whole pages, unclosed paragraphs included."""
-    from codexferry.operators.html import parse_html
 
     return parse_html(A.table(spark, sf, "pages").select("page_id", "html")).select(
         "page_id",

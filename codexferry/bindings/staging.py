@@ -123,7 +123,8 @@ LISTING = f"""listing AS (
     "package_entries",
     f"""WITH {MAPPED}, {LISTING}, owners AS (SELECT count(DISTINCT owner_email) AS n FROM books)
     SELECT 0 AS part, '{C.TRANSFER_FILE}' AS arcname, '{C.TRANSFER_FILE}' AS path
-    UNION ALL SELECT 1, CASE WHEN n <= 1 THEN regexp_replace(path, '^[^/]*/', '') ELSE path END, path
+    UNION ALL SELECT 1, '{C.SCRIPT_FILE}', '{C.SCRIPT_FILE}'
+    UNION ALL SELECT 2, CASE WHEN n <= 1 THEN regexp_replace(path, '^[^/]*/', '') ELSE path END, path
     FROM listing, owners""",
 )
 def package_entries(spark, sf):
@@ -131,6 +132,56 @@ def package_entries(spark, sf):
     return S.package_entries(M.staged_listing(m), m.notebooks)
 
 
+@query(
+    "package_entries_single",
+    f"""WITH {Q.DOCS}, files AS (SELECT DISTINCT 'solo@old.example/' || book_title || '/Sources/' || base || doc_id::VARCHAR || '.docx' AS path FROM docs)
+    SELECT 0 AS part, '{C.TRANSFER_FILE}' AS arcname, '{C.TRANSFER_FILE}' AS path
+    UNION ALL SELECT 1, '{C.SCRIPT_FILE}', '{C.SCRIPT_FILE}'
+    UNION ALL SELECT 2, substr(path, length('solo@old.example/') + 1), path FROM files""",
+)
+def package_entries_single(spark, sf):
+    """All documents as the staged files of one owner: the owner's folder is left out."""
+    parts = F.concat(
+        F.lit("solo@old.example/"), "book_title", F.lit("/Sources/"), "base",
+        F.col("doc_id").cast("string"), F.lit(".docx"),
+    )
+    files = A.docs(spark, sf).select(parts.alias("path")).distinct()
+    return S.package_entries(files, files.select(F.lit("solo@old.example").alias("owner_email")))
+
+
+@query(
+    "staging_copies",
+    f"""WITH {Q.IDENTITY},
+    book AS (SELECT DISTINCT source AS title, {Q.sanitize('source')} AS folder FROM documents),
+    file AS (
+      SELECT folder, '/Sources/' || lang || (doc_id % 7)::VARCHAR || '.docx' AS path FROM documents JOIN book ON title = source
+      UNION SELECT folder, '/Notes/n' || (doc_id % 3)::VARCHAR || '.docx' FROM documents JOIN book ON title = source
+      UNION SELECT folder, '/{C.INDEX_FILE}' FROM book)
+    SELECT 'template@old.example/' || folder || path AS copied_from, i.gws_email || '/' || folder || path AS path
+    FROM file CROSS JOIN identity i""",
+)
+def staging_copies(spark, sf):
+    """The whole folder of each template notebook for each user: sources, notes and index."""
+    books = _template(spark, sf)
+    owner, folder = F.lit("template@old.example"), T.sanitize_filename(F.col("source"))
+    docs = A.table(spark, sf, "documents").select("source", "lang", "doc_id")
+
+    def children(kind, name):
+        file = F.concat(name, F.lit(".docx"))
+        return docs.select(
+            owner.alias("owner_email"),
+            N.notebook_key(owner, folder).alias("nb_key"),
+            F.col("source").alias("notebook_title"),
+            file.alias("file"),
+            T.join_path(owner, folder, F.lit(kind), file).alias("relative_sharepoint_path"),
+        ).distinct()
+
+    sources = children("Sources", F.concat("lang", (F.col("doc_id") % 7).cast("string")))
+    notes = children("Notes", F.concat(F.lit("n"), (F.col("doc_id") % 3).cast("string")))
+    manifest = M.Manifest(books, sources, notes, notes.limit(0))
+    return M.staging_copies(manifest, A.identity(spark, sf))
+
+
 COUNTS = """counts AS (
   SELECT m.owner_email AS gws_email, min(m.m365_upn) AS m365_upn, min(m.ge_target_email) AS ge_target_email,
     min(m.sharepoint_site_url) AS sharepoint_site_url, count(*) AS notebook_count,

@@ -11,23 +11,6 @@ from codexferry.functions import text as T
 BLOCKS_TYPE = "array<struct<type:string,level:int,text:string>>"
 
 
-def nonempty_blocks(blocks: Column) -> Column:
-    return F.filter(blocks, lambda b: b["text"] != "")
-
-
-def text_line_blocks(text: Column) -> Column:
-    """Paragraph blocks from plain text: one per line that is not blank."""
-    lines = F.transform(F.split(text, T.LINE_END, -1), T.strip_space)
-    return F.transform(
-        F.filter(lines, lambda x: x != ""),
-        lambda x: F.struct(
-            F.lit("paragraph").alias("type"),
-            F.lit(None).cast("int").alias("level"),
-            x.alias("text"),
-        ),
-    )
-
-
 def blocks_word_count(blocks: Column) -> Column:
     return F.aggregate(
         blocks, F.lit(0).cast("long"), lambda n, b: n + T.word_count(b["text"]).cast("long")

@@ -108,17 +108,28 @@ def pair_all(
 ) -> DataFrame:
     """Every left row with every right row, for an operator whose result is just that.
 
-    Rows are placed on a square grid of equal cells and joined by cell, so no side
-    has to fit into a task and the result is spread evenly. There are at least as
-    many cells as shuffle partitions, so all of them get work.
+    Rows are placed on a grid of equal cells and joined by cell, so no side has to fit
+    into a task and the result is spread evenly. There are a few cells per shuffle
+    partition, and each side has its share of the grid's lines by its number of rows: a
+    single row meets a line of many cells, not a square of which it fills one column.
     """
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = max(8, math.isqrt(partitions - 1) + 1)
+    rows, columns = grid(left.count(), right.count(), 4 * partitions)
 
-    def cell(ids):
-        return F.pmod(F.xxhash64(*ids), F.lit(side)).cast("int")
+    def cell(ids, lines):
+        return F.pmod(F.xxhash64(*ids), F.lit(lines)).cast("int")
 
-    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
-    rows = left.withColumn("_row", cell(left_id)).withColumn("_column", every)
-    columns = right.withColumn("_column", cell(right_id)).withColumn("_row", every)
-    return rows.join(columns, ["_row", "_column"]).drop("_row", "_column")
+    def every(lines):
+        return F.explode(F.sequence(F.lit(0), F.lit(lines - 1)))
+
+    low = left.withColumn("_row", cell(left_id, rows)).withColumn("_column", every(columns))
+    high = right.withColumn("_column", cell(right_id, columns)).withColumn("_row", every(rows))
+    return low.join(high, ["_row", "_column"]).drop("_row", "_column")
+
+
+def grid(n_left: int, n_right: int, cells: int) -> tuple[int, int]:
+    """Lines of a grid of about ``cells`` cells, in proportion to the sides, at most one per row."""
+    rows = round(math.sqrt(cells * max(1, n_left) / max(1, n_right)))
+    rows = min(max(1, rows), max(1, n_left), cells)
+    columns = min(-(-cells // rows), max(1, n_right))
+    return rows, columns

@@ -160,7 +160,7 @@ def transfer_manifest(notebooks: DataFrame, stage_root: str) -> DataFrame:
 
 
 def package_entries(files: DataFrame, owners: DataFrame, path: str = "path") -> DataFrame:
-    """Names of staged files in the package: the transfer list, then the tree.
+    """Names of staged files in the package: the transfer list, the script, then the tree.
 
     With at most one owner the first path component goes.
     """
@@ -170,16 +170,13 @@ def package_entries(files: DataFrame, owners: DataFrame, path: str = "path") ->
     own = F.col(path).isin(C.TRANSFER_FILE, C.SCRIPT_FILE)
     shorter = F.regexp_replace(F.col(path), r"(?s)\A[^/]*/", "")
     tree = files.where(~own).select(
-        F.lit(1).alias("part"),
+        F.lit(2).alias("part"),
         F.when(several, F.col(path)).otherwise(shorter).alias("arcname"),
         F.col(path).alias("path"),
     )
-    first = files.sparkSession.range(1).select(
-        F.lit(0).alias("part"),
-        F.lit(C.TRANSFER_FILE).alias("arcname"),
-        F.lit(C.TRANSFER_FILE).alias("path"),
-    )
-    return first.unionByName(tree)
+    names = F.array(F.lit(C.TRANSFER_FILE), F.lit(C.SCRIPT_FILE))
+    first = files.sparkSession.range(1).select(F.posexplode(names).alias("part", "path"))
+    return first.select("part", F.col("path").alias("arcname"), "path").unionByName(tree)
 
 
 def user_counts(notebooks: DataFrame, sources: DataFrame) -> DataFrame:

@@ -43,6 +43,8 @@ class Manifest:
     notes: DataFrame
     artifacts: DataFrame
     errors: DataFrame | None = None
+    # The copy list of a fan-out: ``copied_from``, ``path``.
+    copied: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -151,15 +153,35 @@ def map_owners(
     notes = fan_out_files(manifest.notes, identity, template, kind)
     artifacts = fan_out_files(manifest.artifacts, identity, template, None)
     docx = T.join_path(F.lit(stage_root.rstrip("/")), F.col("relative_sharepoint_path"))
+    copied = staging_copies(manifest, identity) if template else None
     return replace(
         manifest,
         notebooks=fan_out_template(notebooks, identity, template),
         sources=sources.withColumn("docx_path", docx),
         notes=notes.withColumn("docx_path", docx),
         artifacts=artifacts,
+        copied=copied,
     )
 
 
+def staging_copies(manifest: Manifest, identity: DataFrame) -> DataFrame:
+    """``copied_from, path``: the staged folders of a template, copied for each user.
+
+    A notebook's whole folder is copied, sources, notes and index; the manifest's notes
+    keep the template's paths all the same.
+    """
+    old, new = F.col("copied_from"), F.col("relative_sharepoint_path").alias("path")
+    sources = fan_out_files(manifest.sources, identity, True, "Sources").select(old, new)
+    notes = fan_out_files(manifest.notes, identity, True, "Notes").select(old, new)
+    index = T.join_path(F.col("sharepoint_folder"), F.lit(C.INDEX_FILE))
+    books = manifest.notebooks.select("owner_email", "title", "nb_key", index.alias("copied_from"))
+    books = books.withColumn("sharepoint_folder", F.lit(None).cast("string"))
+    indexes = fan_out_template(books, identity, True).select(
+        old, T.join_path(F.col("sharepoint_folder"), F.lit(C.INDEX_FILE)).alias("path")
+    )
+    return sources.unionByName(notes).unionByName(indexes)
+
+
 def _staged(children: DataFrame, copies: DataFrame, kind: str) -> DataFrame:
     """Children of every copy with the path that their document takes."""
     path = N.staged_path(F.col("owner_email"), F.col("folder"), kind, F.col("title"))
@@ -226,12 +248,14 @@ def documents(found: Extracted) -> DataFrame:
 
 
 def staged_listing(manifest: Manifest) -> DataFrame:
-    """Relative paths of all staged files: documents and indexes."""
+    """Relative paths of all staged files: documents and indexes, and the copies of a fan-out."""
     rel = F.col("relative_sharepoint_path").alias("path")
     index = T.join_path(F.col("sharepoint_folder"), F.lit(C.INDEX_FILE)).alias("path")
-    return (
+    files = (
         manifest.sources.select(rel)
         .unionByName(manifest.notes.select(rel))
         .unionByName(manifest.notebooks.select(index))
-        .distinct()
     )
+    if manifest.copied is not None:
+        files = files.unionByName(manifest.copied.select("path"))
+    return files.distinct()

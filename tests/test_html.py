@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from codexferry.bindings.adapters import text_line_blocks
 from codexferry.functions import documents as D
 from codexferry.operators.html import parse_html, parse_page
 
@@ -77,7 +78,7 @@ def test_large_batches_go_out_in_pieces(spark):
 
 def test_fallback_in_columns_matches_the_parser(column):
     text = "one\r\n two \x85\n\x1cthree "
-    lines = column(D.text_line_blocks, [text])[0]
+    lines = column(text_line_blocks, [text])[0]
     assert [b.text for b in lines] == [x.strip() for x in text.splitlines() if x.strip()]
 
 

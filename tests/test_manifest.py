@@ -243,6 +243,12 @@ def test_fan_out_of_a_template(spark):
         r.relative_sharepoint_path for r in moved.notes.collect()
     }
     assert wide.nested().count() == 7
+    # the staged folder of each user is whole: sources, notes and index
+    copied = {(r.copied_from, r.path) for r in wide.copied.collect()}
+    assert len(copied) == 7 * (4 + 1 + 1)
+    for name in ("Notes/Idea.docx", "Notebook_Sources_Index.md", "Sources/Deck.docx"):
+        assert (f"ann@old.x/Solar/{name}", f"u2@old.x/Solar/{name}") in copied
+    assert {p for _, p in copied} <= {r.path for r in M.staged_listing(wide).collect()}
     # one mapped user, or two owners: no fan-out
     assert M.map_owners(merged, identity(spark, users[:1])).notebooks.count() == 1
     two = M.merge(M.extract(tree(spark, FIRST, THIRD), OWNER))
@@ -252,6 +258,7 @@ def test_fan_out_of_a_template(spark):
 def test_package_entries(spark, manifest):
     listing = M.staged_listing(manifest)
     names = {r.arcname for r in S.package_entries(listing, manifest.notebooks).collect()}
+    assert "upload_to_sharepoint_pnp.ps1" in names
     assert "sharepoint_spmt_manifest.csv" in names and "ann@old.x/Solar/Sources/Deck.docx" in names
     one = manifest.notebooks.where("owner_email = 'ann@old.x'")
     short = {r.arcname for r in S.package_entries(listing, one).collect()}

@@ -62,3 +62,20 @@ def test_pairs_are_complete_and_spread(spark):
     assert paired.count() == 12000 == paired.distinct().count()
     plan = paired._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_one_row_meets_many_on_all_partitions(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("64", "false", "-1")):
+            spark.conf.set(k, v)
+        for n, m in ((1, 20_000), (20_000, 1), (300, 400), (3, 5)):
+            left, right = spark.range(n).select(F.col("id").alias("a")), spark.range(m).select(F.col("id").alias("b"))
+            paired = O.pair_all(left, right, ["a"], ["b"])
+            sizes = [r["count"] for r in paired.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == n * m
+            if n * m > 1000:
+                assert len(sizes) >= 48 and max(sizes) < n * m / 8
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
