@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from codexferry.operators.docx import render_docx
 from codexferry.operators.fanout import fan_out_files, fan_out_template, is_template
 from codexferry.operators.identity import map_identity
 from codexferry.operators.ordering import MAX_GROUP, number_rows
-from codexferry.storage import materialize
+from codexferry.storage import materialize, together
 
 
 @dataclass(frozen=True)
@@ -107,9 +109,11 @@ def extract(
         "artifacts": N.discover_artifacts(kind("artifact")),
         "errors": errors,
     }
-    return Extracted(
-        *[materialize(found[n], f"{base}/{n}" if base else None) for n in EXTRACTED]
-    )
+    # No table needs another one: they are parsed and written side by side.
+    writes = [
+        partial(materialize, found[n], f"{base}/{n}" if base else None) for n in EXTRACTED
+    ]
+    return Extracted(*together(*writes))
 
 
 def read_extracted(spark: SparkSession, work_uri: str) -> Extracted:
@@ -123,20 +127,19 @@ def merge(found: Extracted, max_group: int = MAX_GROUP) -> Manifest:
     A notebook with more than ``max_group`` children is numbered range by range.
     """
 
-    def numbered(children: DataFrame, order: list[str]) -> DataFrame:
-        return materialize(number_rows(children, ["nb_key"], order, max_group=max_group))
+    def numbered(children: DataFrame, order: list[str]) -> Callable[[], DataFrame]:
+        return lambda: materialize(number_rows(children, ["nb_key"], order, max_group=max_group))
 
     notebooks = materialize(N.merge_notebooks(found.copies))
     sources = N.merge_sources(found.sources.drop("blocks"), found.copies, notebooks)
     notes = N.first_copy_children(found.notes.drop("blocks"), notebooks, "Notes")
     artifacts = N.first_copy_children(found.artifacts, notebooks, "Artifacts")
-    return Manifest(
-        notebooks,
+    children = together(
         numbered(sources, ["copy_path", "copy_file", "file"]),
         numbered(notes, ["copy_path", "file"]),
         numbered(artifacts, ["copy_path", "file"]),
-        found.errors,
     )
+    return Manifest(notebooks, *children, found.errors)
 
 
 def map_owners(

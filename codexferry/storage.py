@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,12 @@ def materialize(df: DataFrame, uri: str | None = None, by: str | None = None) ->
     return spark.read.schema(df.schema).parquet(uri)
 
 
+def together(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Run jobs that do not depend on each other side by side; each gives a table."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores for an input of few partitions; a large input stays as it is."""
     tasks = df.sparkSession.sparkContext.defaultParallelism
