@@ -558,14 +558,14 @@ def is_notebook(spark, sf):
 
 @query(
     "notebook_title",
-    f"""WITH {Q.DOCS} SELECT doc_id, {Q.strip('text')} AS given, book_dir AS from_file, 'Untitled Notebook' AS untitled
-    FROM docs WHERE text <> ''""",
+    f"""WITH {Q.DOCS} SELECT doc_id, CASE WHEN text = '' THEN book_dir ELSE {Q.strip('text')} END AS given,
+      book_dir AS from_file, 'Untitled Notebook' AS untitled FROM docs""",
 )
 def notebook_title(spark, sf):
     meta = F.lit(C.METADATA_SUFFIX)
     file = F.concat("book_dir", meta)
     empty = F.lit('{"title": ""}')
-    return A.docs(spark, sf).where("text <> ''").select(
+    return A.docs(spark, sf).select(
         "doc_id",
         N.notebook_title(F.to_json(F.struct(F.col("text").alias("title"))), file).alias("given"),
         N.notebook_title(empty, file).alias("from_file"),

@@ -314,13 +314,15 @@ def number_sources(spark, sf):
 
 @query(
     "path_collisions",
-    f"""WITH {Q.DOCS} SELECT owner AS nb_key, left({Q.sanitize('source')}, 4) AS relative_sharepoint_path, count(*) AS n
+    f"""WITH {Q.DOCS} SELECT owner AS nb_key, owner || '/' || {Q.sanitize('source')} || '.docx' AS relative_sharepoint_path, count(*) AS n
     FROM docs GROUP BY 1, 2 HAVING count(*) > 1""",
 )
 def path_collisions(spark, sf):
     staged = A.docs(spark, sf).select(
         F.col("owner").alias("nb_key"),
-        F.substring(T.sanitize_filename(F.col("source")), 1, 4).alias("relative_sharepoint_path"),
+        T.join_path(
+            F.col("owner"), F.concat(T.sanitize_filename(F.col("source")), F.lit(".docx"))
+        ).alias("relative_sharepoint_path"),
     )
     return N.path_collisions(staged)
 

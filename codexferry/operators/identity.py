@@ -11,11 +11,13 @@ from codexferry.functions import text as T
 IDENTITY_COLUMNS = list(C.IDENTITY_ALIASES)
 
 
-def site_url(upn: Column) -> Column:
-    return F.concat(F.lit(C.SITE_URL_PREFIX), upn)
+def site_url(upn: Column, prefix: str = C.SITE_URL_PREFIX) -> Column:
+    return F.concat(F.lit(prefix), upn)
 
 
-def normalize_identity(raw: DataFrame, seq: str = "line_no") -> DataFrame:
+def normalize_identity(
+    raw: DataFrame, seq: str = "line_no", site_prefix: str = C.SITE_URL_PREFIX
+) -> DataFrame:
     """Four columns from any accepted header, with fallbacks; ``seq`` is kept."""
     # Unique names first: two headers may be equal once trimmed and lower-cased.
     renamed = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
@@ -41,7 +43,7 @@ def normalize_identity(raw: DataFrame, seq: str = "line_no") -> DataFrame:
         .withColumn("ge_target_email", F.coalesce("ge_target_email", "m365_upn"))
         .withColumn(
             "sharepoint_site_url",
-            F.coalesce("sharepoint_site_url", site_url(F.col("m365_upn"))),
+            F.coalesce("sharepoint_site_url", site_url(F.col("m365_upn"), site_prefix)),
         )
     )
 
@@ -60,14 +62,20 @@ def identity_last_wins(identity: DataFrame, seq: str = "line_no") -> DataFrame:
     )
 
 
-def identity_map(raw: DataFrame, seq: str = "line_no") -> DataFrame:
+def identity_map(
+    raw: DataFrame, seq: str = "line_no", site_prefix: str = C.SITE_URL_PREFIX
+) -> DataFrame:
     """The map that the other operators take: one row per mapped owner."""
-    return identity_last_wins(mapped_rows_only(normalize_identity(raw, seq)), seq).select(
-        *IDENTITY_COLUMNS
-    )
+    rows = mapped_rows_only(normalize_identity(raw, seq, site_prefix))
+    return identity_last_wins(rows, seq).select(*IDENTITY_COLUMNS)
 
 
-def map_identity(df: DataFrame, identity: DataFrame, owner: str = "owner_email") -> DataFrame:
+def map_identity(
+    df: DataFrame,
+    identity: DataFrame,
+    owner: str = "owner_email",
+    site_prefix: str = C.SITE_URL_PREFIX,
+) -> DataFrame:
     """Add target columns by owner; unmapped owners map to themselves.
 
     No broadcast hint: the map grows with the organization. Spark broadcasts it
@@ -87,6 +95,8 @@ def map_identity(df: DataFrame, identity: DataFrame, owner: str = "owner_email")
         )
         .withColumn(
             "sharepoint_site_url",
-            F.coalesce(T.nonempty(F.col("sharepoint_site_url")), site_url(F.col("m365_upn"))),
+            F.coalesce(
+                T.nonempty(F.col("sharepoint_site_url")), site_url(F.col("m365_upn"), site_prefix)
+            ),
         )
     )

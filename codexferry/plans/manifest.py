@@ -147,9 +147,10 @@ def map_owners(
     identity: DataFrame,
     stage_root: str = "",
     rewrite_note_paths: bool = False,
+    site_prefix: str = C.SITE_URL_PREFIX,
 ) -> Manifest:
     """Map owners and fan a template out; needs no new extraction."""
-    notebooks = map_identity(manifest.notebooks, identity)
+    notebooks = map_identity(manifest.notebooks, identity, site_prefix=site_prefix)
     template = is_template(manifest.notebooks, identity)
     sources = fan_out_files(manifest.sources, identity, template, "Sources")
     kind = "Notes" if rewrite_note_paths else None
