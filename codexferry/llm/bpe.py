@@ -35,8 +35,8 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from codexferry.llm.common import slices
 
 #: Pieces of one text that are handled at a time, those that a task remembers, and those encoded at once.
-RUN, REMEMBERED, AT_ONCE = 500_000, 100_000, 5_000
-SLICE = 4 << 20
+RUN, REMEMBERED, AT_ONCE = 500_000, 40_000, 2_000
+SLICE = 2 << 20
 
 
 def byte_characters() -> list[str]:

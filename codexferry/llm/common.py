@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codexferry.storage import materialize
 
 #: Bytes of text that a Python task works on at a time; one longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 #: Separators of the words: space and the control characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,6 +38,8 @@ def slices(
         starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for start, end in zip(starts, starts[1:], strict=False):
             yield batch.slice(start, end - start)
+        # A worker serves many stages: what Arrow keeps of one would add to the next.
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
