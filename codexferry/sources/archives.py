@@ -50,6 +50,8 @@ _NESTED_ROOM = 1 << 32
 _BATCH_BYTES = 32 << 20
 _BATCH_ROWS = 512
 _TASK_BYTES = 64 << 20
+# Neighbouring entries of an archive that one task reads.
+_RUN = 16
 # An inner archive up to this size is read into memory; a larger one is read as a stream.
 _IN_MEMORY = 64 << 20
 # The largest value that a row can hold.
@@ -217,8 +219,10 @@ def unzip_in_place(
     listed = archives.select("archive", "dest").mapInArrow(
         lambda batches: _batches(listing(batches), _LISTING_ARROW), _LISTING_SCHEMA
     )
-    # Spread by entry, then group by archive inside a task so that it opens each once.
-    spread = listed.repartition(tasks, "archive", "member").sortWithinPartitions("archive", "member")
+    # Spread by runs of entries, so that a small archive is opened by one task, and grouped by
+    # archive inside a task, so that it opens each once.
+    run_of = F.floor(F.col("member") / _RUN)
+    spread = listed.repartition(tasks, "archive", run_of).sortWithinPartitions("archive", "member")
     return spread.mapInArrow(
         lambda batches: _batches(rows(batches), _ENTRY_ARROW), ENTRY_SCHEMA
     )
@@ -244,9 +248,15 @@ def _archive_files(spark: SparkSession, uri: str) -> DataFrame:
     )
 
 
-def _read_in_place(spark: SparkSession, placed: DataFrame, owner: str, **options) -> DataFrame:
-    # Only file lengths are read here, not the files.
-    size = placed.agg(F.sum("length").alias("n")).first()["n"] or 0
+def _count_and_size(files: DataFrame) -> tuple[int, int]:
+    """Number and bytes of files, from their listing alone."""
+    row = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return row[0], row[1]
+
+
+def _read_in_place(
+    spark: SparkSession, placed: DataFrame, size: int, owner: str, **options
+) -> DataFrame:
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return unzip_in_place(placed, owner, max(shuffles, -(-size // _TASK_BYTES)), **options)
 
@@ -260,10 +270,9 @@ def read_archives(
     greedy match keeps.
     """
     files = _archive_files(spark, uri)
-    count = files.agg(F.count(F.lit(1)).alias("n")).scalar()
-    dest = archive_dest(F.col("archive"), count, default_owner, strip_affixes)
-    placed = files.withColumn("dest", dest)
-    return _read_in_place(spark, placed, default_owner)
+    count, size = _count_and_size(files)
+    dest = archive_dest(F.col("archive"), F.lit(count), default_owner, strip_affixes)
+    return _read_in_place(spark, files.withColumn("dest", dest), size, default_owner)
 
 
 def relative_path(path: Column, uri: str) -> Column:
@@ -298,8 +307,9 @@ def read_export_bucket(spark: SparkSession, uri: str, fallback_owner: str) -> Da
     Archives go below the owner found in their whole path. Entry names are taken
     as they are and inner archives stay files.
     """
-    placed = _archive_files(spark, uri).withColumn(
-        "dest", T.infer_owner_email(F.col("archive"), fallback_owner)
+    files = _archive_files(spark, uri)
+    placed = files.withColumn("dest", T.infer_owner_email(F.col("archive"), fallback_owner))
+    entries = _read_in_place(
+        spark, placed, _count_and_size(files)[1], fallback_owner, repair_names=False, nested=False
     )
-    entries = _read_in_place(spark, placed, fallback_owner, repair_names=False, nested=False)
     return entries.unionByName(list_export_tree(spark, uri, archives=False))
