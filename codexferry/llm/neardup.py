@@ -13,8 +13,10 @@ registers of a union are the greater ones, so sketches merge. Bands of registers
    partner its buckets hold, is out: a bound, not a guess. In a large group of variants of one text
    this drops the variants that changed too much to link with any other, without pairing them.
 3. The class that shares most is the next pivot. Then buckets that hold several components even
-   now compare the classes of different components, block by block; only likely pairs come out. After that every pair of a bucket is in one
-   component, has been compared, or is ruled out by its sizes or by step 2.
+   now compare the classes of different components, block by block; a bitmap of each set bounds
+   what two of them can have in common, and only likely pairs come out. After that every pair of a
+   bucket is in one component, has been compared, or is ruled out by its sizes, by step 2 or by
+   the bitmaps.
 
 A proposed pair first passes sizes (their ratio bounds the similarity) and the likelihood of its
 register comparison: similarity is estimated from the number of registers that are greater,
@@ -47,6 +49,7 @@ BANDS, ROWS = 32, 5
 BASE, TOP = 1.02, 2**16 - 2  # b and q + 1 of the sketch
 SLACK = 0.15
 BLOCK = 2000
+BITS = 2048
 
 _DRAW = np.random.default_rng(20_011)
 _ODD = _DRAW.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,6 +88,13 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(spaced) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A set as ``BITS`` bits; bits that another set lacks witness as many elements that it lacks."""
+    bits = np.zeros(BITS, bool)
+    bits[(hashes >> np.uint64(20)) % np.uint64(BITS)] = True
+    return np.packbits(bits).tobytes()
+
+
 def merge_registers(*sketches: np.ndarray) -> np.ndarray:
     """The sketch of the union."""
     return np.maximum.reduce(sketches)
@@ -118,13 +128,14 @@ def sketch(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             known: dict = {}
             for name, s in zip(names, sets, strict=True):
                 if name is not None and name not in known:
-                    known[name] = registers(s).tobytes()
-            regs = pa.array([known.get(n) for n in names], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch[key], sizes, pa.array(names, pa.binary()), regs], fields)
+                    known[name] = registers(s).tobytes(), bitmap(s)
+            found = [known.get(n, (None, None)) for n in names]
+            regs, bits = (pa.array([f[i] for f in found], pa.binary()) for i in range(2))
+            yield pa.RecordBatch.from_arrays([batch[key], sizes, pa.array(names, pa.binary()), regs, bits], fields)
 
-    fields = ["doc_id", "n_shingles", "class", "regs"]
+    fields = ["doc_id", "n_shingles", "class", "regs", "bits"]
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, regs binary")
+    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, regs binary, bits binary")
 
 
 def _buckets(regs: list[bytes]) -> np.ndarray:
@@ -221,7 +232,7 @@ def _across(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("bucket", "class", "part", "n", "shared", "side", other)
     rows = rows.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
-    rows = rows.join(classes.select("class", "regs"), "class")
+    rows = rows.join(classes.select("class", "regs", "bits"), "class")
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         here, left, right = (k.as_py() for k in key)
@@ -230,6 +241,7 @@ def _across(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         n, shared = rows["n"].to_numpy().astype(float), rows["shared"].to_numpy().astype(float)
         regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(len(names), -1)
         buckets = _buckets(rows["regs"].to_pylist())
+        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(names), -1)
         # Members of the largest component meet the others only.
         largest = np.bincount(parts).argmax()
         found = set()
@@ -240,6 +252,11 @@ def _across(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             # A pair counts in the first bucket that it shares.
             common = buckets[y] == buckets[x]
             y = y[buckets[x][common.argmax(axis=1)] == here]
+            # No more can be in common than one set has less what the other surely lacks.
+            lacks = np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1)
+            more = np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1)
+            most = np.minimum(n[x] - lacks, n[y] - more)
+            y = y[most * (100 + percent) >= (n[x] + n[y]) * percent]
             # Half of the registers alike is far less than the likelihood below asks for.
             y = y[(regs[y] == regs[x]).mean(axis=1) >= 0.5]
             if len(y):
@@ -278,7 +295,7 @@ def near_duplicates(
     rows = materialize(sketch(docs, key, text, width))
     full = rows.where("class is not null")
     heads = full.groupBy("class").agg(F.min("doc_id").alias("head"), F.min("n_shingles").alias("n"))
-    classes = materialize(heads.join(full.select("class", "regs").dropDuplicates(["class"]), "class"))
+    classes = materialize(heads.join(full.select("class", "regs", "bits").dropDuplicates(["class"]), "class"))
     bands = materialize(_bands(classes))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     left = bands.join(shared, "bucket").withColumn("part", F.col("class"))
