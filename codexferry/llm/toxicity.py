@@ -9,7 +9,8 @@ of a text a term fills); the ``TERMS`` whose document frequency differs most bet
 The index is inverted by blocks: examples stand in blocks of ``BLOCK`` and each term knows its
 greatest weight per block. A text's greatest possible cosine with a block is a sum of those; blocks
 are opened in its order until the next one cannot reach the ``NEAREST``-th best, so that the
-neighbours are exact. Ties go to the earlier example. Neighbours vote with the square of their
+neighbours are exact. Where bounds rule out so little that the blocks left to open hold more entries
+than the text's terms have in all examples, the terms' entries are summed instead. Ties go to the earlier example. Neighbours vote with the square of their
 cosine, against a prior vote at the examples' base rate whose weight is the one that scores the
 examples best when each is left out (log loss): the result is a calibrated share. The neighbours
 come along as evidence.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from codexferry.llm.common import slices, split_words
 from codexferry.storage import materialize
 
-EXAMPLES, TERMS, LEAST_Z, LEAST_DF = 20_000, 1024, 6.0, 3
+EXAMPLES, TERMS, LEAST_Z, LEAST_DF = 20_000, 4096, 3.5, 3
 BLOCK, NEAREST = 64, 15
 DENSE = (4, 8, 16)
 #: Examples that are left out in turn to choose the prior's weight.
@@ -110,6 +111,11 @@ class Model:
         self.greatest = np.zeros((len(self.terms), blocks))
         owner = np.repeat(np.arange(len(self.labels)), np.diff(self.starts))
         np.maximum.at(self.greatest, (self.places, owner // BLOCK), self.weights)
+        # The same entries by term, and how many there are before each block and term.
+        order = np.argsort(self.places, kind="stable")
+        self.owners, self.by_term = owner[order].astype(np.int32), self.weights[order]
+        self.term_starts = np.searchsorted(self.places[order], np.arange(len(self.terms) + 1))
+        self.entries = np.diff(self.starts[np.minimum(np.arange(blocks + 1) * BLOCK, len(self.labels))])
 
     def nearest(self, places: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the best ``NEAREST`` with a positive cosine."""
@@ -123,10 +129,12 @@ class Model:
         order, opened, step = order[: int((bound > 0).sum())], 0, 4
         while opened < len(order):
             least = cosines[NEAREST - 1] if len(cosines) >= NEAREST else 0.0
+            order = order[: opened + int((bound[order[opened:]] >= least - 1e-12).sum())]
             blocks = order[opened : opened + step]
-            blocks = blocks[bound[blocks] >= least - 1e-12]
             if not len(blocks):
                 break
+            if opened and self.entries[order[opened:]].sum() > (self.term_starts[places + 1] - self.term_starts[places]).sum():
+                return self._summed(places, weights, without)
             own = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
             own = own[own < len(self.labels)]
             lengths = self.starts[own + 1] - self.starts[own]
@@ -142,6 +150,22 @@ class Model:
             opened, step = opened + step, step * 2
         return at, cosines
 
+    def _summed(self, places: np.ndarray, weights: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same result from the entries of the text's terms in all examples."""
+        cosines = np.zeros(len(self.labels))
+        for place, weight in zip(places.tolist(), weights.tolist(), strict=True):
+            own = slice(self.term_starts[place], self.term_starts[place + 1])
+            # An example has a term once.
+            cosines[self.owners[own]] += weight * self.by_term[own]
+        if without >= 0:
+            cosines[without] = 0
+        at = np.flatnonzero(cosines > 0)
+        if len(at) > NEAREST:
+            least = np.partition(cosines[at], len(at) - NEAREST)[len(at) - NEAREST]
+            at = at[cosines[at] >= least - 1e-11]
+        at = at[np.lexsort((at, -np.round(cosines[at], 12)))[:NEAREST]]
+        return at, cosines[at]
+
     def vote(self, at: np.ndarray, cosines: np.ndarray, prior: float | None = None) -> float:
         prior = self.prior if prior is None else prior
         power = cosines * cosines

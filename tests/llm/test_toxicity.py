@@ -38,6 +38,26 @@ def test_block_max_search_is_exact():
         assert np.allclose(cosines, [-c for c, _ in wanted])
 
 
+def test_sums_by_term_are_exact():
+    draw = np.random.default_rng(5)
+    model, n = random_model(2, n=1500, terms=300), 1500
+    for i in range(0, n, 50):
+        places = np.sort(draw.choice(300, draw.integers(1, 40), replace=False))
+        weights = draw.choice([0.1, 0.2, 0.3], len(places))
+        for at, cosines in (model.nearest(places, weights, without=i), model._summed(places, weights, i)):
+            wanted = brute(model, places, weights, without=i)
+            assert at.tolist() == [k for _, k in wanted]
+            assert np.allclose(cosines, [-c for c, _ in wanted])
+
+
+def test_few_labelled_rows_still_give_terms(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = queries.toxicity_model(docs, spark, sf)
+    assert len(model.terms) > 0 and len(model.labels) > 0
+    assert any(r["evidence"] for r in toxicity.score(docs, model).collect())
+
+
 def test_held_out_accuracy_and_contract(spark):
     sf = "/root/testdata/sf0.1"
     found = queries.op5_nearest_toxicity(spark, sf).toPandas()
