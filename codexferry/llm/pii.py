@@ -6,7 +6,9 @@ Each finding has an identity, under which all its spellings are one entity:
 
 * e-mail: lower-cased; phone, card, social security number: the digits (a phone's last ten);
 * person: each name word for itself, with its part (given or family), script and, for given names,
-  the title's gender, so that "Mrs Ada Lake" and "Ms. Lake" share the family name's surrogate;
+  the title's gender, so that "Mrs Ada Lake" and "Ms. Lake" share the family name's surrogate. All
+  name words after a title count, the last is the family name; initials get a letter, particles
+  stay. In the same document, the family name and the full name are replaced without a title, too;
 * others: as they stand.
 
 A surrogate is made of the keyed SHA-256 of the identity: letters become letters of the same case,
@@ -33,7 +35,10 @@ from codexferry.storage import materialize
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MALE, FEMALE = "Mr|Herr|Monsieur|Sr|Señor|Господин", "Mrs|Ms|Miss|Frau|Mme|Madame|Sra|Señora|Госпожа"
-NAME = r"\p{Lu}[\p{Ll}'’-]+"
+#: A name word: inner capitals, hyphens and apostrophes, but no possessive ending.
+NAME = r"\p{Lu}(?:[\p{L}\p{M}]|-(?=\p{L})|['’](?=\p{L})(?!s(?!\p{L})))+"
+INITIAL, PARTICLE = r"\p{Lu}\.", "van|von|der|den|de|la|le|del|di|da|dos|du|zu|zur|bin|ibn|al|el|ter|ten"
+NAMES = rf"(?: (?:{PARTICLE})(?= (?:(?:{PARTICLE}) )*\p{{Lu}})| (?:{NAME}|{INITIAL}))+"
 
 #: type -> pattern, in order of preference where several begin at the same place.
 PATTERNS = {
@@ -45,11 +50,11 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]*\d)",
     "card": r"(?<![\w.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)",
-    "person": rf"(?<![\p{{L}}\d])(?:{MALE}|{FEMALE})\.? {NAME}(?: {NAME})?",
+    "person": rf"(?<![\p{{L}}\d])(?:{MALE}|{FEMALE})\.?{NAMES}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every finding holds; cheaper to look for than the pattern.
-HINT = rf"[@\d]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}|(?i:password|passwd|pwd|api_key|secret|token)[=:]|sk-"
+HINT = rf"[@\d]|(?:{MALE}|{FEMALE})\.? (?:(?:{PARTICLE}) )*\p{{Lu}}|(?i:password|passwd|pwd|api_key|secret|token)[=:]|sk-"
 
 ATTEMPTS = 40
 
@@ -84,11 +89,12 @@ def identities(raw: Column, kind: Column) -> Column:
     number = digits(raw)
     title = F.regexp_extract(raw, r"^\p{L}+", 0)
     gender = F.when(title.isin(*FEMALE.split("|")), "f").otherwise("m")
-    names = F.slice(F.split(raw, " "), 2, 2)
+    names = F.slice(F.split(raw, " "), 2, 1_000_000)
 
     def name(word: Column, place: Column) -> Column:
-        part = F.when((F.size(names) > 1) & (place == 0), gender).otherwise("")
-        return one(F.concat(F.lit("name:"), _script(word), F.lit(":"), part), F.lower(word), word)
+        part = F.when(place < F.size(names) - 1, gender).otherwise("")
+        kind = F.when(word.rlike(f"^(?:{PARTICLE})$"), "particle").when(word.rlike(f"^{INITIAL}$"), "initial")
+        return one(kind.otherwise(F.concat(F.lit("name:"), _script(word), F.lit(":"), part)), F.lower(word), word)
 
     return (
         F.when(kind == "email", F.array(one(kind, F.translate(raw, UPPER, LOWER))))
@@ -149,6 +155,8 @@ def candidate(secret: str, kind: Column, identity: Column, attempt: Column) -> C
             # Longer names with each attempt: room does not run out.
             whole = F.concat(stem, F.when(attempt > 0, more).otherwise(""), pick(CONSONANTS[script], F.lit(6)), F.lit(ending))
             out = out.when(kind == f"name:{script}:{gender}", whole)
+    # Initials are too few to be distinct.
+    out = out.when(kind == "initial", F.concat(pick(UPPER, F.lit(0)), F.lit("."))).when(kind == "particle", identity)
     return out.when(kind == "secret", F.concat(copied(identity), longer)).otherwise(copied(identity))
 
 
@@ -209,18 +217,40 @@ def findings(docs: DataFrame, text: str = "text") -> DataFrame:
 def replacements(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     """(raw, replacement, kind) of each different finding in the table."""
     parts = materialize(findings(docs, text).select("raw", F.col("kind").alias("whole"), "place", "e.kind", "e.identity", "e.spelling"))
-    known = surrogates(parts, secret)
-    new = parts.join(known, ["kind", "identity"]).withColumn("new", rendered(F.col("kind"), F.col("spelling"), F.col("surrogate")))
-    # At most two parts, of a person.
-    whole = new.groupBy("raw", "whole").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]), " ").alias("new"))
+    free = F.col("kind").isin("initial", "particle")
+    known = surrogates(parts.where(~free), secret)
+    drawn = parts.where(free).withColumn("surrogate", candidate(secret, F.col("kind"), F.col("identity"), F.lit(0)))
+    new = parts.join(known, ["kind", "identity"]).unionByName(drawn)
+    new = new.withColumn("new", rendered(F.col("kind"), F.col("spelling"), F.col("surrogate")))
+    # A person's parts in their order; the name words among them with their surrogates.
+    whole = new.groupBy("raw", "whole").agg(F.array_sort(F.collect_list(F.struct("place", "new", "spelling", "kind"))).alias("parts"))
+    words = F.filter("parts", lambda x: x["kind"].startswith("name:"))
+    words = F.transform(words, lambda x: F.struct((~x["kind"].endswith(":")).alias("given"), x["spelling"].alias("word"), x["new"].alias("new")))
+    joined = F.array_join(F.transform("parts", lambda x: x["new"]), " ")
     lead = F.when(F.col("whole") == "secret", F.regexp_extract("raw", r"^[^=:]*[=:]", 0)).when(F.col("whole") == "person", F.regexp_extract("raw", r"^\p{L}+\.? ", 0)).otherwise("")
-    return whole.select("raw", F.concat(lead, "new").alias("replacement"), F.col("whole").alias("kind"))
+    return whole.select("raw", F.concat(lead, joined).alias("replacement"), F.col("whole").alias("kind"), words.alias("words"))
+
+
+def untitled(gap: Column, names: Column) -> Column:
+    """A text between findings, with repeats of the document's family names and full names replaced."""
+    word = rf"(?<![\p{{L}}\p{{M}}\d]){NAME}"
+    between, found = F.split(gap, word, -1), F.regexp_extract_all(gap, F.lit(word), F.lit(0))
+    known = F.transform(found, lambda w: F.get(F.filter(names, lambda x: x["word"] == w), F.lit(0)))
+
+    def one(w: Column, i: Column) -> Column:
+        own, after = F.get(known, i), F.get(known, i + 1)
+        # A given name only before another name of the document: alone, it may be any word.
+        whole = after.isNotNull() & (F.get(between, i + 1) == " ")
+        return F.when(own.isNotNull() & (~own["given"] | whole), own["new"]).otherwise(w)
+
+    return F.array_join(F.zip_with(between, F.transform(found, one), lambda b, w: F.concat(b, F.coalesce(w, F.lit("")))), "")
 
 
 def pseudonymized(docs: DataFrame, secret: str, text: str = "text", spans: bool = False) -> DataFrame:
     """All rows and columns, with the findings in ``text`` replaced.
 
-    With ``spans``, also ``pii``: an array of (kind, replacement) in order of place.
+    With ``spans``, also ``pii``: an array of (kind, replacement) in order of place; untitled repeats
+    of a name are replaced in the text, but are not listed.
     """
     new = materialize(replacements(docs, secret, text))
     found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
@@ -228,10 +258,11 @@ def pseudonymized(docs: DataFrame, secret: str, text: str = "text", spans: bool
     # A text's findings with their replacements, under the text's hash: copies need them once, and
     # two texts of one hash share a larger table of the same global replacements.
     raws = docs.where(F.col(text).rlike(HINT)).select(hash_.alias("_hash"), F.explode(F.array_distinct(found)).alias("raw")).distinct()
-    tables = raws.join(new, "raw").groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("raw", F.struct("kind", "replacement")))).alias("_new"))
+    tables = raws.join(new, "raw").groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("raw", F.struct("kind", "replacement")))).alias("_new"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("_names"))
     tables = materialize(tables)
     gaps = F.split(text, ANY, -1)
     mine = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda r: F.element_at("_new", r))
+    gaps = F.when(F.size("_names") > 0, F.transform(gaps, lambda g: untitled(g, F.col("_names")))).otherwise(gaps)
     mixed = F.zip_with(gaps, mine, lambda g, r: F.concat(g, F.coalesce(r["replacement"], F.lit(""))))
     changed = F.when(F.col("_new").isNotNull(), F.array_join(mixed, "")).otherwise(F.col(text))
     none = F.expr("cast(array() as array<struct<kind:string,replacement:string>>)")

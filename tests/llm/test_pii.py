@@ -83,6 +83,23 @@ def test_types_forms_and_coreference(spark):
     assert regex.fullmatch(r"Госпожа \p{Cyrillic}+а \p{Cyrillic}+", new["Госпожа Анна Иванова"])
 
 
+def test_whole_names_and_untitled_repeats(spark):
+    texts = [
+        "Mr. John Michael Smith, Mr. Liam O'Brien, Mrs Anna Smith-Jones, Mr McDonald and Mr. J. Smith.",
+        "Frau Eva von der Heide and Ms. Lake's dog",
+        "Ms. Ada Lake came. Later Ada Lake, and Lake again; Ada alone, a Lakeside lake.",
+        "Ada Lake of another text",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymized(df, "k").collect()}
+    gone = ["John", "Michael", "Smith", "Liam", "Brien", "Anna", "Jones", "Donald"]
+    assert not [x for x in gone if regex.search(rf"\b{x}\b|{x}", out[0])], out[0]
+    assert regex.fullmatch(r"Mr\. \w+ \w+ (\w+), Mr\. \w+ \w+, Mrs \w+ \w+, Mr \w+ and Mr\. [A-Z]\. \1\.", out[0]), out[0]
+    assert regex.fullmatch(r"Frau \w+ von der \w+ and Ms\. \w+'s dog", out[1]) and "Heide" not in out[1] and "Lake" not in out[1], out[1]
+    assert regex.fullmatch(r"Ms\. (\w+) (\w+) came\. Later \1 \2, and \2 again; Ada alone, a Lakeside lake\.", out[2]), out[2]
+    assert out[3] == texts[3]
+
+
 def test_collisions_are_drawn_again(spark):
     texts = [f"pwd={i:06d}" for i in range(0, 3000)]
     new = all_of(spark, texts)
