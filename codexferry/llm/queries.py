@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexferry.llm import bpe, caps, chat, decontam, langid, neardup, ngram, passages, pii, toxicity
+from codexferry.llm import bpe, caps, chat, decontam, exact, langid, neardup, ngram, passages, pii, toxicity
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -205,3 +205,15 @@ def op3_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_chained_passages")
 def op8_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+EXACT_SQL = r"""
+with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256
+from t window w as (partition by t)
+"""
+
+
+@query("op13_exact_dedup", EXACT_SQL)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
