@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexferry.llm import bpe, caps, chat, decontam, exact, langid, neardup, ngram, passages, pii, toxicity
+from codexferry.llm import bpe, caps, chat, decontam, exact, langid, neardup, negatives, ngram, passages, pii, toxicity
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -217,3 +217,30 @@ from t window w as (partition by t)
 @query("op13_exact_dedup", EXACT_SQL)
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+NEGATIVES_SQL = """
+with v as (
+  select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.row as anchor, a.vec_id as anchor_id, b.row as other, b.vec_id as other_id, a.label = b.label as same,
+    coalesce(list_sum(list_transform(range(len(a.e)), lambda i: a.e[i + 1] * b.e[i + 1])), 0)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+), p as (
+  select anchor, anchor_id, other as positive, other_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor order by score desc, other_id, other) <= 5
+)
+select p.anchor_id, positive_id, row_number() over w::int as rank, other_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor = p.anchor and not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+window w as (partition by p.anchor, positive order by score desc, other_id, other)
+qualify row_number() over w <= 5
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label, anchors=F.col("vec_id") % 100 == 0)
