@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexferry.llm import bpe, caps, chat, decontam, exact, langid, neardup, negatives, ngram, passages, pii, toxicity
+from codexferry.llm import bpe, caps, chat, decontam, exact, langid, neardup, negatives, ngram, passages, phrases, pii, toxicity
 from codexferry.llm.common import table
 from codexferry.llm.registry import QUERIES, SQL, query
 
@@ -244,3 +244,31 @@ qualify row_number() over w <= 5
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label, anchors=F.col("vec_id") % 100 == 0)
+
+
+COLLOCATIONS_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents
+), w as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+g as (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (select unnest(range(1, 6)) as m) where len(w) >= m),
+f as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as a from g group by all),
+n as (select lang, sum(a)::bigint as n from f where m = 1 group by lang),
+c as (select * from f where m > 1 and a >= 100),
+alone as (
+  select c.*, string_split(phrase, ' ') as w from c where not exists (
+    select 1 from c b where b.lang = c.lang and b.m > c.m and 100 * b.a >= 100 * c.a and contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))
+), k as (select *, unnest(range(1, m)) as k from alone),
+s as (
+  select k.lang, k.phrase, k.a, n.n, x.a as l, y.a as r, k.k, ((1000::hugeint * k.a * n.n) // (x.a::hugeint * y.a))::bigint as score
+  from k join n using (lang) join f x on x.lang = k.lang and x.phrase = array_to_string(k.w[:k.k], ' ')
+    join f y on y.lang = k.lang and y.phrase = array_to_string(k.w[k.k + 1:], ' ')
+), b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over v as rank, phrase, a, l, r, n, score from b
+window v as (partition by lang order by score desc, a desc, phrase) qualify row_number() over v <= 2000
+"""
+
+
+@query("op11_phrase_collocations", COLLOCATIONS_SQL)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
