@@ -539,7 +539,8 @@ def read_html_text(spark, sf):
 
 @query(
     "is_notebook",
-    """SELECT doc_id, true AS with_title, true AS null_emoji, false AS neither, false AS corrupt, false AS other_type
+    """SELECT doc_id, true AS with_title, true AS null_emoji, false AS neither, false AS corrupt, false AS other_type,
+    false AS with_tail
     FROM documents""",
 )
 def is_notebook(spark, sf):
@@ -553,6 +554,7 @@ def is_notebook(spark, sf):
         N.is_notebook(other).alias("neither"),
         N.is_notebook(F.substring(title, 1, 12)).alias("corrupt"),
         N.is_notebook(F.concat(F.lit("["), title, F.lit("]"))).alias("other_type"),
+        N.is_notebook(F.concat(title, F.lit(" x"))).alias("with_tail"),
     )
 
 

@@ -234,7 +234,7 @@ def read_notebook_meta(spark, sf):
 )
 def attach_html(spark, sf):
     files = N.split_tree(A.export_tree(spark, sf)).where("dir_name = 'Sources'")
-    unreadable = F.json_object_keys(N.json_text(F.col("metadata"))).isNull()
+    unreadable = N.json_object(N.json_text(F.col("metadata")), N.NOTEBOOK_JSON).isNull()
     return N.attach_html(files).select(
         "dir", "base", F.col("html").isNull().alias("no_page"), unreadable.alias("unreadable")
     )

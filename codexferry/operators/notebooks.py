@@ -7,6 +7,8 @@ A *copy* is one folder that holds a notebook; copies are ordered by path.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,11 +19,14 @@ from codexferry.functions import text as T
 from codexferry.functions.urls import best_link
 from codexferry.operators.html import parse_html
 
+#: The object that closes a parsed text; see ``json_object``.
+SEAL = "_end"
 SOURCE_JSON = (
-    "metadata struct<originalSourceContentType:string, sourceAddedTimestamp:string, "
-    "youtubeMetadata:struct<videoId:string, channelName:string>>"
+    "struct<metadata struct<originalSourceContentType:string, sourceAddedTimestamp:string, "
+    f"youtubeMetadata:struct<videoId:string, channelName:string>>, {SEAL}:string>"
 )
-ARTIFACT_JSON = "artifactType string, appType string, title string"
+ARTIFACT_JSON = f"struct<artifactType:string, appType:string, title:string, {SEAL}:string>"
+NOTEBOOK_JSON = "map<string,string>"
 COPY_ORDER = ["root_path", "nb_file"]
 
 
@@ -34,21 +39,28 @@ def html_text(content: Column) -> Column:
 
 
 def json_text(content: Column) -> Column:
-    """Bytes as text, NULL unless they are valid UTF-8 and one JSON value."""
+    """Bytes as text, NULL unless they are valid UTF-8."""
     text = content.cast("string")
-    return F.when(F.is_valid_utf8(text) & one_json_value(text), text)
+    return F.when(F.is_valid_utf8(text), text)
+
 
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` in the plan once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
-def one_json_value(text: Column) -> Column:
-    """The whole text is one JSON value: nothing follows it.
 
-    Spark's JSON functions stop after the first value. Within brackets a value must be followed by
-    a comma or ``]``, within braces by a comma or ``}``; only the end of the text satisfies both
-    and leaves one element.
+def json_object(text: Column, kind: str) -> Column:
+    """The text as ``kind``, NULL unless all of it is one JSON object.
+
+    Spark's JSON functions stop after the first value. So the text becomes the first item of a list
+    whose second item names the text's own digest, which no text can hold: only if the parse comes
+    to a list of just these two did nothing follow the object. One parse does both.
     """
-    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    keys = F.json_object_keys(F.concat(F.lit('{"a":'), text, F.lit(',"b":0}')))
-    return F.coalesce(alone & (keys == F.array(F.lit("a"), F.lit("b"))), F.lit(False))
+    digest = F.md5(text.cast("binary"))
+    sealed = F.concat(F.lit("["), text, F.lit(f',{{"{SEAL}":"'), digest, F.lit('"}]'))
+    items = F.from_json(sealed, f"array<{kind}>", {"allowSingleQuotes": "false"})
+    whole = lambda x: (F.size(x) == 2) & (F.get(x, F.lit(1))[SEAL] == digest)
+    return once(items, lambda x: F.when(whole(x), F.get(x, F.lit(0))))
 
 
 def skip_child_dirs(dir_name: Column) -> Column:
@@ -62,23 +74,37 @@ def suffix_filter(file: Column, suffix: str) -> Column:
 
 def is_notebook(metadata: Column) -> Column:
     """The JSON object has a title or an emoji key, whatever its value."""
-    keys = F.json_object_keys(metadata)
-    return F.coalesce(
-        F.arrays_overlap(keys, F.array(F.lit("title"), F.lit("emoji"))), F.lit(False)
-    )
+    return F.coalesce(once(json_object(metadata, NOTEBOOK_JSON), _has_book_key), F.lit(False))
 
 
 def notebook_title(metadata: Column, file: Column) -> Column:
-    title = F.coalesce(F.get_json_object(metadata, "$.title"), F.lit(""))
-    return T.strip_space(
-        T.first_nonempty(title, T.base_name(file), F.lit(C.UNTITLED_NOTEBOOK))
-    )
+    return _title(once(json_object(metadata, NOTEBOOK_JSON), lambda x: _last(x, "title")), file)
 
 
 def notebook_emoji(metadata: Column) -> Column:
     """The default applies only without the key; an explicit null stays null."""
-    present = F.array_contains(F.json_object_keys(metadata), "emoji")
-    return F.when(present, F.get_json_object(metadata, "$.emoji")).otherwise(C.DEFAULT_EMOJI)
+    return once(json_object(metadata, NOTEBOOK_JSON), _emoji)
+
+
+def _has_book_key(book: Column) -> Column:
+    return F.arrays_overlap(F.map_keys(book), F.array(F.lit("title"), F.lit("emoji")))
+
+
+def _last(entries: Column, key: str) -> Column:
+    """Of a repeated key, the last value counts."""
+    own = F.filter(F.map_entries(entries), lambda e: e["key"] == key)
+    return F.try_element_at(own, F.lit(-1))["value"]
+
+
+def _title(given: Column, file: Column) -> Column:
+    return T.strip_space(
+        T.first_nonempty(F.coalesce(given, F.lit("")), T.base_name(file), F.lit(C.UNTITLED_NOTEBOOK))
+    )
+
+
+def _emoji(book: Column) -> Column:
+    present = F.array_contains(F.map_keys(book), "emoji")
+    return F.when(present, _last(book, "emoji")).otherwise(C.DEFAULT_EMOJI)
 
 
 def notebook_key(owner: Column, folder: Column) -> Column:
@@ -90,15 +116,20 @@ def sharepoint_folder(owner: Column, folder: Column) -> Column:
 
 
 def source_fields(metadata: Column) -> Column:
-    """Type, time, video id and channel; unreadable JSON gives the defaults."""
-    inner = F.from_json(metadata, SOURCE_JSON)["metadata"]
-    video = inner["youtubeMetadata"]
-    return F.struct(
-        F.coalesce(inner["originalSourceContentType"], F.lit(C.TYPE_UNKNOWN)).alias("source_type"),
-        F.coalesce(inner["sourceAddedTimestamp"], F.lit("")).alias("added_timestamp"),
-        F.coalesce(video["videoId"], F.lit("")).alias("video_id"),
-        F.coalesce(video["channelName"], F.lit("")).alias("youtube_channel"),
-    )
+    """Type, time, video id and channel; what is not one JSON object gives the defaults."""
+
+    def fields(x: Column) -> Column:
+        inner = x["metadata"]
+        video = inner["youtubeMetadata"]
+        kind = F.coalesce(inner["originalSourceContentType"], F.lit(C.TYPE_UNKNOWN))
+        return F.struct(
+            kind.alias("source_type"),
+            F.coalesce(inner["sourceAddedTimestamp"], F.lit("")).alias("added_timestamp"),
+            F.coalesce(video["videoId"], F.lit("")).alias("video_id"),
+            F.coalesce(video["channelName"], F.lit("")).alias("youtube_channel"),
+        )
+
+    return once(json_object(metadata, SOURCE_JSON), fields)
 
 
 def youtube_url(video_id: Column) -> Column:
@@ -114,15 +145,16 @@ def source_url(youtube: Column, source_type: Column, recovered: Column) -> Colum
 
 
 def artifact_fields(metadata: Column, base: Column) -> Column:
-    fields = F.from_json(metadata, ARTIFACT_JSON)
-    return F.struct(
-        F.coalesce(T.nonempty(fields["title"]), base).alias("title"),
-        F.coalesce(
-            T.nonempty(fields["artifactType"]),
-            T.nonempty(fields["appType"]),
-            F.lit(C.DEFAULT_ARTIFACT_TYPE),
-        ).alias("artifact_type"),
-    )
+    """Title and type; what is not one JSON object gives the defaults."""
+
+    def fields(x: Column) -> Column:
+        kinds = T.nonempty(x["artifactType"]), T.nonempty(x["appType"])
+        return F.struct(
+            F.coalesce(T.nonempty(x["title"]), base).alias("title"),
+            F.coalesce(*kinds, F.lit(C.DEFAULT_ARTIFACT_TYPE)).alias("artifact_type"),
+        )
+
+    return once(json_object(metadata, ARTIFACT_JSON), fields)
 
 
 def staged_path(owner: Column, folder: Column, kind: str, base: Column) -> Column:
@@ -193,15 +225,21 @@ def discover_notebooks(tree: DataFrame, default_owner: str) -> DataFrame:
         F.col("file").alias("nb_file"),
         json_text(F.col("content")).alias("metadata"),
     )
-    return notebook_rows(metadata.where(is_notebook(F.col("metadata"))), default_owner)
+    return notebook_rows(metadata, default_owner)
 
 
 def notebook_rows(metadata: DataFrame, default_owner: Column | str) -> DataFrame:
-    """Derived columns of notebooks given as ``root_path, nb_file, metadata``."""
+    """The notebooks among ``root_path, nb_file, metadata`` with their derived columns.
+
+    The parsed object is generated, so that it is there once for the test and all columns.
+    """
+    book = F.filter(F.array(json_object(F.col("metadata"), NOTEBOOK_JSON)), _has_book_key)
     return (
-        metadata.withColumn("owner_email", T.infer_owner_email(F.col("root_path"), default_owner))
-        .withColumn("title", notebook_title(F.col("metadata"), F.col("nb_file")))
-        .withColumn("emoji", notebook_emoji(F.col("metadata")))
+        metadata.select("*", F.explode(book).alias("_book"))
+        .withColumn("owner_email", T.infer_owner_email(F.col("root_path"), default_owner))
+        .withColumn("title", _title(_last(F.col("_book"), "title"), F.col("nb_file")))
+        .withColumn("emoji", _emoji(F.col("_book")))
+        .drop("_book")
         .withColumn("folder", T.sanitize_filename(F.col("title")))
         .withColumn("nb_key", notebook_key(F.col("owner_email"), F.col("folder")))
         .withColumn(

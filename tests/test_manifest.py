@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codexferry import constants as C
+from codexferry.operators import notebooks as N
 from codexferry.operators import summary as S
 from codexferry.operators.identity import identity_map
 from codexferry.operators.notebooks import merge_new_titles, path_collisions
@@ -352,10 +353,45 @@ def test_manifest_json_has_a_row_per_line_or_file(spark, tmp_path):
     assert [r.title for r in R.read_manifest_json(spark, str(tmp_path / "one.json"), multi_line=True).collect()] == ["c"]
 
 
-def test_nothing_may_follow_a_json_value(column):
-    from codexferry.operators.notebooks import one_json_value
-
-    good = ['{"title":"x"}', ' {"a":[1,{}]}\n', "[1]", "3", "null", '"s"']
-    bad = ['{"title":"x"} garbage', '{"t":1}{}', '{"t":1},{"u":2}', '{"t":1}] [{}', '{"t":1},"b":0} {"a":{}', "{", "", " ", '{"t":1}]', '{"t":1}}', "1,2", '{"t":1}],[2']
-    assert column(one_json_value, good) == [True] * len(good)
-    assert column(one_json_value, bad + [None]) == [False] * (len(bad) + 1)
+GOOD = ['{"title":"a"}', ' {"title" : [1, {"b":2}], "x": NaN}\n', '{}', '{"_end":"a"}', '{"title":null,"title":"b"}']
+BAD = [
+    "", " ", '{"title":"a"', '{"title":"a"} x', '{"title":"a"}{}', '{"title":"a"},{"title":"a"}', '{"title":"a"}] [{}', '{"title":"a"},',
+    '{"t":1},"b":0} {"a":{}', "{", '{"t":1}]', '{"t":1}}', "1,2", '{"t":1}],[2', "[1", "[{}]", "5", "null", "'a'", "{'title':1}", '{"title":01}', '{"title":"a\tb"}', '{"title":"a"}// x', None,
+]
+
+
+def test_an_object_is_read_only_if_it_is_the_whole_text(column):
+    read = lambda kind: lambda c: N.json_object(c, kind).isNotNull()
+    for kind in (N.NOTEBOOK_JSON, N.SOURCE_JSON, N.ARTIFACT_JSON):
+        assert column(read(kind), GOOD) == [True] * len(GOOD)
+        assert column(read(kind), BAD) == [False] * len(BAD)
+
+
+def test_text_after_the_object_makes_it_unreadable(column):
+    whole = '{"title":"a","emoji":"e","appType":"t","metadata":{"originalSourceContentType":"k"}}'
+    tails = ["", " \n", " x", "{}", ",{}", "]", "] [", "//"]
+    good = [True, True] + [False] * 6
+    values = [whole + t for t in tails]
+    assert column(N.is_notebook, values) == good
+    assert column(lambda c: N.notebook_title(c, F.lit("f metadata.json")), values) == ["a" if g else "f" for g in good]
+    assert column(N.notebook_emoji, values) == ["e" if g else C.DEFAULT_EMOJI for g in good]
+    kinds = column(lambda c: N.source_fields(c)["source_type"], values)
+    assert kinds == ["k" if g else C.TYPE_UNKNOWN for g in good]
+    titles = column(lambda c: N.artifact_fields(c, F.lit("base"))["title"], values)
+    assert titles == ["a" if g else "base" for g in good]
+
+
+def test_values_of_odd_objects(column):
+    title = lambda c: N.notebook_title(c, F.lit("f metadata.json"))
+    assert column(title, ['{"title":null}', '{"title":" "}', '{"title":5}', '{"title":"a","title":"b"}', "{}"]) == ["f", "", "5", "b", "f"]
+    assert column(N.notebook_emoji, ['{"emoji":null}', '{"emoji":"x"}', "{}"]) == [None, "x", C.DEFAULT_EMOJI]
+    assert column(N.is_notebook, ['{"emoji":null}', '{"title":{}}', '{"titles":1}', "{}"]) == [True, True, False, False]
+    kind = lambda c: N.source_fields(c)["source_type"]
+    assert column(kind, ['{"metadata":5}', '{"metadata":null}', '{"metadata":{"originalSourceContentType":"a","youtubeMetadata":[1]}}']) == [C.TYPE_UNKNOWN] * 2 + ["a"]
+
+
+def test_a_text_is_parsed_once(spark):
+    tree = spark.createDataFrame([("a", "b/x metadata.json", 0, b"{}", None)], "archive string, entry_path string, entry_no long, content binary, entry_error string")
+    for found in (N.discover_notebooks(tree, "o"), N.discover_sources(tree), N.discover_artifacts(tree)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and "json_object_keys" not in plan and "get_json" not in plan
