@@ -178,20 +178,22 @@ def decode(
     return df.select(key, ids).mapInArrow(run, ", ".join(fields[: 2 + pieces]))
 
 
-def digest(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): the ids, and the bytes that they decode to."""
+def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): each text's ids, and the bytes that they decode to.
+
+    Encoding and decoding share a task and its vocabulary; ids do not leave it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            found = [
-                (len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(own.decode_bytes(x)).hexdigest())
-                for x in _id_rows(batch["ids"])
-            ]
-            columns = zip(*found, strict=True) if found else ([], [], [])
+        for batch in slices(batches, text, SLICE):
+            found = []
+            for t in batch[text].to_pylist():
+                ids, _ = own.encode(t or "")
+                found.append((len(ids), hashlib.sha256(ids.astype("<u4", copy=False)).hexdigest(), hashlib.sha256(own.decode_bytes(ids)).hexdigest()))
             kinds = (pa.int64(), pa.string(), pa.string())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            arrays = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch[key], *arrays], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

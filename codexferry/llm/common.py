@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +46,17 @@ def slices(
         starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for start, end in zip(starts, starts[1:], strict=False):
             yield batch.slice(start, end - start)
-        # A worker serves many stages: what Arrow keeps of one would add to the next.
-        pa.default_memory_pool().release_unused()
+        del batch
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker serves many stages, and what it keeps of one adds to the next."""
+    pa.default_memory_pool().release_unused()
+    # The C library's own way, where it has one.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -67,10 +76,24 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def hash_strings(values: pa.Array) -> np.ndarray:
-    """A 64-bit keyed hash per string, the same in every process."""
+    """A 64-bit hash per string, the same in every process: the sum of its runs of 8 bytes, each mixed with its place."""
     if not len(values):
         return np.empty(0, np.uint64)
-    return pd.util.hash_array(np.array(values.to_pylist(), dtype=object), categorize=False)
+    values = pa.concat_arrays([values]).cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    lengths = np.diff(offsets)
+    out = mixed(lengths.astype(np.uint64) + ODD)
+    full = np.flatnonzero(lengths)
+    if len(full):
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        place = np.arange(len(raw), dtype=np.int64) - np.repeat(offsets[:-1] - offsets[0], lengths)
+        runs = np.flatnonzero((place & 7) == 0)
+        packed = np.add.reduceat(raw.astype(np.uint64) << ((place & 7) << 3).astype(np.uint64), runs)
+        each = mixed(packed * ODD + (place[runs] >> 3).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        first = np.cumsum((lengths[full] + 7) >> 3) - ((lengths[full] + 7) >> 3)
+        out[full] += np.add.reduceat(each, first)
+    return mixed(out)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

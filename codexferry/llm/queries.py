@@ -68,8 +68,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(docs: DataFrame) -> DataFrame:
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    return bpe.digest(ids, RANKS, public_tokenizers.PATTERN)
+    return bpe.digests(docs, RANKS, public_tokenizers.PATTERN)
 
 
 LEAK_SQL = r"""
