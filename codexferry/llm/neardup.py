@@ -183,7 +183,10 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(class, hashes) of the wanted (head, class) rows, from their texts."""
+    """(class, hashes) of the wanted (head, class) rows, from their texts.
+
+    A class without a key is looked for among the rows without one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -193,7 +196,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -
             hashes = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), hashes], ["class", "hashes"])
 
-    rows = semi_join(docs.select(F.col(key).alias("head"), text), wanted.select("head").distinct(), "head")
+    texts = docs.select(F.col(key).alias("head"), text)
+    rows = semi_join(texts, wanted.where("head is not null").select("head").distinct(), "head")
+    if not wanted.where("head is null").isEmpty():
+        rows = rows.unionByName(texts.where("head is null"))
     found = rows.select(text).mapInArrow(run, "class binary, hashes array<long>")
     # A repeated key brings several texts; only the wanted class counts, once.
     return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
@@ -300,7 +306,8 @@ def near_duplicates(
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     left = bands.join(shared, "bucket").withColumn("part", F.col("class"))
     left = materialize(left.join(classes.select("class", "n"), "class"))
-    sets = materialize(_sets(docs, classes.join(left.select("class").distinct(), "class", "left_semi"), key, text, width))
+    wanted = materialize(classes.select("class", "head").join(left.select("class").distinct(), "class", "left_semi"))
+    sets = materialize(_sets(docs, wanted, key, text, width))
 
     def compared(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """(pairs tried so far, those of these pairs that link)."""
@@ -335,17 +342,17 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "class", "part")
 
 
-def _classed(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """The rows with their class digest as ``_class``."""
+def _classed(rows: DataFrame, width: int) -> DataFrame:
+    """Rows (key, text, row) with their class digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            sets = shingle_sets(batch[text], width)
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(batch["text"], width)
             names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, "_class"])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["row"], pa.array(names, pa.binary())], ["key", "row", "class"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_class", T.BinaryType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([rows.schema["key"], rows.schema["row"], T.StructField("class", T.BinaryType())])
+    return rows.mapInArrow(run, schema)
 
 
 def deduplicated(
@@ -361,14 +368,14 @@ def deduplicated(
     odd = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("odd"))
     gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("odd")).unionByName(odd).distinct()
     odd, gone = materialize(odd), materialize(gone)
-    match = F.col(key).eqNullSafe(F.col("odd"))
+    match = F.col("key").eqNullSafe(F.col("odd"))
     small = lambda x: F.broadcast(x) if x.count() <= BROADCAST_KEYS else x
-    plain = docs.join(small(gone), match, "left_anti")
-    rest = _classed(docs.join(small(odd), match, "left_semi"), text, width)
+    # A row travels as one value: its columns may have any names.
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    plain = rows.join(small(gone), match, "left_anti")
+    rest = _classed(rows.join(small(odd), match, "left_semi"), width)
     groups = found.where("class is not null").select("class", "part", "component_id").distinct()
-    rest = rest.join(groups.withColumnsRenamed({"class": "_c", "part": "_part", "component_id": "_component"}), F.col("_class") == F.col("_c"), "left")
-    rest = rest.where(F.col("_class").isNull() | F.col(key).eqNullSafe(F.col("_component")))
-    first = F.row_number().over(Window.partitionBy("_part").orderBy("_class"))
-    once = rest.where("_class is not null").withColumn("_first", first).where("_first = 1")
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    return plain.unionByName(once.select(*keep)).unionByName(rest.where("_class is null").select(*keep))
+    rest = rest.join(groups, "class", "left").where(F.col("class").isNull() | F.col("key").eqNullSafe(F.col("component_id")))
+    first = F.row_number().over(Window.partitionBy("part").orderBy("class"))
+    once = rest.where("class is not null").withColumn("first", first).where("first = 1")
+    return plain.select("row.*").unionByName(once.select("row.*")).unionByName(rest.where("class is null").select("row.*"))

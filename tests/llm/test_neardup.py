@@ -81,3 +81,14 @@ def test_sketches_merge_and_estimate():
     assert (neardup.merge_registers(ra, rb) == union).all()
     guess = neardup.estimate(ra[None], rb[None], np.array([2000.0]), np.array([2000.0]))[0]
     assert abs(guess - 1500 / 2500) < 0.15
+
+
+def test_near_copies_without_keys_link(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, base), (None, base + " x"), (None, base + " y z"), (None, "alone " * 9), (9, "other words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.near_duplicates(df).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == brute(rows, 5)
+    assert [r["component_id"] for r in found].count(7) == 3
+    kept = neardup.deduplicated(df).collect()
+    assert sorted((r["text"] for r in kept)) == sorted([base, "alone " * 9, "other words here"])
