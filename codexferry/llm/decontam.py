@@ -28,6 +28,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexferry.llm.common import unused_name
 from codexferry.storage import materialize
 
 WINDOW = 13
@@ -118,6 +119,7 @@ def leaks(
 
 def clean(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of documents without a leak."""
-    bad = materialize(found.select(F.col(key).alias("leaking")).distinct())
+    leaking = unused_name(docs, "leaking")
+    bad = materialize(found.select(F.col(key).alias(leaking)).distinct())
     few = bad.count() <= BROADCAST_SEEDS
-    return docs.join(F.broadcast(bad) if few else bad, F.col(key).eqNullSafe(F.col("leaking")), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, F.col(key).eqNullSafe(F.col(leaking)), "left_anti")
