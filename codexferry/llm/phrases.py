@@ -20,9 +20,10 @@ often. With the most that the silent shards may hold added, a phrase that cannot
 is no candidate. What is left is counted exactly by the tries.
 
 How it is laid out. The words of a shard (about ``SHARD`` bytes of one language) are dictionary
-codes, written once. Dictionaries, not words, are shuffled to count words; the numbers of frequent
-words go back to the shards that hold them; every other word and every end of a piece is a 0, which
-no phrase passes. A frequent word is one row per shard that holds it, however often it occurs.
+codes, written once. Dictionaries, not words, are shuffled to count words: each shard sends its
+words in buckets by hash, a bucket counts the words of all shards and answers each shard with the
+numbers of the frequent ones. Every other word and every end of a piece is a 0, which no phrase
+passes. A frequent word is one item per shard that holds it, however often it occurs.
 Counts beyond 64 bits cannot arise in sums; products are decimals of 38 digits.
 
 Defined results: a null text is empty, a null language ``und``. Repeated rows count again. Ties are
@@ -43,11 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codexferry.llm.common import BROADCAST_KEYS, slices
+from codexferry.llm.common import BROADCAST_KEYS, hash_strings, slices
 from codexferry.storage import materialize
 
 #: Bytes of words of a shard; of all waiting shards of a task; phrases of a trie.
 SHARD, WAITING, LIMIT = 16 << 20, 48 << 20, 400_000
+#: Words of all shards' dictionaries that are counted together.
+BUCKET_WORDS = 500_000
 
 #: Classes of bytes: 1 blank, 2 end of a piece, 0 part of a word.
 CLASSES = np.zeros(256, np.uint8)
@@ -127,25 +130,81 @@ def shards(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "shard long, lang string, words array<string>, counts array<long>, codes binary")
 
 
-def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """Rows with numbers from 1 without gaps: each partition's rows follow those of the ones before."""
-    rows = materialize(rows.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    # One row per partition.
-    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    rows = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
-    number = F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1
-    return rows.withColumn(name, number).drop("_at", "_part", "_before")
+def _dealt(buckets: int):
+    """The dictionary of each shard, cut into buckets by the words' hashes: one row per shard and bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch["words"][i].values
+                counts = batch["counts"][i].values.to_numpy()
+                bucket = (hash_strings(words) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                own, starts = np.unique(bucket[order], return_index=True)
+                cuts = pa.array([*starts.tolist(), len(order)], pa.int32())
+                lists = [words.take(pa.array(order)), pa.array(order.astype(np.int32)), pa.array(counts[order])]
+                n = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array([batch["lang"][i].as_py()] * n, pa.string()), pa.array([batch["shard"][i].as_py()] * n, pa.int64()), *(pa.ListArray.from_arrays(cuts, x) for x in lists)],
+                    ["bucket", "lang", "shard", "words", "codes", "counts"],
+                )
+
+    return run
+
+
+BUCKET = "bucket long, lang string, shard long, words array<string>, codes array<int>, counts array<long>"
+ANSWER = "lang string, text string, phrase long, a long, shard long, codes array<int>, numbers array<long>"
+
+
+def _summed(buckets: int, least: int):
+    """A bucket's words of all shards: those frequent enough, with numbers of their own, and each shard's codes for them.
+
+    A row without a text and a shard has the number of all words of a language in the bucket.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket, taken, out = group["bucket"][0].as_py(), 0, []
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = [x.split()[0] for x in ANSWER.split(", ")]
+
+        def rows(n: int, **columns) -> None:
+            arrays = [columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)]
+            out.append(pa.table(arrays, names))
+
+        for lang in pc.unique(group["lang"]).to_pylist():
+            own = group.filter(pc.equal(group["lang"], lang)).combine_chunks()
+            coded = own["words"].combine_chunks().flatten().dictionary_encode()
+            place = coded.indices.to_numpy()
+            counts = own["counts"].combine_chunks().flatten().to_numpy()
+            total = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(total, place, counts)
+            rows(1, lang=pa.array([lang]), a=pa.array([int(total.sum())]))
+            frequent = np.flatnonzero(total >= least)
+            if not len(frequent):
+                continue
+            number = np.zeros(len(total), np.int64)
+            # Buckets take turns: numbers are unique and nearly without gaps.
+            number[frequent] = (np.arange(len(frequent)) + taken) * buckets + bucket + 1
+            taken += len(frequent)
+            rows(len(frequent), lang=pa.array([lang] * len(frequent)), text=coded.dictionary.take(pa.array(frequent)), phrase=pa.array(number[frequent]), a=pa.array(total[frequent]))
+            hit = number[place] > 0
+            owner = np.repeat(np.arange(len(own)), pc.list_value_length(own["codes"]).to_numpy())[hit]
+            cuts = pa.array(np.searchsorted(owner, np.arange(len(own) + 1)).astype(np.int32))
+            codes = own["codes"].combine_chunks().flatten().to_numpy()[hit]
+            rows(len(own), shard=own["shard"].combine_chunks(), codes=pa.ListArray.from_arrays(cuts, pa.array(codes)), numbers=pa.ListArray.from_arrays(cuts, pa.array(number[place][hit])))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def _renumbered(group: pa.Table) -> pa.Table:
-    """A shard's codes as numbers of frequent words; rows with ``id`` say which."""
-    known = group.filter(pc.is_valid(group["id"]))
+    """A shard's codes as numbers of frequent words; the rows of the buckets say which."""
+    known = group.filter(pc.is_valid(group["known"])).combine_chunks()
     whole = group.filter(pc.is_valid(group["codes"]))
     codes = np.frombuffer(whole["codes"][0].as_py(), np.int32)
     numbers = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
-    numbers[known["code"].to_numpy() + 1] = known["id"].to_numpy()
+    if len(known):
+        numbers[known["known"].combine_chunks().flatten().to_numpy() + 1] = known["numbers"].combine_chunks().flatten().to_numpy()
     ids = numbers[codes]
     kind = np.int32 if ids.max(initial=0) < 2**31 else np.int64
     # Runs of zeros are one zero.
@@ -347,14 +406,15 @@ def _tried(ids: DataFrame, candidates: DataFrame, least: int, extend: bool) -> D
 def counted(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n, shards), and per number of words the frequent phrases (phrase, lang, text, ids, a)."""
     kept = materialize(shards(docs))
-    entries = kept.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "e"))
-    entries = entries.select("shard", "lang", "code", F.col("e.words").alias("text"), F.col("e.counts").alias("n"))
-    totals = materialize(entries.groupBy("lang", "text").agg(F.sum("n").alias("a")))
-    langs = totals.groupBy("lang").agg(F.sum("a").alias("n")).join(kept.groupBy("lang").agg(F.count("*").alias("shards")), "lang")
-    langs = materialize(langs)
-    words = numbered(totals.where(F.col("a") >= least), "phrase")
+    size = kept.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_WORDS))
+    dealt = kept.select("shard", "lang", "words", "counts").mapInArrow(_dealt(buckets), BUCKET)
+    found = materialize(dealt.groupBy("bucket").applyInArrow(_summed(buckets, least), ANSWER))
+    langs = found.where("text is null and shard is null").groupBy("lang").agg(F.sum("a").alias("n"))
+    langs = materialize(langs.join(kept.groupBy("lang").agg(F.count("*").alias("shards")), "lang"))
+    words = found.where("text is not null").select("lang", "text", "phrase", "a")
     words = materialize(words.withColumn("ids", F.array("phrase")))
-    named = entries.join(words.select("lang", "text", F.col("phrase").alias("id")), ["lang", "text"]).select("shard", "code", "id")
+    named = found.where("shard is not null").select("shard", F.col("codes").alias("known"), "numbers")
     blobs = _with_lang(kept.select("shard", "lang", "codes"), langs.select("lang", "shards"))
     ids = blobs.unionByName(named, allowMissingColumns=True).groupBy("shard").applyInArrow(_renumbered, "lang string, shards long, width int, ids binary")
     ids = materialize(ids)
