@@ -1,7 +1,8 @@
 """Notebook model: find notebooks and their children, merge copies.
 
 A *tree* is a table of files: ``archive, entry_path, entry_no, content``. When
-several archives hold one path, the last one (by archive, then entry) counts.
+several archives hold one path, the last one (by archive, then entry) counts. An
+entry that comes in parts does not fit into a value: it is an error, not a file.
 A *copy* is one folder that holds a notebook; copies are ordered by path.
 """
 
@@ -169,8 +170,9 @@ def staged_path(owner: Column, folder: Column, kind: str, base: Column) -> Colum
 
 def split_tree(tree: DataFrame) -> DataFrame:
     """Add ``dir``, ``dir_name`` and ``file`` to a tree."""
+    whole = F.col("part").isNull() if "part" in tree.columns else F.lit(True)
     return (
-        tree.where(F.col("entry_path").isNotNull() & F.col("content").isNotNull())
+        tree.where(F.col("entry_path").isNotNull() & F.col("content").isNotNull() & whole)
         .withColumn("dir", T.parent_dir(F.col("entry_path")))
         .withColumn("dir_name", T.file_name(F.col("dir")))
         .withColumn("file", T.file_name(F.col("entry_path")))
@@ -184,6 +186,9 @@ def classify_tree(tree: DataFrame) -> DataFrame:
     """The files that matter with their ``kind``: notebook, source, note, artifact, error."""
     if "entry_error" not in tree.columns:
         tree = tree.withColumn("entry_error", F.lit(None).cast("string"))
+    if "part" in tree.columns:
+        cut = F.when(F.col("part") == 0, F.lit("an entry in parts does not fit into a value"))
+        tree = tree.where("part is null or part = 0").withColumn("entry_error", F.coalesce("entry_error", cut))
     path = F.col("entry_path")
     dir_name, file = T.file_name(T.parent_dir(path)), T.file_name(path)
     kind = F.when(F.col("entry_error").isNotNull(), "error").when(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
+import posixpath
 from collections.abc import Iterable
 from itertools import groupby
 from urllib.parse import urlsplit
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codexferry import constants as C
 from codexferry.operators.provision import upsert_ledger
+from codexferry.sources.archives import SERVED, new_file
 from codexferry.sources.tables import empty_ledger, read_ledger
 
 
@@ -24,28 +25,25 @@ def write_documents(documents: DataFrame, uri: str) -> None:
 def export_files(files: DataFrame, root: str) -> None:
     """Each ``path`` of ``path, content`` as a file below ``root``.
 
-    ``root`` is a folder that all executors share, as a path or ``file:`` address; other
-    addresses are refused. With a ``part`` column the parts of a path make one file, in
+    ``root`` is an address that the executors' file systems serve: a folder that all of them
+    share, or an object store. With a ``part`` column the parts of a path make one file, in
     order: they are sorted by path and appended as they stream by, so that no file has to
-    fit into memory. A task that runs again replaces its files.
+    fit into memory. A file appears once it is whole; a task that runs again replaces its files.
     """
     scheme = urlsplit(root).scheme
-    if scheme not in ("", "file"):
-        raise ValueError(f"{root}: files are written to shared folders only, not to {scheme}:")
-    home = os.path.abspath(re.sub(r"^file:/*(?=/)", "", root))
+    if scheme not in SERVED:
+        raise ValueError(f"{root}: no file system of the executors serves {scheme}:")
+    home = root.rstrip("/") if scheme else os.path.abspath(root)
 
     def write(rows: Iterable) -> None:
         for path, parts in groupby(rows, key=lambda row: row["path"]):
-            target = os.path.abspath(os.path.join(home, path))
-            if not target.startswith(home + os.sep):
+            target = posixpath.normpath(path)
+            if target.split("/")[0] in ("", ".", ".."):
                 raise ValueError(f"path leaves the folder: {path}")
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            partial = f"{target}.{os.getpid()}.part"
-            with open(partial, "wb") as out:
+            with new_file(f"{home}/{target}") as out:
                 for row in parts:
                     data = row["content"]
                     out.write(data.encode("utf-8") if isinstance(data, str) else data)
-            os.replace(partial, target)
 
     if "part" in files.columns:
         files = files.repartition("path").sortWithinPartitions("path", "part")

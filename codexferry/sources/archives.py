@@ -1,19 +1,32 @@
 """Archives as rows: one row per entry, nested archives unpacked.
 
-Readers take archives of any size from any address: files are listed without their
-content, the entries of each are listed and spread over the cluster, and each task
-opens the archive where it lies through a seekable stream, so that one huge archive
-is read by many tasks. :func:`unzip` is for archives that are values of a column.
+Readers take archives of any size. A small one is read whole by Spark, from any address
+that Spark reads, and unpacked by the task that holds it. A larger one is planned: one
+task parses its directory, once, into rows of offset, sizes and method, and these are
+dealt out by bytes; a task then reads byte ranges and inflates them. An inner archive
+that is stored is a range of its outer one and listed along with it; one that is
+compressed is spooled to the shared folder and planned again. So neither an archive nor
+an inner archive has to be read by one task. :func:`unzip` is for archives that are
+values of a column.
+
+An entry that does not fit into a row comes in parts, numbered by ``part``; whole entries
+have a NULL there.
 """
 
 from __future__ import annotations
 
+import bz2
+import hashlib
 import io
+import itertools
 import posixpath
 import re
 import urllib.parse
+import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs
@@ -22,9 +35,11 @@ from pyspark.sql import functions as F
 
 from codexferry import constants as C
 from codexferry.functions import text as T
+from codexferry.operators.ordering import number_rows
+from codexferry.storage import materialize, shared_dir
 
 ENTRY_SCHEMA = (
-    "archive string, entry_path string, entry_no long, content binary, entry_error string"
+    "archive string, entry_path string, entry_no long, content binary, entry_error string, part int"
 )
 _ENTRY_ARROW = pa.schema(
     [
@@ -33,16 +48,31 @@ _ENTRY_ARROW = pa.schema(
         ("entry_no", pa.int64()),
         ("content", pa.binary()),
         ("entry_error", pa.string()),
+        ("part", pa.int32()),
     ]
 )
-_LISTING_SCHEMA = "archive string, dest string, member int, entry_no long, entry_error string"
-_LISTING_ARROW = pa.schema(
+# A member of an archive: where it lies in ``file``, how it is packed, and its place in
+# the order of all members. ``kind`` is "file", "inner" for an archive that the task that
+# reads it unpacks, "spool" for one that is planned for itself, or "error".
+_PLAN_SCHEMA = (
+    "archive string, file string, dest string, place array<long>, kind string, name string, "
+    "offset long, packed long, size long, method int, flags int, crc long, error string"
+)
+_PLAN_ARROW = pa.schema(
     [
         ("archive", pa.string()),
+        ("file", pa.string()),
         ("dest", pa.string()),
-        ("member", pa.int32()),
-        ("entry_no", pa.int64()),
-        ("entry_error", pa.string()),
+        ("place", pa.list_(pa.int64())),
+        ("kind", pa.string()),
+        ("name", pa.string()),
+        ("offset", pa.int64()),
+        ("packed", pa.int64()),
+        ("size", pa.int64()),
+        ("method", pa.int32()),
+        ("flags", pa.int32()),
+        ("crc", pa.int64()),
+        ("error", pa.string()),
     ]
 )
 # An entry number leaves room for the entries of archives nested in an entry.
@@ -50,12 +80,19 @@ _NESTED_ROOM = 1 << 32
 _BATCH_BYTES = 32 << 20
 _BATCH_ROWS = 512
 _TASK_BYTES = 64 << 20
-# Neighbouring entries of an archive that one task reads.
-_RUN = 16
-# An inner archive up to this size is read into memory; a larger one is read as a stream.
+# An archive up to this size is read whole, and an inner archive up to this size by the task
+# that reads it; larger ones are planned.
+_SMALL, _SMALL_INNER = 32 << 10, 1 << 20
+# An inner archive within a value is read into memory up to this size, a larger one as a stream.
 _IN_MEMORY = 64 << 20
-# The largest value that a row can hold.
+# The largest entry of one row, the size of a part of a larger one, and of a read.
 _LARGEST = (1 << 31) - (1 << 20)
+_PART = 64 << 20
+_READ = 1 << 20
+# Neighbouring members that one task reads.
+_RUN = 16
+# What Python's file systems serve; archives elsewhere are read whole, by Spark.
+SERVED = ("", "file", "s3", "s3a", "s3n", "gs", "gcs", "abfs", "abfss")
 
 
 def repair_entry_name(name: str, flag_bits: int) -> str:
@@ -73,8 +110,47 @@ def _owner_in(text: str, default: str) -> str:
     return found.group(1).lower() if found else default
 
 
+def _entry_name(info: zipfile.ZipInfo, repair: bool) -> str | None:
+    """The entry's name, None for a folder."""
+    name = repair_entry_name(info.filename, info.flag_bits) if repair else info.filename
+    return None if info.is_dir() or name.endswith("/") else name
+
+
+def _is_archive(name: str) -> bool:
+    return posixpath.splitext(name)[1].lower() == ".zip"
+
+
+def _inner_dest(dest: str, name: str, default: str) -> str:
+    return posixpath.join(dest, _owner_in(posixpath.splitext(posixpath.basename(name))[0], default))
+
+
+def _problem(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
+def _parts(pieces: Iterator[bytes], size: int) -> Iterator[tuple]:
+    """(content, part) of an entry that comes piece by piece; a whole one has no part number."""
+    if size <= _LARGEST:
+        yield b"".join(pieces), None
+        return
+    held, length, number = [], 0, 0
+    for piece in pieces:
+        held.append(piece)
+        length += len(piece)
+        if length >= _PART:
+            yield b"".join(held), number
+            held, length, number = [], 0, number + 1
+    if held:
+        yield b"".join(held), number
+
+
+def _pieces(stream) -> Iterator[bytes]:
+    while piece := stream.read(_READ):
+        yield piece
+
+
 def _member_rows(zf, members, dest, default, repair, nested) -> Iterator[tuple]:
-    """(path, content, error) of the given members, inner archives unpacked at any depth.
+    """(path, content, error, part) of the given members, inner archives unpacked at any depth.
 
     The archives that are open wait on a list, not on the call stack.
     """
@@ -87,43 +163,193 @@ def _member_rows(zf, members, dest, default, repair, nested) -> Iterator[tuple]:
                 outer.close()
             waiting.pop()
             continue
-        name = repair_entry_name(info.filename, info.flag_bits) if repair else info.filename
-        if info.is_dir() or name.endswith("/"):
+        name = _entry_name(info, repair)
+        if name is None:
             continue
         path = posixpath.join(place, name.lstrip("/"))
-        stem, suffix = posixpath.splitext(posixpath.basename(name))
-        is_archive = nested and suffix.lower() == ".zip"
-        data = None
-        try:
-            if info.file_size <= (_IN_MEMORY if is_archive else _LARGEST):
-                data = outer.read(info)
-            elif not is_archive:
-                raise ValueError(f"an entry of {info.file_size} bytes does not fit into a row")
-        except Exception as problem:  # a damaged entry is reported, not hidden
-            yield path, None, f"{type(problem).__name__}: {problem}"
+        if not (nested and _is_archive(name)):
+            try:
+                with outer.open(info) as stream:
+                    for data, part in _parts(_pieces(stream), info.file_size):
+                        yield path, data, None, part
+            except Exception as problem:  # a damaged entry is reported, not hidden
+                yield path, None, _problem(problem), None
             continue
-        if not is_archive:
-            yield path, data, None
+        small = info.file_size <= _IN_MEMORY
+        try:
+            data = outer.read(info) if small else None
+        except Exception as problem:
+            yield path, None, _problem(problem), None
             continue
         try:
-            inner = zipfile.ZipFile(outer.open(info) if data is None else io.BytesIO(data))
+            inner = zipfile.ZipFile(io.BytesIO(data) if small else outer.open(info))
             inner_members = inner.infolist()
         except Exception as problem:  # it stays a file, as an archive that cannot be read
-            yield path, data, f"{type(problem).__name__}: {problem}"
+            yield path, data, _problem(problem), None
             continue
-        waiting.append((inner, iter(inner_members), posixpath.join(place, _owner_in(stem, default))))
+        waiting.append((inner, iter(inner_members), _inner_dest(place, name, default)))
+
+
+class _Range(io.RawIOBase):
+    """A range of a seekable stream as a stream of its own."""
+
+    def __init__(self, stream, start: int, size: int):
+        self._stream, self._start, self._size, self._at = stream, start, size, 0
+
+    def readable(self):
+        return True
+
+    def seekable(self):
+        return True
+
+    def tell(self):
+        return self._at
+
+    def seek(self, offset, whence=io.SEEK_SET):
+        base = (0, self._at, self._size)[whence]
+        self._at = max(0, base + offset)
+        return self._at
+
+    def readinto(self, buffer):
+        want = max(0, min(len(buffer), self._size - self._at))
+        self._stream.seek(self._start + self._at)
+        data = self._stream.read(want)
+        buffer[: len(data)] = data
+        self._at += len(data)
+        return len(data)
+
+
+def _data_start(stream, offset: int) -> int:
+    """Where a member's bytes begin: after its own header, whose names may differ in length from the directory's."""
+    stream.seek(offset)
+    header = stream.read(30)
+    if len(header) < 30 or header[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile("Bad magic number for file header")
+    return offset + 30 + int.from_bytes(header[26:28], "little") + int.from_bytes(header[28:30], "little")
+
+
+def _inflated(stream, row: dict) -> Iterator[bytes]:
+    """The bytes of a planned member, piece by piece; its checksum is checked at the end."""
+    if row["flags"] & 1:
+        raise RuntimeError(f"File {row['name']!r} is encrypted, password required for extraction")
+    start, left = _data_start(stream, row["offset"]), row["packed"]
+    if row["method"] not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2):
+        raise NotImplementedError(f"compression method {row['method']}")
+    inflate = {zipfile.ZIP_DEFLATED: lambda: zlib.decompressobj(-15), zipfile.ZIP_BZIP2: bz2.BZ2Decompressor}.get(row["method"], lambda: None)()
+    crc, size = 0, 0
+    stream.seek(start)
+    while left > 0:
+        raw = stream.read(min(_READ, left))
+        if not raw:
+            raise EOFError("the archive ends within an entry")
+        left -= len(raw)
+        if row["method"] == zipfile.ZIP_DEFLATED:
+            # A megabyte may inflate to a gigabyte: it comes in bounded pieces.
+            waiting = raw
+            while waiting:
+                piece = inflate.decompress(waiting, 8 * _READ)
+                waiting = inflate.unconsumed_tail
+                crc, size = zlib.crc32(piece, crc), size + len(piece)
+                yield piece
+        else:
+            piece = raw if inflate is None else inflate.decompress(raw)
+            crc, size = zlib.crc32(piece, crc), size + len(piece)
+            yield piece
+    if row["method"] == zipfile.ZIP_DEFLATED:
+        piece = inflate.flush()
+        crc, size = zlib.crc32(piece, crc), size + len(piece)
+        yield piece
+    if crc != row["crc"] or size != row["size"]:
+        raise zipfile.BadZipFile(f"Bad CRC-32 for file {row['name']!r}")
+
+
+def _planned(stream, row: dict, default: str, repair: bool, nested: bool) -> Iterator[tuple]:
+    """The members of an archive, those of stored inner archives among them, in order.
+
+    ``row`` names the archive and the file it lies in, its folder and its place.
+    """
+    number = itertools.count()
+    with zipfile.ZipFile(stream) as zf:
+        waiting = [(iter(zf.infolist()), row["dest"], 0)]
+        while waiting:
+            rest, dest, start = waiting[-1]
+            info = next(rest, None)
+            if info is None:
+                waiting.pop()
+                continue
+            name = _entry_name(info, repair)
+            if name is None:
+                continue
+            place, offset = [*row["place"], next(number)], start + info.header_offset
+            kind = "file"
+            if nested and _is_archive(name) and info.file_size > _SMALL_INNER:
+                kind = "spool"
+                if info.compress_type == zipfile.ZIP_STORED and not info.flag_bits & 1:
+                    try:
+                        inner_start = _data_start(stream, offset)
+                        inner = zipfile.ZipFile(_Range(stream, inner_start, info.file_size)).infolist()
+                        waiting.append((iter(inner), _inner_dest(dest, name, default), inner_start))
+                        continue
+                    except Exception:  # the task that reads it says why
+                        kind = "inner"
+            elif nested and _is_archive(name):
+                kind = "inner"
+            yield (
+                row["archive"], row["file"], dest, place, kind, name, offset, info.compress_size,
+                info.file_size, info.compress_type, info.flag_bits, info.CRC, None,
+            )
+
+
+def _plan_rows(batches, default: str, repair: bool, nested: bool) -> Iterator[tuple]:
+    for row in _dicts(batches):
+        try:
+            with open_stream(row["file"]) as stream:
+                yield from _planned(stream, row, default, repair, nested)
+        except Exception as problem:
+            error = [row["archive"], row["file"], row["dest"], row["place"], "error", row.get("name")]
+            yield (*error, None, None, None, None, None, None, _problem(problem))
 
 
-def open_stream(uri: str):
-    """A seekable stream on a file at any address that the executors' file systems serve."""
+def _dicts(batches) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of an address, and the path there."""
     scheme = urllib.parse.urlsplit(uri).scheme
     if scheme in ("", "file"):
-        return open(re.sub(r"^file:/*(?=/)", "", uri), "rb")
-    plain = re.sub(r"^s3[an]://", "s3://", uri)
-    files, path = pyarrow.fs.FileSystem.from_uri(plain)
+        return pyarrow.fs.LocalFileSystem(), re.sub(r"^file:/*(?=/)", "", uri)
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+def open_stream(uri: str):
+    """A seekable stream on a file at any address that the executors' file systems serve."""
+    files, path = file_system(uri)
     return files.open_input_file(path)
 
 
+@contextmanager
+def new_file(uri: str):
+    """A file that is there only once it is whole: written under a name of its own, then moved.
+
+    A task that breaks off leaves no half file under the address, and one that runs again
+    replaces what is there.
+    """
+    files, path = file_system(uri)
+    if files.type_name in ("local", "hdfs"):
+        files.create_dir(posixpath.dirname(path), recursive=True)
+    partial = f"{path}.{uuid.uuid4().hex}.part"
+    try:
+        with files.open_output_stream(partial) as out:
+            yield out
+        files.move(partial, path)
+    except BaseException:
+        if files.get_file_info(partial).type != pyarrow.fs.FileType.NotFound:
+            files.delete_file(partial)
+        raise
+
+
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
@@ -159,16 +385,79 @@ def unzip(
                             found = _member_rows(
                                 zf, [info], dest, default_owner, repair_names, nested
                             )
-                            for k, (path, data, error) in enumerate(found):
-                                yield name, path, n * _NESTED_ROOM + k, data, error
+                            for k, (path, data, error, part) in enumerate(found):
+                                yield name, path, n * _NESTED_ROOM + k, data, error, part
                 except Exception as problem:
-                    yield name, None, None, None, f"{type(problem).__name__}: {problem}"
+                    yield name, None, None, None, _problem(problem), None
 
     return archives.select("archive", "dest", "content").mapInArrow(
         lambda batches: _batches(rows(batches), _ENTRY_ARROW), ENTRY_SCHEMA
     )
 
 
+def planned_members(
+    archives: DataFrame, default_owner: str, repair_names: bool = True, nested: bool = True
+) -> DataFrame:
+    """The members of archives (``archive string, dest string``) as a table of byte ranges.
+
+    ``archive`` is an address that every executor can open. Each directory is parsed once.
+    Compressed inner archives are spooled to the shared folder, once each, and planned like
+    the others, until none is left.
+    """
+    spark = archives.sparkSession
+    home = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
+
+    def plan(rows: DataFrame) -> DataFrame:
+        read = lambda batches: _batches(
+            _plan_rows(batches, default_owner, repair_names, nested), _PLAN_ARROW
+        )
+        return rows.mapInArrow(read, _PLAN_SCHEMA)
+
+    def spool(batches) -> Iterator[tuple]:
+        """The inner archive as a file of the shared folder, as a row to be planned."""
+        for row in _dicts(batches):
+            place = "-".join(map(str, row["place"]))
+            digest = hashlib.sha256(row["archive"].encode()).hexdigest()[:24]
+            target = f"{home}/{digest}-{place}.zip"
+            dest, error = _inner_dest(row["dest"], row["name"], default_owner), None
+            try:
+                with open_stream(row["file"]) as stream, new_file(target) as out:
+                    for piece in _inflated(stream, row):
+                        out.write(piece)
+                with open_stream(target) as stream, zipfile.ZipFile(stream):
+                    pass
+            except Exception as problem:
+                error = _problem(problem)
+            if error is None:
+                yield row["archive"], target, dest, row["place"], None
+            else:
+                yield row["archive"], row["file"], row["dest"], row["place"], error
+
+    start = archives.select("archive", F.col("archive").alias("file"), "dest", F.expr("cast(array() as array<long>)").alias("place"))
+    found = plan(start.repartition(_tasks(spark), "archive"))
+    if not nested:
+        return materialize(found)
+    found = materialize(found)
+    out = found.where("kind != 'spool'")
+    while not (waiting := found.where("kind = 'spool'")).isEmpty():
+        given = waiting.repartition(_tasks(spark), "archive", "place")
+        kinds = "archive string, file string, dest string, place array<long>, error string"
+        arrow = pa.schema([_PLAN_ARROW.field(x) for x in ("archive", "file", "dest", "place", "error")])
+        spooled = materialize(given.mapInArrow(lambda batches: _batches(spool(batches), arrow), kinds))
+        # What is no archive stays a file, with the error.
+        bad = spooled.where("error is not null").select("archive", "place", F.col("error").alias("why"))
+        out = out.unionByName(
+            waiting.join(bad, ["archive", "place"]).withColumns({"kind": F.lit("inner"), "error": F.col("why")}).drop("why")
+        )
+        found = materialize(plan(spooled.where("error is null").drop("error").repartition(_tasks(spark), "archive", "place")))
+        out = out.unionByName(found.where("kind != 'spool'"))
+    return out
+
+
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def unzip_in_place(
     archives: DataFrame,
     default_owner: str,
@@ -178,56 +467,70 @@ def unzip_in_place(
 ) -> DataFrame:
     """As :func:`unzip` for ``archive string, dest string`` without content.
 
-    ``archive`` is an address that every executor can open. The entry list is
-    shuffled before reading, so the entries of one archive go to ``tasks`` tasks.
-    The number is explicit: the list is tiny next to what its rows make a task
-    read, and Spark would merge its partitions by their size.
+    Members are dealt to ``tasks`` tasks by their bytes. The number is explicit: the plan is
+    tiny next to what its rows make a task read, and Spark would merge its partitions by
+    their size.
     """
 
-    def listing(batches) -> Iterator[tuple]:
-        for batch in batches:
-            for name, dest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    with open_stream(name) as stream, zipfile.ZipFile(stream) as zf:
-                        for n in range(len(zf.infolist())):
-                            yield name, dest, n, n * _NESTED_ROOM, None
-                except Exception as problem:
-                    yield name, dest, None, None, f"{type(problem).__name__}: {problem}"
-
     def rows(batches) -> Iterator[tuple]:
-        opened, stream, zf = None, None, None
-        for batch in batches:
-            for name, dest, member, number, error in zip(*[c.to_pylist() for c in batch.columns]):
-                if error is not None:
-                    yield name, None, None, None, error
-                    continue
-                if opened != name:
-                    if zf is not None:
-                        zf.close()
+        opened, stream = None, None
+        for row in _dicts(batches):
+            name, number = row["archive"], row["entry_no"]
+            if row["kind"] == "error":
+                yield name, None, None, None, row["error"], None
+                continue
+            path = posixpath.join(row["dest"], row["name"].lstrip("/"))
+            try:
+                if opened != row["file"]:
+                    if stream is not None:
                         stream.close()
-                    stream = open_stream(name)
-                    opened, zf = name, zipfile.ZipFile(stream)
-                found = _member_rows(
-                    zf, [zf.infolist()[member]], dest, default_owner, repair_names, nested
-                )
-                for k, (path, data, problem) in enumerate(found):
-                    yield name, path, number + k, data, problem
-        if zf is not None:
-            zf.close()
+                    opened, stream = None, open_stream(row["file"])
+                    opened = row["file"]
+                if row["kind"] == "file":
+                    for data, part in _parts(_inflated(stream, row), row["size"]):
+                        yield name, path, number, data, None, part
+                    continue
+                data = b"".join(_inflated(stream, row)) if row["size"] <= _LARGEST else None
+            except Exception as problem:
+                yield name, path, number, None, _problem(problem), None
+                continue
+            try:
+                with zipfile.ZipFile(io.BytesIO(data)) as zf:
+                    members = zf.infolist()
+                    dest = _inner_dest(row["dest"], row["name"], default_owner)
+                    found = _member_rows(zf, members, dest, default_owner, repair_names, nested)
+                    for k, (inner, content, problem, part) in enumerate(found):
+                        yield name, inner, number + k, content, problem, part
+            except Exception as problem:
+                yield name, path, number, data, _problem(problem), None
+        if stream is not None:
             stream.close()
 
-    listed = archives.select("archive", "dest").mapInArrow(
-        lambda batches: _batches(listing(batches), _LISTING_ARROW), _LISTING_SCHEMA
-    )
-    # Spread by runs of entries, so that a small archive is opened by one task, and grouped by
-    # archive inside a task, so that it opens each once.
-    run_of = F.floor(F.col("member") / _RUN)
-    spread = listed.repartition(tasks, "archive", run_of).sortWithinPartitions("archive", "member")
+    plan = _entry_numbers(planned_members(archives, default_owner, repair_names, nested))
+    # Spread by runs of neighbours, which are read in the order of their offsets.
+    run_of = F.floor(F.try_element_at("place", F.lit(-1)) / _RUN)
+    spread = plan.repartition(tasks, "file", run_of).sortWithinPartitions("file", "offset")
     return spread.mapInArrow(
         lambda batches: _batches(rows(batches), _ENTRY_ARROW), ENTRY_SCHEMA
     )
 
 
+def _entry_numbers(plan: DataFrame) -> DataFrame:
+    """Numbers in the order of places, with room for what a member unpacks to.
+
+    A place of one number is its rank already. Only archives with spooled ones inside are
+    ranked: a member of such a one has a place of several numbers.
+    """
+    deep = plan.where(F.size("place") > 1).select("archive").distinct()
+    if deep.isEmpty():
+        rank = F.get("place", F.lit(0))
+        return plan.withColumn("entry_no", rank * _NESTED_ROOM)
+    flat = plan.join(deep, "archive", "left_anti").withColumn("position", F.get("place", F.lit(0)) + 1)
+    ranked = number_rows(plan.join(deep, "archive", "left_semi"), ["archive"], ["place"])
+    both = flat.unionByName(ranked)
+    return both.withColumn("entry_no", (F.col("position") - 1) * _NESTED_ROOM).drop("position")
+
+
 def archive_dest(
     archive: Column, n_archives: Column, default_owner: str, strip_affixes: bool = False
 ) -> Column:
@@ -254,11 +557,24 @@ def _count_and_size(files: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def _read_in_place(
+def _read_entries(
     spark: SparkSession, placed: DataFrame, size: int, owner: str, **options
 ) -> DataFrame:
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return unzip_in_place(placed, owner, max(shuffles, -(-size // _TASK_BYTES)), **options)
+    """Entries of listed archives (``archive, length, content, dest``).
+
+    Small archives, and all at an address that only Spark serves, are values that Spark reads;
+    ``length`` is tested as files are listed, before their content is read.
+    """
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(_LARGEST)))
+    scheme = F.regexp_extract("archive", "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    others = placed.select(F.lower(scheme).alias("scheme")).where(~F.col("scheme").isin(*SERVED))
+    limit = min(_SMALL if others.isEmpty() else _LARGEST, most)
+    small = unzip(placed.where(F.col("length") <= limit), owner, **options)
+    large = placed.where(F.col("length") > limit).select("archive", "dest")
+    if large.isEmpty():
+        return small
+    tasks = max(_tasks(spark), -(-size // _TASK_BYTES))
+    return small.unionByName(unzip_in_place(large, owner, tasks, **options))
 
 
 def read_archives(
@@ -272,7 +588,7 @@ def read_archives(
     files = _archive_files(spark, uri)
     count, size = _count_and_size(files)
     dest = archive_dest(F.col("archive"), F.lit(count), default_owner, strip_affixes)
-    return _read_in_place(spark, files.withColumn("dest", dest), size, default_owner)
+    return _read_entries(spark, files.withColumn("dest", dest), size, default_owner)
 
 
 def relative_path(path: Column, uri: str) -> Column:
@@ -298,6 +614,7 @@ def list_export_tree(spark: SparkSession, uri: str, archives: bool = True) -> Da
         F.lit(0).cast("long").alias("entry_no"),
         "content",
         F.lit(None).cast("string").alias("entry_error"),
+        F.lit(None).cast("int").alias("part"),
     )
 
 
@@ -309,7 +626,7 @@ def read_export_bucket(spark: SparkSession, uri: str, fallback_owner: str) -> Da
     """
     files = _archive_files(spark, uri)
     placed = files.withColumn("dest", T.infer_owner_email(F.col("archive"), fallback_owner))
-    entries = _read_in_place(
+    entries = _read_entries(
         spark, placed, _count_and_size(files)[1], fallback_owner, repair_names=False, nested=False
     )
     return entries.unionByName(list_export_tree(spark, uri, archives=False))

@@ -289,7 +289,7 @@ def test_sinks_round_trip(spark, manifest, found, tmp_path):
     assert [p.name for p in folder.iterdir()] == ["Notebook_Sources_Index.md"]
     assert (folder / "Notebook_Sources_Index.md").read_text() == index[0].content
     with pytest.raises(ValueError, match="s3a"):
-        K.export_files(S.index_files(lines), "s3a://bucket/out")
+        K.export_files(S.index_files(lines), "viewfs://bucket/out")
     assert index[0].content.startswith("# None Solar\n\n") and index[0].content.count("\n") == 16
     K.write_documents(M.documents(found), f"{uri}/documents")
     documents = spark.read.parquet(f"{uri}/documents")
