@@ -27,7 +27,7 @@ null keys stay. Only the named columns are read, so other columns do no harm.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ from codexferry.storage import materialize
 EXAMPLES, TERMS, LEAST_Z, LEAST_DF = 20_000, 4096, 3.5, 3
 BLOCK, NEAREST = 64, 15
 DENSE = (4, 8, 16)
+#: A term that one in so many examples has is kept as a column, of so many at most; the error of a cosine in 32 bits.
+WIDE, COLUMNS, OFF = 24, 500, 1e-5
 #: Examples that are left out in turn to choose the prior's weight.
 CALIBRATE = 2000
 PUNCTUATION = ".,;:!?()[]{}<>\"'|*%#$&/\\-_=+~`…«»¿¡„“”‘’"
@@ -113,9 +115,27 @@ class Model:
         np.maximum.at(self.greatest, (self.places, owner // BLOCK), self.weights)
         # The same entries by term, and how many there are before each block and term.
         order = np.argsort(self.places, kind="stable")
-        self.owners, self.by_term = owner[order].astype(np.int32), self.weights[order]
+        self.owners, self.by_term = owner[order].astype(np.int32), self.weights[order].astype(np.float32)
         self.term_starts = np.searchsorted(self.places[order], np.arange(len(self.terms) + 1))
         self.entries = np.diff(self.starts[np.minimum(np.arange(blocks + 1) * BLOCK, len(self.labels))])
+        # The most frequent terms are columns over all examples as well; the rest of the work is short lists.
+        lengths = np.diff(self.term_starts)
+        wide = np.argsort(-lengths, kind="stable")[:COLUMNS]
+        wide = wide[WIDE * lengths[wide] >= max(1, len(self.labels))]
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[wide] = np.arange(len(wide))
+        self.columns = np.zeros((len(wide), len(self.labels)), np.float32)
+        for i, term in enumerate(wide.tolist()):
+            own = slice(self.term_starts[term], self.term_starts[term + 1])
+            self.columns[i, self.owners[own]] = self.by_term[own]
+
+    def __getstate__(self) -> dict:
+        """What is sent; each worker makes the index from it."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
 
     def nearest(self, places: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the best ``NEAREST`` with a positive cosine."""
@@ -137,34 +157,48 @@ class Model:
                 return self._summed(places, weights, without)
             own = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
             own = own[own < len(self.labels)]
-            lengths = self.starts[own + 1] - self.starts[own]
-            ends = np.cumsum(lengths)
-            entry = np.arange(ends[-1]) + np.repeat(self.starts[own] - (ends - lengths), lengths)
-            products = query[self.places[entry]] * self.weights[entry]
-            found = np.add.reduceat(products, ends - lengths)
+            found = self._cosines(own, query)
             hit = np.flatnonzero((found > 0) & (own != without))
-            at, cosines = np.concatenate([at, own[hit]]), np.concatenate([cosines, found[hit]])
-            # Rounded, so that equal cosines tie whatever the order of their sums.
-            best = np.lexsort((at, -np.round(cosines, 12)))[:NEAREST]
-            at, cosines = at[best], cosines[best]
+            at, cosines = self._best(np.concatenate([at, own[hit]]), np.concatenate([cosines, found[hit]]))
             opened, step = opened + step, step * 2
         return at, cosines
 
     def _summed(self, places: np.ndarray, weights: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same result from the entries of the text's terms in all examples."""
-        cosines = np.zeros(len(self.labels))
-        for place, weight in zip(places.tolist(), weights.tolist(), strict=True):
+        """The same result from the entries of the text's terms in all examples.
+
+        Sums in 32 bits say which examples may be among the best; their cosines are then exact.
+        """
+        near = np.zeros(len(self.labels), np.float32)
+        for place, weight, column in zip(places.tolist(), weights.astype(np.float32), self.column[places].tolist(), strict=True):
+            if column >= 0:
+                near += weight * self.columns[column]
+                continue
             own = slice(self.term_starts[place], self.term_starts[place + 1])
             # An example has a term once.
-            cosines[self.owners[own]] += weight * self.by_term[own]
+            near[self.owners[own]] += weight * self.by_term[own]
         if without >= 0:
-            cosines[without] = 0
-        at = np.flatnonzero(cosines > 0)
-        if len(at) > NEAREST:
-            least = np.partition(cosines[at], len(at) - NEAREST)[len(at) - NEAREST]
-            at = at[cosines[at] >= least - 1e-11]
-        at = at[np.lexsort((at, -np.round(cosines[at], 12)))[:NEAREST]]
-        return at, cosines[at]
+            near[without] = 0
+        least = np.partition(near, len(near) - NEAREST)[len(near) - NEAREST] if len(near) > NEAREST else 0.0
+        # No sum of products of unit vectors is off by more than this.
+        at = np.flatnonzero((near >= least - 2 * OFF) & (near > 0))
+        query = np.zeros(len(self.terms))
+        query[places] = weights
+        return self._best(at, self._cosines(at, query))
+
+    def _cosines(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The exact products of some examples with a text's weights."""
+        if not len(at):
+            return np.empty(0)
+        lengths = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        entry = np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - lengths), lengths)
+        return np.add.reduceat(query[self.places[entry]] * self.weights[entry], ends - lengths)
+
+    @staticmethod
+    def _best(at: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Rounded, so that equal cosines tie whatever the order of their sums.
+        best = np.lexsort((at, -np.round(cosines, 12)))[:NEAREST]
+        return at[best], cosines[best]
 
     def vote(self, at: np.ndarray, cosines: np.ndarray, prior: float | None = None) -> float:
         prior = self.prior if prior is None else prior
