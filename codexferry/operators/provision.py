@@ -343,26 +343,25 @@ def run_summary(
 # --- ledger ------------------------------------------------------------------
 
 
-def ledger_latest(ledger: DataFrame) -> DataFrame:
-    """Last entry per key, by version and sequence.
+def ledger_latest(ledger: DataFrame, stamp: Sequence[str] = ("version", "seq")) -> DataFrame:
+    """Last entry per key, by version and sequence (or the named columns).
 
     An entry is one row, or several chunks written together; chunks of an older,
     longer entry do not survive.
     """
-    stamp = F.struct("version", "seq")
+    own = F.struct(*stamp)
+    last = F.struct("status", "entry", *dict.fromkeys(["version", "seq", *stamp]))
     rows = (
         ledger.groupBy("checkpoint_key", "chunk")
-        .agg(F.max_by(F.struct("status", "entry", "version", "seq"), stamp).alias("_last"))
+        .agg(F.max_by(last, own).alias("_last"))
         .select("checkpoint_key", "chunk", "_last.*")
     )
     newest = (
         ledger.groupBy("checkpoint_key")
-        .agg(F.max(stamp).alias("_newest"))
+        .agg(F.max(own).alias("_newest"))
         .select("checkpoint_key", "_newest.*")
     )
-    return rows.join(newest, ["checkpoint_key", "version", "seq"], "left_semi").select(
-        *LEDGER_COLUMNS
-    )
+    return rows.join(newest, ["checkpoint_key", *stamp], "left_semi").select(*LEDGER_COLUMNS)
 
 
 def ledger_entries(log: DataFrame, version: int) -> DataFrame:

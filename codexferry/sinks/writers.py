@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import os
 import posixpath
+import uuid
 from collections.abc import Iterable
 from itertools import groupby
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codexferry import constants as C
-from codexferry.operators.provision import upsert_ledger
+from codexferry.operators.provision import LEDGER_COLUMNS
+from codexferry.sinks.commits import commit
 from codexferry.sources.archives import SERVED, new_file
-from codexferry.sources.tables import empty_ledger, read_ledger
+from codexferry.sources.tables import ledger_state, ledger_version, read_ledger
 
 
 def write_documents(documents: DataFrame, uri: str) -> None:
@@ -84,28 +85,49 @@ def write_nested_manifest(nested: DataFrame, uri: str) -> None:
     nested.write.mode("overwrite").option("ignoreNullFields", False).json(uri)
 
 
-def write_ledger(ledger: DataFrame, uri: str, version: int) -> None:
-    """Write one version of the ledger, then commit it.
+#: Deltas of a ledger that a reader merges; more are compacted when entries are saved.
+COMPACT_AFTER = 20
 
-    Readers follow the newest commit, so a write that breaks off changes nothing
-    for them.
+
+def write_ledger(ledger: DataFrame, uri: str, version: int = 1, upto: int | None = None) -> int:
+    """Commit all entries of a ledger in place of what was there; gives the commit's number.
+
+    Readers follow the commits, so a write that breaks off changes nothing for them. With
+    ``upto`` the entries stand for the commits up to that one only.
     """
     base = uri.rstrip("/")
-    ledger.write.mode("overwrite").parquet(f"{base}/entries/ledger_version={version}")
-    _commit(ledger.sparkSession, base, version)
+    folder = f"snapshot-{uuid.uuid4().hex}"
+    ledger.select(*LEDGER_COLUMNS).write.parquet(f"{base}/entries/{folder}")
+    return commit(ledger.sparkSession, base, "snapshot", folder, version, upto)
 
 
-def _commit(spark: SparkSession, base: str, version: int) -> None:
-    one = spark.range(1).select(F.lit(version).cast("long").alias("committed"))
-    one.write.mode("append").parquet(f"{base}/commits")
+def save_entries(entries: DataFrame, uri: str, version: int = 1) -> int:
+    """Add new entries to the ledger; gives the commit's number, ``version`` or the next free one.
+
+    Only the new entries are written. Of several writers at once each gets a number of its own
+    and no entry is lost: readers merge what was committed, the latest entry of a key wins.
+    """
+    spark, base = entries.sparkSession, uri.rstrip("/")
+    folder = f"delta-{uuid.uuid4().hex}"
+    entries.select(*LEDGER_COLUMNS).write.parquet(f"{base}/entries/{folder}")
+    number = commit(spark, base, "delta", folder, version)
+    if len(ledger_state(spark, base)[1]) > COMPACT_AFTER:
+        compact_ledger(spark, base)
+    return number
 
 
-def save_entries(entries: DataFrame, uri: str, version: int) -> None:
-    """Merge new entries into the ledger as its next version."""
-    current = read_ledger(entries.sparkSession, uri)
-    write_ledger(upsert_ledger(current, entries), uri, version)
+def compact_ledger(spark: SparkSession, uri: str) -> int | None:
+    """Write what the deltas so far merge to as a snapshot; reads give the same before and after.
+
+    Commits that others make meanwhile stay on top of it.
+    """
+    base = uri.rstrip("/")
+    upto = ledger_version(spark, base)
+    if not upto:
+        return None
+    return write_ledger(read_ledger(spark, base, upto), base, upto + 1, upto)
 
 
-def clear_ledger(spark: SparkSession, uri: str, version: int) -> None:
-    """Commit an empty version."""
-    write_ledger(empty_ledger(spark), uri, version)
+def clear_ledger(spark: SparkSession, uri: str, version: int = 1) -> int:
+    """Commit that nothing is left of the entries so far."""
+    return commit(spark, uri.rstrip("/"), "clear", None, version)

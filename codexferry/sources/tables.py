@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexferry import constants as C
+from codexferry.operators.provision import ledger_latest
+from codexferry.sinks.commits import commits, newest
 from codexferry.sources.archives import relative_path
 
 LEDGER_SCHEMA = (
@@ -51,19 +52,45 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
-def read_ledger(spark: SparkSession, uri: str) -> DataFrame:
-    """Newest committed version of a ledger; empty if there is none."""
+def ledger_version(spark: SparkSession, uri: str) -> int:
+    """Number of a ledger's newest commit, 0 if there is none."""
+    return newest(spark, uri.rstrip("/"))
+
+
+def ledger_state(spark: SparkSession, uri: str, version: int | None = None) -> tuple[str | None, dict[str, int]]:
+    """The folder of the snapshot that counts (none if there is none or it was cleared), and the
+    deltas on top of it with their commits' numbers; as of a commit if one is named.
+
+    The driver gets the commits on top of the snapshot only: few, since many are compacted.
+    """
+    log = commits(spark, uri.rstrip("/"))
+    if log is None:
+        return None, {}
+    if version is not None:
+        log = log.where(F.col("version") <= version)
+    whole = log.where("kind != 'delta'").orderBy(F.desc("upto"), F.desc("version")).first()
+    upto = whole.upto if whole else 0
+    deltas = log.where((F.col("kind") == "delta") & (F.col("version") > upto)).collect()
+    return whole.folder if whole else None, {r.folder: r.version for r in deltas}
+
+
+def read_ledger(spark: SparkSession, uri: str, version: int | None = None) -> DataFrame:
+    """The latest entry of each key of a ledger, as of its newest or the named commit; empty if there is none.
+
+    Entries of one version and sequence are those of the later commit.
+    """
     base = uri.rstrip("/")
-    try:
-        commits = spark.read.schema("committed long").parquet(f"{base}/commits")
-        rows = spark.read.schema(LEDGER_SCHEMA + ", ledger_version long").parquet(
-            f"{base}/entries"
-        )
-    except AnalysisException:
+    snapshot, deltas = ledger_state(spark, base, version)
+    folders = [*([snapshot] if snapshot else []), *deltas]
+    if not folders:
         return empty_ledger(spark)
-    # A version is a directory, so only the newest one is read.
-    newest = commits.agg(F.max("committed").alias("v")).scalar()
-    return rows.where(F.col("ledger_version") == newest).drop("ledger_version")
+    rows = spark.read.schema(LEDGER_SCHEMA).parquet(*(f"{base}/entries/{f}" for f in folders))
+    if not deltas:
+        return rows
+    numbers = F.create_map(*(x for f, n in deltas.items() for x in (F.lit(f), F.lit(n))))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/entries/([^/]+)/", 1)
+    rows = rows.withColumn("commit", F.coalesce(F.try_element_at(numbers, folder), F.lit(0)))
+    return ledger_latest(rows, ("version", "seq", "commit"))
 
 
 def read_transfer_manifest(spark: SparkSession, uri: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -6,8 +7,10 @@ from codexferry.operators import provision as P
 from codexferry.operators import upload as U
 from codexferry.plans.manifest import Manifest
 from codexferry.plans.provision import close_run, plan_requests
+from codexferry.sinks import writers as K
+from codexferry.sinks.commits import put_if_absent
 from codexferry.sinks.writers import clear_ledger, save_entries
-from codexferry.sources.tables import empty_ledger, read_ledger
+from codexferry.sources.tables import empty_ledger, ledger_state, read_ledger
 
 OWNER = "ann@old.x"
 BOOK_SCHEMA = "nb_key string, owner_email string, title string, ge_target_email string"
@@ -257,3 +260,74 @@ def test_missing_documents_are_skipped(spark, manifest):
     uploads = plan.where("step = 'uploadFile'").collect()
     assert len(uploads) > 1
     assert {r.file_path for r in uploads if r.file_exists} == {path}
+
+
+LEDGER_ROW = "checkpoint_key string, chunk int, status string, entry string, version long, seq long"
+
+
+def ledger_rows(spark, *rows):
+    return spark.createDataFrame([(k, 0, "completed", e, v, s) for k, e, v, s in rows], LEDGER_ROW)
+
+
+def shown(spark, uri, version=None):
+    return {r.checkpoint_key: r.entry for r in read_ledger(spark, uri, version).collect()}
+
+
+def test_a_save_writes_its_own_entries_only(spark, tmp_path):
+    uri = str(tmp_path / "l")
+    save_entries(ledger_rows(spark, *((f"k{i}", "old", 1, 0) for i in range(500))), uri)
+    save_entries(ledger_rows(spark, *((f"k{i}", "new", 2, 0) for i in range(10))), uri)
+    folders = {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "l" / "entries").iterdir()}
+    assert sorted(folders.values()) == [10, 500]
+    assert sorted(shown(spark, uri).values()) == ["new"] * 10 + ["old"] * 490
+    before = sorted(map(tuple, read_ledger(spark, uri).collect()))
+    assert K.compact_ledger(spark, uri) == 3
+    assert sorted(map(tuple, read_ledger(spark, uri).collect())) == before
+    assert sorted(map(tuple, read_ledger(spark, uri, 2).collect())) == before
+    assert shown(spark, uri, 1)["k3"] == "old"
+
+
+def test_writers_of_one_version_both_keep_their_entries(spark, tmp_path):
+    uri = f"file://{tmp_path}/l"
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda i: save_entries(ledger_rows(spark, (f"k{i}", f"e{i}", 1, 0), ("same", f"e{i}", 1, 0)), uri, 1), range(6)))
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6]
+    found = shown(spark, uri)
+    assert {k: v for k, v in found.items() if k != "same"} == {f"k{i}": f"e{i}" for i in range(6)}
+    assert found["same"] == f"e{numbers.index(6)}"
+
+
+def test_a_commit_is_made_once(spark, tmp_path):
+    for base in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        assert put_if_absent(spark, f"{base}/commits/1.json", "one")
+        assert not put_if_absent(spark, f"{base}/commits/1.json", "two")
+    assert [(p.name, p.read_text()) for p in (tmp_path / "b" / "commits").iterdir()] == [("1.json", "one")]
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shelf.link./x", f"file://{tmp_path}/c")
+    (tmp_path / "c").mkdir()
+    assert put_if_absent(spark, "viewfs://shelf/x/commits/1.json", "one")
+    assert not put_if_absent(spark, "viewfs://shelf/x/commits/1.json", "two")
+    assert (tmp_path / "c" / "commits" / "1.json").read_text() == "one"
+
+
+def test_a_compaction_neither_hides_nor_revives(spark, tmp_path):
+    uri = str(tmp_path / "l")
+    save_entries(ledger_rows(spark, ("a", "1", 1, 0), ("b", "1", 1, 0)), uri)
+    state = read_ledger(spark, uri, 1)
+    # Others commit while the snapshot of commit 1 is made.
+    save_entries(ledger_rows(spark, ("a", "2", 2, 0)), uri)
+    K.write_ledger(state, uri, 2, upto=1)
+    assert shown(spark, uri) == {"a": "2", "b": "1"}
+    clear_ledger(spark, uri)
+    K.write_ledger(state, uri, upto=1)
+    assert shown(spark, uri) == {}
+    save_entries(ledger_rows(spark, ("c", "3", 3, 0)), uri)
+    assert shown(spark, uri) == {"c": "3"}
+
+
+def test_many_deltas_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "COMPACT_AFTER", 3)
+    uri = str(tmp_path / "l")
+    for i in range(6):
+        save_entries(ledger_rows(spark, (f"k{i}", "e", i, 0)), uri)
+        assert len(ledger_state(spark, uri)[1]) <= 3
+    assert len(shown(spark, uri)) == 6
