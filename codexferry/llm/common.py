@@ -103,6 +103,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as the first and the gaps, in as few whole bytes as the largest needs."""
+    gaps = np.diff(values)
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    narrow = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + values[:1].astype("<u8").tobytes() + narrow.tobytes()
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    """The values of ``pack_sorted``."""
+    width = blob[0]
+    narrow = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    gaps = np.zeros((len(narrow), 8), np.uint8)
+    gaps[:, :width] = narrow
+    return np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1, 1), gaps.view("<u8").reshape(-1)]), dtype=np.uint64)
+
+
 #: Keys up to which the key side of a semi-join is sent to all tasks (16 MB); more are shuffled.
 BROADCAST_KEYS = 1_000_000
 

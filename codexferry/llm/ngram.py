@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexferry.llm.common import ODD, hash_strings, mixed, slices, split_words
+from codexferry.llm.common import ODD, hash_strings, mixed, pack_sorted, slices, split_words, unpack_sorted
 from codexferry.storage import materialize
 
 PACK = 4 << 20
@@ -112,22 +112,6 @@ class Tokens:
         return out
 
 
-def _pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as the first and the gaps, in as few whole bytes as the largest needs."""
-    gaps = np.diff(values)
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    narrow = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + values[:1].astype("<u8").tobytes() + narrow.tobytes()
-
-
-def _unpack_sorted(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    narrow = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(narrow), 8), np.uint8)
-    gaps[:, :width] = narrow
-    return np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1, 1), gaps.view("<u8").reshape(-1)]), dtype=np.uint64)
-
-
 def _pack_counts(counts: np.ndarray) -> bytes:
     """A byte for each count; 255 stands for the next of the large ones at the end."""
     small = np.minimum(counts, 255).astype(np.uint8)
@@ -156,7 +140,7 @@ def asked(packs: DataFrame, order: int, buckets: int) -> DataFrame:
                     counts = np.bincount(place, weights=train, minlength=len(keys)).astype(np.int64)
                     cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
                     found = [
-                        (k, batch["pack"][i].as_py(), level, batch["dev"][i].as_py(), _pack_sorted(keys[a:b]), _pack_counts(counts[a:b]))
+                        (k, batch["pack"][i].as_py(), level, batch["dev"][i].as_py(), pack_sorted(keys[a:b]), _pack_counts(counts[a:b]))
                         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
                         if b > a
                     ]
@@ -176,7 +160,7 @@ def _answer(requests: pa.Table) -> pa.Table:
     out = []
     for level in sorted(set(requests["level"].to_pylist())):
         rows = requests.filter(pc.equal(requests["level"], level)).to_pylist()
-        keys = [_unpack_sorted(r["keys"]) for r in rows]
+        keys = [unpack_sorted(r["keys"]) for r in rows]
         counts = [_unpack_counts(r["counts"]) for r in rows]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
