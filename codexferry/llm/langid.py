@@ -11,8 +11,9 @@ Four kinds of evidence meet in log space, per language:
 
 Soft counts are the text's own posterior, so that declarations are weighed by how far they agree
 with texts. All counts are grouped aggregations over narrow rows; a host with a third of all pages
-is added up before the shuffle. Models are fitted on a bounded sample: about ``SAMPLE`` labelled
-texts, chosen by the hash of the key; languages are those with ``LEAST_TEXTS`` texts in it.
+is added up before the shuffle. Models are fitted on a bounded sample: about ``SAMPLE`` texts of
+each language, all if there are fewer, chosen by a hash, so that a language of any share of a table
+of any size keeps its model; languages are those with ``LEAST_TEXTS`` labelled texts.
 
 Defined results: null or empty markup gives no text evidence, a missing declaration, suffix or
 host gives none of its kind; without any evidence the languages' overall shares are left. Without
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from codexferry.llm.common import BROADCAST_KEYS, slices
 from codexferry.storage import materialize
 
-SAMPLE, LEAST_TEXTS = 8000, 2
+SAMPLE, LEAST_TEXTS = 2000, 2
 SIZE = 1 << 16
 #: Trigrams that a text's evidence counts for, however long it is; fewer count themselves.
 TRIGRAMS = 30.0
@@ -85,10 +86,11 @@ class TextModel:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """Trigram models of the languages in a bounded sample of labelled texts."""
-    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    share = min(1.0, sample / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64(key, text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    """Trigram models of the languages, each from a bounded sample of its texts."""
+    known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    sizes = materialize(known.groupBy("lang").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS))
+    known = known.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_KEYS else sizes, "lang")
+    known = known.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 40)) <= F.lit(float(1 << 40)) * sample / F.col("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -100,7 +102,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 columns = [pa.array([name] * (len(found) + 1)), pa.array([*found.tolist(), -1]), pa.array([*n.tolist(), len(codes)])]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "code", "n"])
 
-    counts = known.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(run, "lang string, code long, n long")
+    counts = known.select("text", "lang").mapInArrow(run, "lang string, code long, n long")
     # At most 65,537 rows per language of the sample.
     rows = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     texts = rows[rows["code"] == -1].set_index("lang")["n"]

@@ -77,3 +77,11 @@ def test_no_labels_and_no_pages(spark):
     assert langid.identify(pages.limit(0), model(spark)).count() == 0
     nothing = langid.fit(docs.limit(0))
     assert [r["lang"] for r in langid.identify(pages.limit(2), nothing).collect()] == [None, None]
+
+
+def test_a_rare_language_keeps_its_model(spark):
+    rows = [(i, f"the quick word {i} of many", "en") for i in range(3000)] + [(9000 + i, f"żółw ćma {i} śpi", "pl") for i in range(3)] + [(None, None, "xx"), (1, "lone", "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(df, sample=50)
+    assert m.languages == ["en", "pl"]
+    assert m.evidence("ćma śpi")[1] > m.evidence("ćma śpi")[0]
