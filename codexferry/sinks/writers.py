@@ -9,7 +9,8 @@ from collections.abc import Iterable
 from itertools import groupby
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from codexferry import constants as C
 from codexferry.operators.provision import LEDGER_COLUMNS
@@ -72,12 +73,39 @@ def write_transfer_manifest(transfer: DataFrame, uri: str) -> None:
     )
 
 
-def write_manifest(tables: dict[str, DataFrame], totals: DataFrame, uri: str) -> None:
-    """Child tables as parquet and the totals as one line of JSON."""
+def write_manifest(tables: dict[str, DataFrame], totals: DataFrame | None, uri: str) -> None:
+    """Child tables as parquet and the totals as one line of JSON.
+
+    Without ``totals`` they are measured as the tables are written: no child is read twice for
+    its count. Only the owners of the notebooks, which have to be told apart, are counted after.
+    """
     base = uri.rstrip("/")
+    if totals is not None:
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{base}/{name}")
+        totals.write.mode("overwrite").json(f"{base}/totals")
+        return
+    seen = {name: Observation(f"{name}-{uuid.uuid4().hex}") for name in tables}
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{base}/{name}")
-    totals.write.mode("overwrite").json(f"{base}/totals")
+        counts = [F.count(F.lit(1)).alias("n")]
+        if name == "sources":
+            counts.append(F.count_if(F.col("source_url") != "").alias("urls"))
+        table.observe(seen[name], *counts).write.mode("overwrite").parquet(f"{base}/{name}")
+    spark = tables["notebooks"].sparkSession
+    n = {name: observed.get for name, observed in seen.items()}
+    row = {
+        "notebook_count": n["notebooks"]["n"],
+        "total_sources": n["sources"]["n"],
+        "total_urls_recovered": n["sources"]["urls"],
+        "total_notes": n["notes"]["n"],
+        "total_artifacts": n["artifacts"]["n"],
+        "total_errors": n["errors"]["n"] if "errors" in n else 0,
+    }
+    owners = spark.read.parquet(f"{base}/notebooks").select(
+        F.greatest(F.count_distinct("owner_email"), F.lit(1)).alias("user_count"),
+        *(F.lit(v).cast("long").alias(k) for k, v in row.items()),
+    )
+    owners.write.mode("overwrite").json(f"{base}/totals")
 
 
 def write_nested_manifest(nested: DataFrame, uri: str) -> None:

@@ -14,6 +14,18 @@ LEDGER_SCHEMA = (
     "checkpoint_key string, chunk int, status string, entry string, version long, seq long"
 )
 
+#: A notebook with its nested children, as ``write_nested_manifest`` writes it.
+MANIFEST_JSON_SCHEMA = (
+    "nb_key string, owner_email string, root_path string, nb_file string, metadata string, "
+    "title string, emoji string, folder string, sharepoint_folder string, m365_upn string, "
+    "ge_target_email string, sharepoint_site_url string, chunk int, "
+    "sources array<struct<title:string,source_type:string,added_timestamp:string,"
+    "source_url:string,youtube_url:string,youtube_channel:string,word_count:bigint,"
+    "docx_path:string,relative_sharepoint_path:string>>, "
+    "notes array<struct<title:string,content_text:string,docx_path:string,"
+    "relative_sharepoint_path:string>>, artifacts array<struct<title:string,artifact_type:string>>"
+)
+
 
 def read_identity_map(spark: SparkSession, uri: str) -> DataFrame:
     """Identity CSV as it is; ``line_no`` orders rows by file name, then by line."""
@@ -43,9 +55,14 @@ def read_manifest(spark: SparkSession, uri: str) -> dict[str, DataFrame]:
     }
 
 
-def read_manifest_json(spark: SparkSession, uri: str, multi_line: bool = False) -> DataFrame:
-    """The JSON form of a manifest: one row per line; with ``multi_line`` a document per file."""
-    return spark.read.option("multiLine", multi_line).json(uri)
+def read_manifest_json(
+    spark: SparkSession, uri: str, multi_line: bool = False, schema: str = MANIFEST_JSON_SCHEMA
+) -> DataFrame:
+    """The JSON form of a manifest: one row per line; with ``multi_line`` a document per file.
+
+    The schema is stated, so that the text is read once and an empty list keeps its columns.
+    """
+    return spark.read.schema(schema).option("multiLine", multi_line).json(uri)
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
