@@ -12,8 +12,13 @@ an ordinary conversation is one row (chunk 0), one of any length is several, in
 Defined results: turns are told apart by their number, null numbers come first, and gaps do not
 matter. Repeated rows of a turn count once, different ones stand in order of role and text. Null
 roles and texts are empty. A pair with one side only has an empty prompt and that side's
-completion; equal sides are all prompt. A null pair id is a pair like any other. Only the named
-columns are read, so other columns do no harm.
+completion; equal sides are all prompt. A null pair id is a pair like any other; all its messages of
+one turn number are one turn's, so a table of null ids and null turns is one list of its different
+messages. Only the named columns are read, so other columns do no harm.
+
+Texts are rendered as they are: one that holds a mark (``<|end|>``, ``<|assistant|>``) reads like a
+turn to whoever parses the result. The spans come from the messages themselves and are not misled;
+texts of untrusted origin should lose such marks before.
 """
 
 from __future__ import annotations
