@@ -541,24 +541,46 @@ def archive_dest(
     return F.when(n_archives > 1, owner).otherwise("")
 
 
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def binary_files(spark: SparkSession, uri: str, **options) -> DataFrame:
+    """All files below an address as Spark lists them; content is read when it is used.
+
+    Spark lists folders with a task each by default, up to 10,000. Exports have a folder for every
+    owner and notebook, so the folders are dealt to a few tasks per core instead, unless the
+    session says otherwise.
+    """
+    chosen = spark.conf.get(_LISTING, None)
+    if chosen is None:
+        spark.conf.set(_LISTING, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        return reader.options(**options).load(uri)
+    finally:
+        if chosen is None:
+            spark.conf.unset(_LISTING)
+
+
 def _archive_files(spark: SparkSession, uri: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.[zZ][iI][pP]")
-        .load(uri)
-        .withColumnRenamed("path", "archive")
-    )
+    files = binary_files(spark, uri, pathGlobFilter="*.[zZ][iI][pP]")
+    return files.withColumnRenamed("path", "archive")
 
 
-def _count_and_size(files: DataFrame) -> tuple[int, int]:
-    """Number and bytes of files, from their listing alone."""
-    row = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    return row[0], row[1]
+def _listed(files: DataFrame) -> dict:
+    """Number, bytes and largest of files, and whether Python's file systems serve all, from their listing alone."""
+    scheme = F.lower(F.regexp_extract("archive", "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    row = files.agg(
+        F.count(F.lit(1)).alias("count"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("size"),
+        F.coalesce(F.max("length"), F.lit(0)).alias("largest"),
+        F.coalesce(F.every(scheme.isin(*SERVED)), F.lit(True)).alias("served"),
+    ).first()
+    return row.asDict()
 
 
 def _read_entries(
-    spark: SparkSession, placed: DataFrame, size: int, owner: str, **options
+    spark: SparkSession, placed: DataFrame, listed: dict, owner: str, **options
 ) -> DataFrame:
     """Entries of listed archives (``archive, length, content, dest``).
 
@@ -566,14 +588,12 @@ def _read_entries(
     ``length`` is tested as files are listed, before their content is read.
     """
     most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(_LARGEST)))
-    scheme = F.regexp_extract("archive", "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    others = placed.select(F.lower(scheme).alias("scheme")).where(~F.col("scheme").isin(*SERVED))
-    limit = min(_SMALL if others.isEmpty() else _LARGEST, most)
+    limit = min(_SMALL if listed["served"] else _LARGEST, most)
     small = unzip(placed.where(F.col("length") <= limit), owner, **options)
-    large = placed.where(F.col("length") > limit).select("archive", "dest")
-    if large.isEmpty():
+    if listed["largest"] <= limit:
         return small
-    tasks = max(_tasks(spark), -(-size // _TASK_BYTES))
+    large = placed.where(F.col("length") > limit).select("archive", "dest")
+    tasks = max(_tasks(spark), -(-listed["size"] // _TASK_BYTES))
     return small.unionByName(unzip_in_place(large, owner, tasks, **options))
 
 
@@ -586,9 +606,9 @@ def read_archives(
     greedy match keeps.
     """
     files = _archive_files(spark, uri)
-    count, size = _count_and_size(files)
-    dest = archive_dest(F.col("archive"), F.lit(count), default_owner, strip_affixes)
-    return _read_entries(spark, files.withColumn("dest", dest), size, default_owner)
+    listed = _listed(files)
+    dest = archive_dest(F.col("archive"), F.lit(listed["count"]), default_owner, strip_affixes)
+    return _read_entries(spark, files.withColumn("dest", dest), listed, default_owner)
 
 
 def relative_path(path: Column, uri: str) -> Column:
@@ -605,7 +625,7 @@ def list_export_tree(spark: SparkSession, uri: str, archives: bool = True) -> Da
     Without ``archives`` ZIP files are left out when files are listed, before their
     content is read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(uri)
+    files = binary_files(spark, uri)
     if not archives:
         files = files.where(~F.lower("_metadata.file_name").endswith(".zip"))
     return files.select(
@@ -627,6 +647,6 @@ def read_export_bucket(spark: SparkSession, uri: str, fallback_owner: str) -> Da
     files = _archive_files(spark, uri)
     placed = files.withColumn("dest", T.infer_owner_email(F.col("archive"), fallback_owner))
     entries = _read_entries(
-        spark, placed, _count_and_size(files)[1], fallback_owner, repair_names=False, nested=False
+        spark, placed, _listed(files), fallback_owner, repair_names=False, nested=False
     )
     return entries.unionByName(list_export_tree(spark, uri, archives=False))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codexferry import constants as C
 from codexferry.operators.provision import ledger_latest
 from codexferry.sinks.commits import commits, newest
-from codexferry.sources.archives import relative_path
+from codexferry.sources.archives import binary_files, relative_path
 
 LEDGER_SCHEMA = (
     "checkpoint_key string, chunk int, status string, entry string, version long, seq long"
@@ -126,12 +126,8 @@ def read_transfer_manifest(spark: SparkSession, uri: str) -> DataFrame:
 
 def list_staged_files(spark: SparkSession, uri: str) -> DataFrame:
     """Path and length of staged files; their content is never read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(uri)
-        .select("path", relative_path(F.col("path"), uri).alias("rel_path"), "length")
-    )
+    rel_path = relative_path(F.col("path"), uri).alias("rel_path")
+    return binary_files(spark, uri).select("path", rel_path, "length")
 
 
 def wave_rows(
