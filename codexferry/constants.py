@@ -121,24 +121,26 @@ STYLE_TEXT = (22, "202124", False)
 HEADING_SIZES = {1: 32, 2: 28}
 HEADING_SIZE_OTHER = 24
 HEADING_COLOR = "174EA6"
-DOCX_CONTENT_TYPES = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
-<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">
-  <Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>
-  <Default Extension="xml" ContentType="application/xml"/>
-  <Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/>
-</Types>"""
-DOCX_RELS = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
-<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">
-  <Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/>
-</Relationships>"""
-DOCX_BODY_OPEN = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
-<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">
-  <w:body>
-    """
-DOCX_BODY_CLOSE = """
-    <w:sectPr>
-      <w:pgSz w:w="12240" w:h="15840"/>
-      <w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440"/>
-    </w:sectPr>
-  </w:body>
-</w:document>"""
+# The parts of a document: their elements are fixed by the format, white space between them is not,
+# so there is none.
+_XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+DOCX_CONTENT_TYPES = (
+    f'{_XML}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+    '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    '<Default Extension="xml" ContentType="application/xml"/>'
+    '<Override PartName="/word/document.xml" ContentType='
+    '"application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+)
+DOCX_RELS = (
+    f'{_XML}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    '<Relationship Id="rId1" Target="word/document.xml" Type='
+    '"http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument"/></Relationships>'
+)
+DOCX_BODY_OPEN = (
+    f'{_XML}<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
+)
+DOCX_BODY_CLOSE = (
+    '<w:sectPr><w:pgSz w:w="12240" w:h="15840"/>'
+    '<w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440"/></w:sectPr>'
+    "</w:body></w:document>"
+)

@@ -23,7 +23,6 @@ def _pack(document_xml: str) -> bytes:
         ]:
             part = zipfile.ZipInfo(name)
             part.compress_type = zipfile.ZIP_DEFLATED
-            part.external_attr = 0o644 << 16
             part.flag_bits |= 0x800  # names are UTF-8
             package.writestr(part, text.encode("utf-8"))
     return buffer.getvalue()
