@@ -44,13 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codexferry.llm.common import BROADCAST_KEYS, hash_strings, slices
+from codexferry.llm.common import BROADCAST_KEYS, ODD, hash_strings, mixed, slices
 from codexferry.storage import materialize
 
 #: Bytes of words of a shard; of all waiting shards of a task; phrases of a trie.
 SHARD, WAITING, LIMIT = 16 << 20, 48 << 20, 400_000
 #: Words of all shards' dictionaries that are counted together.
 BUCKET_WORDS = 500_000
+#: Places of all shards whose proposals are added up together, at most one for each place.
+BUCKET_PLACES = 4_000_000
 
 #: Classes of bytes: 1 blank, 2 end of a piece, 0 part of a word.
 CLASSES = np.zeros(256, np.uint8)
@@ -311,55 +313,89 @@ class Trie:
         return place, self.accept[state]
 
 
-def _counted(found: np.ndarray, follows: np.ndarray, numbers: np.ndarray, least: int) -> pa.RecordBatch | None:
-    """Proposals of a shard: phrase, following word, how often; those below ``least`` are left out."""
+PROPOSED = "bucket long, shards long, phrases array<long>, words array<long>, counts array<long>"
+
+
+def _counted(found: np.ndarray, follows: np.ndarray, numbers: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, word, n) of a shard's proposals: phrase, following word, how often; those below ``least`` are left out."""
     good = follows > 0
     wide = int(follows.max(initial=0)) + 1
     codes, n = np.unique(found[good] * wide + follows[good], return_counts=True)
     codes, n = codes[n >= least], n[n >= least]
-    return _rows(numbers[codes // wide], codes % wide, n)
+    return numbers[codes // wide], codes % wide, n
+
+
+def _bucketed(phrase: np.ndarray, word: np.ndarray, n: np.ndarray, shards: int, buckets: int) -> pa.RecordBatch:
+    """Counts by bucket: a row for each bucket instead of one for each phrase."""
+    phrase, word, n = (x.astype(np.int64) for x in (phrase, word, n))
+    bucket = (mixed(phrase.view(np.uint64) * ODD + word.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    own, starts = np.unique(bucket[order], return_index=True)
+    cuts = pa.array([*starts.tolist(), len(order)], pa.int32())
+    lists = [pa.ListArray.from_arrays(cuts, pa.array(x[order])) for x in (phrase, word, n)]
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), shards)), *lists], [x.split()[0] for x in PROPOSED.split(", ")])
+
+
+def _added(least: int):
+    """(phrase, word, n) of a bucket: phrases found often enough (word 0), and proposals that may be.
+
+    A shard that is silent about a proposal holds less of it than a shard has to tell.
+    """
 
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        lengths = pc.list_value_length(group["phrases"]).to_numpy()
+        phrase, word, n = (group[c].combine_chunks().flatten().to_numpy() for c in ("phrases", "words", "counts"))
+        shards = np.repeat(group["shards"].to_numpy(), lengths)
+        order = np.lexsort((word, phrase))
+        phrase, word, n, shards = (x[order] for x in (phrase, word, n, shards))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(phrase) != 0) | (np.diff(word) != 0)
+        first = np.flatnonzero(new)
+        seen, told = np.add.reduceat(n, first), np.diff(first, append=len(order))
+        most = seen + (shards[first] - told) * (-(-least // shards[first]) - 1)
+        good = np.where(word[first] == 0, seen, most) >= least
+        return pa.table([pa.array(phrase[first][good]), pa.array(word[first][good]), pa.array(seen[good])], ["phrase", "word", "n"])
 
-def _rows(phrase: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (phrase, word, n)], ["phrase", "word", "n"])
+    return run
 
 
-def pairs(least: int):
+def pairs(least: int, buckets: int):
     """Proposals of two words: frequent words that follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _each(batch):
-                ids = _ids(row)
-                first, follows = ids[:-1], ids[1:]
-                good = first > 0
-                distinct, code = np.unique(first[good], return_inverse=True)
-                yield _counted(code.astype(np.int64), follows[good], distinct, math.ceil(least / row["shards"].as_py()))
+        for row in _each(batches):
+            ids, shards = _ids(row), row["shards"].as_py()
+            first, follows = ids[:-1], ids[1:]
+            good = first > 0
+            distinct, code = np.unique(first[good], return_inverse=True)
+            yield _bucketed(*_counted(code.astype(np.int64), follows[good], distinct, -(-least // shards)), shards, buckets)
 
     return run
 
 
-def _each(batch: pa.RecordBatch) -> Iterator[dict]:
-    for i in range(batch.num_rows):
-        yield {name: batch[name][i] for name in batch.schema.names}
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch[name][i] for name in batch.schema.names}
 
 
-def occurrences(sent, least: int, extend: bool):
+def occurrences(sent, least: int, extend: bool, buckets: int):
     """Counts of a trie's phrases (word 0), and proposals of one word more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, numbers = sent.value
         total = np.zeros(len(numbers), np.int64)
-        for batch in batches:
-            for row in _each(batch):
-                ids = _ids(row)
-                place, phrase = trie.found(ids)
-                total += np.bincount(phrase, minlength=len(numbers))
-                if extend:
-                    inner = place + trie.length < len(ids)
-                    yield _counted(phrase[inner].astype(np.int64), ids[place[inner] + trie.length], numbers, math.ceil(least / row["shards"].as_py()))
+        for row in _each(batches):
+            ids, shards = _ids(row), row["shards"].as_py()
+            place, phrase = trie.found(ids)
+            total += np.bincount(phrase, minlength=len(numbers))
+            if extend:
+                inner = place + trie.length < len(ids)
+                follows = ids[place[inner] + trie.length]
+                yield _bucketed(*_counted(phrase[inner].astype(np.int64), follows, numbers, -(-least // shards)), shards, buckets)
         hit = np.flatnonzero(total)
-        yield _rows(numbers[hit], np.zeros(len(hit)), total[hit])
+        yield _bucketed(numbers[hit], np.zeros(len(hit)), total[hit], 1, buckets)
 
     return run
 
@@ -367,14 +403,11 @@ def occurrences(sent, least: int, extend: bool):
 # --- levels --------------------------------------------------------------------
 
 
-def _candidates(proposals: DataFrame, before: DataFrame, words: DataFrame, langs: DataFrame, least: int) -> DataFrame:
-    """(phrase, lang, text, ids) that may be frequent, by what the shards proposed."""
-    sums = proposals.groupBy("phrase", "word").agg(F.sum("n").alias("seen"), F.count("*").alias("told"))
+def _candidates(proposals: DataFrame, before: DataFrame, words: DataFrame) -> DataFrame:
+    """(phrase, lang, text, ids) that may be frequent: proposals that begin and end with a frequent phrase."""
     begun = before.select(F.col("phrase"), "lang", F.col("text").alias("begin"), F.col("ids").alias("begin_ids"))
-    rows = _with_lang(sums.join(begun, "phrase"), langs)
-    # A silent shard holds less than a shard has to tell.
-    most = F.col("seen") + (F.col("shards") - F.col("told")) * (F.ceil(F.lit(least) / F.col("shards")) - 1)
-    rows = rows.where(most >= least).join(words.select(F.col("phrase").alias("word"), F.col("text").alias("last")), "word")
+    rows = proposals.select("phrase", "word").join(begun, "phrase")
+    rows = rows.join(words.select(F.col("phrase").alias("word"), F.col("text").alias("last")), "word")
     rows = rows.select("lang", F.concat_ws(" ", "begin", "last").alias("text"), F.concat("begin_ids", F.array("word")).alias("ids"))
     end = F.slice("ids", F.lit(2), F.size("ids") - 1)
     rows = rows.join(before.select(F.col("ids").alias("end")), end == F.col("end"), "left_semi")
@@ -385,7 +418,7 @@ def _with_lang(rows: DataFrame, langs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(langs) if langs.count() <= BROADCAST_KEYS else langs, "lang")
 
 
-def _tried(ids: DataFrame, candidates: DataFrame, least: int, extend: bool) -> DataFrame:
+def _tried(ids: DataFrame, candidates: DataFrame, least: int, extend: bool, buckets: int) -> DataFrame:
     """(phrase, word, n) of all shards: one pass for each trie."""
     tries = max(1, math.ceil(candidates.count() / LIMIT))
     context = ids.sparkSession.sparkContext
@@ -397,12 +430,16 @@ def _tried(ids: DataFrame, candidates: DataFrame, least: int, extend: bool) -> D
         lists = part["ids"].combine_chunks()
         phrases = lists.flatten().to_numpy().reshape(len(lists), -1)
         sent = context.broadcast((Trie(phrases), part["phrase"].to_numpy()))
-        found = materialize(ids.mapInArrow(occurrences(sent, least, extend), "phrase long, word long, n long"))
+        found = _sums(ids.mapInArrow(occurrences(sent, least, extend, buckets), PROPOSED), least)
         sent.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _sums(dealt: DataFrame, least: int) -> DataFrame:
+    return materialize(dealt.groupBy("bucket").applyInArrow(_added(least), "phrase long, word long, n long"))
+
+
 def counted(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n, shards), and per number of words the frequent phrases (phrase, lang, text, ids, a)."""
     kept = materialize(shards(docs))
@@ -419,14 +456,16 @@ def counted(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, list[
     ids = blobs.unionByName(named, allowMissingColumns=True).groupBy("shard").applyInArrow(_renumbered, "lang string, shards long, width int, ids binary")
     ids = materialize(ids)
 
+    places = ids.agg(F.coalesce(F.sum(F.octet_length("ids") / F.col("width")), F.lit(0.0))).first()[0]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(places / BUCKET_PLACES))
     levels = [words]
-    proposals = ids.mapInArrow(pairs(least), "phrase long, word long, n long")
+    proposals = _sums(ids.mapInArrow(pairs(least, buckets), PROPOSED), least)
     for length in range(2, longest + 1):
-        candidates = _candidates(proposals, levels[-1], words, langs, least)
+        candidates = _candidates(proposals, levels[-1], words)
         if candidates.isEmpty():
             break
-        found = _tried(ids, candidates, least, length < longest)
-        frequent = found.where("word = 0").groupBy("phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        found = _tried(ids, candidates, least, length < longest, buckets)
+        frequent = found.where("word = 0").select("phrase", F.col("n").alias("a"))
         levels.append(materialize(candidates.join(frequent, "phrase")))
         proposals = found.where("word > 0")
     return langs, levels

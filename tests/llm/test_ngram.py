@@ -115,6 +115,6 @@ def test_packed_numbers_round_trip():
     draw = np.random.default_rng(3)
     for n in (1, 2, 1000):
         keys = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64, endpoint=False))
-        assert (ngram._unpack_sorted(ngram._pack_sorted(keys)) == keys).all()
+        assert (ngram.unpack_sorted(ngram.pack_sorted(keys)) == keys).all()
         counts = draw.integers(0, 2, n) * draw.integers(0, 10**6, n)
         assert (ngram._unpack_counts(ngram._pack_counts(counts)) == counts).all()
