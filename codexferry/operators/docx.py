@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from codexferry import constants as C
 
+_PIECE_ROWS = 256
+
 
 def _pack(document_xml: str) -> bytes:
     buffer = io.BytesIO()
@@ -36,9 +38,12 @@ def render_docx(df: DataFrame, xml: str = "document_xml") -> DataFrame:
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = pa.array([_pack(x.as_py()) for x in batch.column(xml)], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names] + [packed], names=names + ["content"]
-            )
+            # A batch goes out in pieces: packed documents do not pile up beside it.
+            for start in range(0, batch.num_rows, _PIECE_ROWS):
+                piece = batch.slice(start, _PIECE_ROWS)
+                packed = pa.array([_pack(x.as_py()) for x in piece.column(xml)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(n) for n in names] + [packed], names=names + ["content"]
+                )
 
     return df.mapInArrow(render, schema)

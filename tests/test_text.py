@@ -1,6 +1,7 @@
 import html
 from urllib.parse import quote
 
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -90,3 +91,16 @@ def test_labels(column, spark):
         lambda c: artifact_label(F.lit("T"), c), ["ARTIFACT_TYPE_QUIZ", "APP_TYPE_MAP", "PLAIN"]
     ) == ["T (QUIZ)", "T (MAP)", "T (PLAIN)"]
     assert column(origin_cell, ["", "http://a"]) == ["_Uploaded File_", "[http://a](http://a)"]
+
+
+def test_documents_are_packed_in_small_pieces():
+    """A task does not hold the packed documents of a whole batch."""
+    from codexferry.operators.docx import render_docx
+    from tests.test_html import Given
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(map(str, range(600))), pa.array(["<w:p/>"] * 600)], names=["path", "document_xml"]
+    )
+    pieces = list(render_docx(Given("path", "document_xml"))(iter([batch])))
+    assert [p.num_rows for p in pieces] == [256, 256, 88]
+    assert [x for p in pieces for x in p.column("path").to_pylist()] == [str(i) for i in range(600)]
