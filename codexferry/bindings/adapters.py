@@ -298,12 +298,14 @@ def zipped(files: DataFrame, flagged: bool = True) -> DataFrame:
         return bytes(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A batch goes out in pieces: packed archives do not pile up beside it.
         for batch in batches:
-            archives, names, contents = batch.columns
-            packed = [pack(n.as_py(), c.as_py()) for n, c in zip(names, contents)]
-            yield pa.RecordBatch.from_arrays(
-                [archives, pa.array(packed, pa.binary())], names=["archive", "content"]
-            )
+            for start in range(0, batch.num_rows, 256):
+                archives, names, contents = batch.slice(start, 256).columns
+                packed = [pack(n.as_py(), c.as_py()) for n, c in zip(names, contents)]
+                yield pa.RecordBatch.from_arrays(
+                    [archives, pa.array(packed, pa.binary())], names=["archive", "content"]
+                )
 
     return files.select("archive", "names", "contents").mapInArrow(
         run, "archive string, content binary"
