@@ -7,7 +7,9 @@ table. Rank files have no list of merges: every split of a token into two tokens
 of the token's rank, which gives the same ids as merging the pair of lowest rank first.
 
 A pattern cuts a text into pieces and each piece is encoded alone, so a piece that comes again
-costs a look-up. Pieces are taken in runs of bounded length: memory does not grow with a text.
+costs a look-up. Remembered pieces are a new and an old generation: where the new one is full, it
+becomes the old one, and what is met again moves up, so that only rare pieces are forgotten. Pieces
+are taken in runs of bounded length: memory does not grow with a text.
 
 Defined results: a null or empty text has no ids. Ids outside the vocabulary are an error. Rows
 are independent: repeated rows give repeated results, and null keys stay. Only the named columns
@@ -34,7 +36,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from codexferry.llm.common import slices
 
-#: Pieces of one text that are handled at a time, those that a task remembers, and those encoded at once.
+#: Pieces of one text that are handled at a time, those that a generation remembers, and those encoded at once with places.
 RUN, REMEMBERED, AT_ONCE = 500_000, 40_000, 2_000
 SLICE = 2 << 20
 
@@ -67,10 +69,14 @@ class Codec:
             if token[:cut] in ranks and token[cut:] in ranks
         ]
         vocabulary = {name[token]: rank for token, rank in ranks.items()}
-        self._tokenizer = Tokenizer(models.BPE(vocabulary, merges, ignore_merges=True))
+        self._model = models.BPE(vocabulary, merges, ignore_merges=True)
+        self._shown = dict(enumerate(shown))
+        self._tokenizer = Tokenizer(self._model)
         self._tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._pattern = regex.compile(pattern)
-        self._seen: dict[str, tuple] = {}
+        self._seen: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._places: dict[str, tuple] = {}
         # Back from characters to bytes: all tokens' bytes in one array, and where each begins.
         back = {c: b for b, c in enumerate(shown)}
         self._bytes = {rank: bytes(map(back.__getitem__, text)) for text, rank in vocabulary.items()}
@@ -79,30 +85,43 @@ class Codec:
         self._length[list(self._bytes)] = [len(b) for b in self._bytes.values()]
         self._start = np.cumsum(self._length) - self._length
 
-    def _learn(self, pieces: list[str], offsets: bool) -> None:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Each piece's ids."""
         if len(self._seen) > REMEMBERED:
-            self._seen.clear()
-        new = list({p for p in pieces if p not in self._seen or offsets and self._seen[p][1] is None})
+            self._seen, self._old = {}, self._seen
+        for piece in set(pieces).difference(self._seen):
+            code = self._old.get(piece)
+            if code is None:
+                shown = piece.encode().decode("latin-1").translate(self._shown)
+                code = array("I", [token.id for token in self._model.tokenize(shown)]).tobytes()
+            self._seen[piece] = code
+        return self._seen
+
+    def _learn_places(self, pieces: list[str]) -> dict[str, tuple]:
+        """Each piece's ids and the characters that they touch."""
+        if len(self._places) > REMEMBERED:
+            self._places = {}
+        new = list(set(pieces).difference(self._places))
         for start in range(0, len(new), AT_ONCE):
             part = new[start : start + AT_ONCE]
-            codes = (self._tokenizer.encode_batch if offsets else self._tokenizer.encode_batch_fast)(part)
-            for piece, code in zip(part, codes, strict=True):
-                own = np.array(code.offsets, np.int64).reshape(-1, 2) if offsets else None
-                self._seen[piece] = (array("I", code.ids).tobytes(), own)
+            for piece, code in zip(part, self._tokenizer.encode_batch(part), strict=True):
+                self._places[piece] = (array("I", code.ids).tobytes(), np.array(code.offsets, np.int64).reshape(-1, 2))
+        return self._places
 
     def encode(self, text: str, offsets: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Ids, and the first and last-but-one character of each token if asked for."""
         ids, places, at = [], [np.empty((0, 2), np.int64)], 0
         found = (m.group() for m in self._pattern.finditer(text)) if len(text) > RUN else iter(self._pattern.findall(text))
         while pieces := list(islice(found, RUN)):
-            self._learn(pieces, offsets)
-            codes = [self._seen[p] for p in pieces]
+            if not offsets:
+                ids.append(b"".join(map(self._learn(pieces).__getitem__, pieces)))
+                continue
+            codes = list(map(self._learn_places(pieces).__getitem__, pieces))
             ids += [c[0] for c in codes]
-            if offsets:
-                ends = np.cumsum([0, *map(len, pieces)]) + at
-                at = int(ends[-1])
-                own = np.concatenate([c[1] for c in codes])
-                places.append(own + np.repeat(ends[:-1], [len(c[1]) for c in codes])[:, None])
+            ends = np.cumsum([0, *map(len, pieces)]) + at
+            at = int(ends[-1])
+            own = np.concatenate([c[1] for c in codes])
+            places.append(own + np.repeat(ends[:-1], [len(c[1]) for c in codes])[:, None])
         return np.frombuffer(b"".join(ids), np.uint32), np.concatenate(places) if offsets else None
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:

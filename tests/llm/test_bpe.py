@@ -69,3 +69,23 @@ def test_empty_table_and_repeated_rows(spark):
     assert queries.byte_bpe(spark.createDataFrame([], schema)).count() == 0
     twice = queries.byte_bpe(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], schema)).collect()
     assert len(twice) == 3 and len({r["ids_sha256"] for r in twice}) == 1
+
+
+def test_pieces_that_come_again_are_merged_once_though_memory_is_full(monkeypatch, reference):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    own, merged = bpe.Codec(PATH, PATTERN), []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, shown):
+            merged.append(shown)
+            return self.model.tokenize(shown)
+
+    own._model = Counted(own._model)
+    for i in range(100):
+        text = f"naïve　again rare{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3}"
+        assert own.encode(text)[0].tolist() == reference.encode_ordinary(text)
+    assert len(own._seen) + len(own._old) <= 50
+    assert all(merged.count(piece) == 1 for piece in merged) and len(merged) >= 100
