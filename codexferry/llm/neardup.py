@@ -318,7 +318,7 @@ def near_duplicates(
     tried, links = compared(_star(left, F.xxhash64("class")), None)
     parts = components(links)
     left = materialize(_unsettled(left, parts))
-    left = left.join(_shared_shingles(sets, left), "class")
+    left = materialize(left.join(_shared_shingles(sets, left), "class"))
     smallest = left.groupBy("bucket").agg(F.min("n").alias("least_n"))
     needed = (F.col("n") + F.greatest(F.col("n") * percent / 100, F.col("least_n"))) * percent
     left = left.join(smallest, "bucket").where(F.col("shared") * (100 + percent) >= needed).drop("least_n")

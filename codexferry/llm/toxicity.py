@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexferry.llm.common import slices, split_words
+from codexferry.llm.common import give_back, slices, split_words
 from codexferry.storage import materialize
 
 EXAMPLES, TERMS, LEAST_Z, LEAST_DF = 20_000, 4096, 3.5, 3
@@ -289,6 +289,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
     weights = unit(np.repeat(np.arange(len(lengths)), lengths), weights, len(lengths)) if len(lengths) else weights
     model = Model(rows["term"].tolist(), idf, starts, places, weights, vectors["y"].to_numpy(float), vectors["ref"].to_numpy(), ones / n if n else 0.0)
     model.calibrate()
+    # The driver keeps the model only, not what it was made from: later stages would carry it along.
+    del vectors, places, weights, weighty
+    give_back()
     return model
 
 

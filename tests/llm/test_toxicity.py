@@ -84,3 +84,12 @@ def test_odd_rows(spark):
         found = toxicity.score(docs, toxicity.fit(docs, labels, train)).collect()
         assert len(found) == 6 and all(0 <= r["score"] <= 1 for r in found)
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels, train)).count() == 0
+
+
+def test_the_driver_gives_back_what_a_model_was_made_from(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good w{i % 3}" if i % 2 else f"bad w{i % 3}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(40)], "doc_id long, toxic long")
+    called = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: called.append(1))
+    toxicity.fit(docs, labels, F.lit(True))
+    assert called
