@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codexferry.llm.common import BROADCAST_KEYS, ODD, hash_strings, mixed, slices
+from codexferry.llm.common import BROADCAST_KEYS, ODD, give_back, hash_strings, mixed, slices
 from codexferry.storage import materialize
 
 #: Bytes of words of a shard; of all waiting shards of a task; phrases of a trie.
@@ -52,7 +52,9 @@ SHARD, WAITING, LIMIT = 16 << 20, 48 << 20, 400_000
 #: Words of all shards' dictionaries that are counted together.
 BUCKET_WORDS = 500_000
 #: Places of all shards whose proposals are added up together, at most one for each place.
-BUCKET_PLACES = 4_000_000
+BUCKET_PLACES = 2_000_000
+#: Places of a shard that advance together.
+PLACES = 250_000
 
 #: Classes of bytes: 1 blank, 2 end of a piece, 0 part of a word.
 CLASSES = np.zeros(256, np.uint8)
@@ -109,9 +111,10 @@ def shards(docs: DataFrame) -> DataFrame:
             out = np.zeros(len(codes) + int(begin.sum()), np.int32)
             out[np.arange(len(codes)) + np.cumsum(begin)] = codes + 1
             counts = np.bincount(codes, minlength=len(coded.dictionary))
-            row = [(task << 32) + number, lang, coded.dictionary.to_pylist(), counts.tolist(), out.tobytes()]
-            kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["shard", "lang", "words", "counts", "codes"])
+            whole = pa.array([0, len(counts)], pa.int32())
+            lists = [pa.ListArray.from_arrays(whole, x) for x in (coded.dictionary, pa.array(counts))]
+            row = [pa.array([(task << 32) + number]), pa.array([lang], pa.string()), *lists, pa.array([out.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, ["shard", "lang", "words", "counts", "codes"])
 
         for batch in slices(batches, "text"):
             langs = batch["lang"].dictionary_encode()
@@ -124,9 +127,11 @@ def shards(docs: DataFrame) -> DataFrame:
                 while sizes and (max(sizes.values()) >= SHARD or sum(sizes.values()) >= WAITING):
                     yield flush(max(sizes, key=sizes.get))
                     number += 1
+                    give_back()
         for lang in list(waiting):
             yield flush(lang)
             number += 1
+            give_back()
 
     rows = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     return rows.mapInArrow(run, "shard long, lang string, words array<string>, counts array<long>, codes binary")
@@ -135,23 +140,21 @@ def shards(docs: DataFrame) -> DataFrame:
 def _dealt(buckets: int):
     """The dictionary of each shard, cut into buckets by the words' hashes: one row per shard and bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words = batch["words"][i].values
-                counts = batch["counts"][i].values.to_numpy()
-                bucket = (hash_strings(words) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                own, starts = np.unique(bucket[order], return_index=True)
-                cuts = pa.array([*starts.tolist(), len(order)], pa.int32())
-                lists = [words.take(pa.array(order)), pa.array(order.astype(np.int32)), pa.array(counts[order])]
-                n = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array([batch["lang"][i].as_py()] * n, pa.string()), pa.array([batch["shard"][i].as_py()] * n, pa.int64()), *(pa.ListArray.from_arrays(cuts, x) for x in lists)],
-                    ["bucket", "lang", "shard", "words", "codes", "counts"],
-                )
+    def dealt(row: dict) -> pa.RecordBatch:
+        words = row["words"].values
+        counts = row["counts"].values.to_numpy()
+        bucket = (hash_strings(words) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, starts = np.unique(bucket[order], return_index=True)
+        cuts = pa.array([*starts.tolist(), len(order)], pa.int32())
+        lists = [words.take(pa.array(order)), pa.array(order.astype(np.int32)), pa.array(counts[order])]
+        n = len(own)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(own), pa.array([row["lang"].as_py()] * n, pa.string()), pa.array([row["shard"].as_py()] * n, pa.int64()), *(pa.ListArray.from_arrays(cuts, x) for x in lists)],
+            ["bucket", "lang", "shard", "words", "codes", "counts"],
+        )
 
-    return run
+    return _by_row(dealt)
 
 
 BUCKET = "bucket long, lang string, shard long, words array<string>, codes array<int>, counts array<long>"
@@ -204,19 +207,40 @@ def _renumbered(group: pa.Table) -> pa.Table:
     known = group.filter(pc.is_valid(group["known"])).combine_chunks()
     whole = group.filter(pc.is_valid(group["codes"]))
     codes = np.frombuffer(whole["codes"][0].as_py(), np.int32)
-    numbers = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+    found = known["numbers"].combine_chunks().flatten().to_numpy() if len(known) else np.empty(0, np.int64)
+    numbers = np.zeros(int(codes.max(initial=0)) + 1, np.int32 if found.max(initial=0) < 2**31 else np.int64)
     if len(known):
-        numbers[known["known"].combine_chunks().flatten().to_numpy() + 1] = known["numbers"].combine_chunks().flatten().to_numpy()
+        numbers[known["known"].combine_chunks().flatten().to_numpy() + 1] = found
     ids = numbers[codes]
-    kind = np.int32 if ids.max(initial=0) < 2**31 else np.int64
     # Runs of zeros are one zero.
-    ids = ids[(ids != 0) | np.concatenate([[True], ids[:-1] != 0])].astype(kind)
+    kept = ids != 0
+    kept[1:] |= kept[:-1].copy()
+    kept[:1] = True
+    ids = ids[kept]
+    give_back()
     row = [whole["lang"][0].as_py(), int(whole["shards"][0].as_py()), ids.itemsize, ids.tobytes()]
     return pa.table([pa.array([v], k) for v, k in zip(row, (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["lang", "shards", "width", "ids"])
 
 
 def _ids(row: dict) -> np.ndarray:
-    return np.frombuffer(row["ids"].as_buffer(), np.int32 if row["width"].as_py() == 4 else np.int64).astype(np.int64)
+    return np.frombuffer(row["ids"].as_buffer(), np.int32 if row["width"].as_py() == 4 else np.int64)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch[name][i] for name in batch.schema.names}
+
+
+def _by_row(made):
+    """A batch for each row; what making it took is given back before the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            yield made(row)
+            give_back()
+
+    return run
 
 
 # --- tries ---------------------------------------------------------------------
@@ -316,13 +340,15 @@ class Trie:
 PROPOSED = "bucket long, shards long, phrases array<long>, words array<long>, counts array<long>"
 
 
-def _counted(found: np.ndarray, follows: np.ndarray, numbers: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phrase, word, n) of a shard's proposals: phrase, following word, how often; those below ``least`` are left out."""
-    good = follows > 0
-    wide = int(follows.max(initial=0)) + 1
-    codes, n = np.unique(found[good] * wide + follows[good], return_counts=True)
-    codes, n = codes[n >= least], n[n >= least]
-    return numbers[codes // wide], codes % wide, n
+def _counted(codes: np.ndarray, wide: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, n) of a shard's proposals ``left * wide + right``, sorted in place; those below ``least`` are left out."""
+    codes.sort()
+    new = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
+    n = np.diff(starts, append=len(codes))
+    codes, n = codes[starts[n >= least]], n[n >= least]
+    return codes // wide, codes % wide, n
 
 
 def _bucketed(phrase: np.ndarray, word: np.ndarray, n: np.ndarray, shards: int, buckets: int) -> pa.RecordBatch:
@@ -355,6 +381,7 @@ def _added(least: int):
         seen, told = np.add.reduceat(n, first), np.diff(first, append=len(order))
         most = seen + (shards[first] - told) * (-(-least // shards[first]) - 1)
         good = np.where(word[first] == 0, seen, most) >= least
+        give_back()
         return pa.table([pa.array(phrase[first][good]), pa.array(word[first][good]), pa.array(seen[good])], ["phrase", "word", "n"])
 
     return run
@@ -363,21 +390,21 @@ def _added(least: int):
 def pairs(least: int, buckets: int):
     """Proposals of two words: frequent words that follow each other."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            ids, shards = _ids(row), row["shards"].as_py()
-            first, follows = ids[:-1], ids[1:]
-            good = first > 0
-            distinct, code = np.unique(first[good], return_inverse=True)
-            yield _bucketed(*_counted(code.astype(np.int64), follows[good], distinct, -(-least // shards)), shards, buckets)
+    def proposed(row: dict) -> pa.RecordBatch:
+        ids, shards, names = _ids(row), row["shards"].as_py(), None
+        wide = int(ids.max(initial=0)) + 1
+        if wide > 2**31:
+            # Two such numbers don't fit into 64 bits, but their places among the shard's own do.
+            names = np.unique(np.append(ids, 0))
+            ids, wide = np.searchsorted(names, ids), len(names)
+        good = (ids[:-1] > 0) & (ids[1:] > 0)
+        codes = ids[:-1][good].astype(np.int64)
+        codes *= wide
+        codes += ids[1:][good]
+        left, right, n = _counted(codes, wide, -(-least // shards))
+        return _bucketed(*((left, right) if names is None else (names[left], names[right])), n, shards, buckets)
 
-    return run
-
-
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {name: batch[name][i] for name in batch.schema.names}
+    return _by_row(proposed)
 
 
 def occurrences(sent, least: int, extend: bool, buckets: int):
@@ -386,14 +413,30 @@ def occurrences(sent, least: int, extend: bool, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, numbers = sent.value
         total = np.zeros(len(numbers), np.int64)
-        for row in _each(batches):
+
+        def proposed(row: dict) -> pa.RecordBatch | None:
             ids, shards = _ids(row), row["shards"].as_py()
-            place, phrase = trie.found(ids)
-            total += np.bincount(phrase, minlength=len(numbers))
-            if extend:
-                inner = place + trie.length < len(ids)
-                follows = ids[place[inner] + trie.length]
-                yield _bucketed(*_counted(phrase[inner].astype(np.int64), follows, numbers, -(-least // shards)), shards, buckets)
+            wide, codes = int(ids.max(initial=0)) + 1, []
+            for begin in range(0, len(ids), PLACES):
+                # A phrase belongs to the part where it begins.
+                place, phrase = trie.found(ids[begin : begin + PLACES + trie.length - 1])
+                np.add.at(total, phrase, 1)
+                if extend:
+                    end = place + begin + trie.length
+                    inner = end < len(ids)
+                    follows = ids[end[inner]].astype(np.int64)
+                    codes.append((phrase[inner].astype(np.int64) * wide + follows)[follows > 0])
+            if not extend:
+                return None
+            left, right, n = _counted(np.concatenate(codes) if codes else np.empty(0, np.int64), wide, -(-least // shards))
+            return _bucketed(numbers[left], right, n, shards, buckets)
+
+        for row in _each(batches):
+            made = proposed(row)
+            if made is not None:
+                yield made
+            del made
+            give_back()
         hit = np.flatnonzero(total)
         yield _bucketed(numbers[hit], np.zeros(len(hit)), total[hit], 1, buckets)
 

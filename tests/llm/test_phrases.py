@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -106,3 +107,50 @@ def test_pieces_of_sliced_texts():
     texts = pa.array(["skip", "A b.c", None, "", " d", "e"]).slice(1)
     words, begin = phrases.split_pieces(texts)
     assert words.to_pylist() == ["a", "b", "c", "d", "e"] and begin.tolist() == [True, False, True, True, True]
+
+
+def shard_rows(lists, shards=1, kind=np.int32):
+    ids = [np.array(x, kind) for x in lists]
+    columns = [pa.array(["en"] * len(ids)), pa.array([shards] * len(ids)), pa.array([kind().itemsize] * len(ids), pa.int32()), pa.array([x.tobytes() for x in ids])]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "shards", "width", "ids"])
+
+
+def told(batches):
+    return sorted((p, w, n) for b in batches for r in b.to_pylist() for p, w, n in zip(r["phrases"], r["words"], r["counts"], strict=True))
+
+
+class Sent:
+    def __init__(self, *value):
+        self.value = value
+
+
+@pytest.mark.parametrize("kind, shift", [(np.int32, 0), (np.int64, 2**33)])
+def test_pairs_and_occurrences_of_parts_of_a_shard(monkeypatch, kind, shift):
+    draw = np.random.default_rng(2)
+    lists = [np.where(x > 0, x + shift, 0) for x in (draw.integers(0, 12, n) for n in (0, 1, 400))]
+    f = Counter((int(a), int(b)) for x in lists[-1:] for a, b in zip(x, x[1:], strict=False) if a and b)
+    assert told(phrases.pairs(3, 5)([shard_rows(lists, kind=kind)])) == sorted((*p, n) for p, n in f.items() if n >= 3)
+    wanted, numbers = np.array([p for p, n in f.items() if n >= 2]), np.arange(100, 100 + sum(n >= 2 for n in f.values()))
+    row, x = {tuple(w): i for w, i in zip(wanted.tolist(), numbers.tolist(), strict=True)}, lists[-1].tolist()
+    more = Counter((row[a, b], c) for a, b, c in zip(x, x[1:], x[2:], strict=False) if (a, b) in row and c)
+    counts = [(row[p], 0, n) for p, n in f.items() if p in row]
+    for places in (1, 7, 10**6):
+        monkeypatch.setattr(phrases, "PLACES", places)
+        found = told(phrases.occurrences(Sent(phrases.Trie(wanted), numbers), 2, True, 5)([shard_rows(lists, kind=kind)]))
+        assert found == sorted([*counts, *((*p, n) for p, n in more.items() if n >= 2)])
+
+
+def test_a_shard_is_not_copied_many_times():
+    draw, places = np.random.default_rng(5), 1_000_000
+    ids = draw.zipf(1.3, places) % 50_000
+    batch = shard_rows([ids])
+    wanted = np.unique(np.stack([ids[:-1], ids[1:]], axis=1)[:20_000], axis=0)
+    wanted = wanted[(wanted > 0).all(axis=1)]
+    sent = Sent(phrases.Trie(wanted), np.arange(len(wanted)))
+    for run in (phrases.pairs(100, 4), phrases.occurrences(sent, 100, True, 4)):
+        tracemalloc.start()
+        for _ in run([batch]):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 * places
